@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing
+from pyspark.sql import functions as F
+
+from . import exact_dedup, fm_index, packing, simhash, suffix_dedup
 from .common import read
 
 
@@ -10,6 +12,43 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
+def op2_suffix_array_dedup(spark, sf_dir):
+    cut = suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", F.col("n_units").alias("n_bytes"), "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op3_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark, sf_dir):
+    cut = fm_index.substring_dedup(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_suffix_array_dedup,
+        op3_exact_dedup,
+        op4_substring_dedup,
+        op10_simhash_near_dedup,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
+        WINDOW same AS (PARTITION BY t)""",
+}
