@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fm_index, packing, simhash, suffix_dedup
+from . import exact_dedup, fm_index, packing, pieces, quality_classifier, quality_rules, simhash, suffix_dedup
 from .common import read
 
 
@@ -29,6 +29,21 @@ def op4_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark, sf_dir):
+    return quality_rules.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    found = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_sentencepiece(spark, sf_dir):
+    made = pieces.encode_decode(read(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,6 +56,9 @@ QUERIES = {
         op2_suffix_array_dedup,
         op3_exact_dedup,
         op4_substring_dedup,
+        op6_quality_rules,
+        op8_quality_classifier,
+        op9_sentencepiece,
         op10_simhash_near_dedup,
     )
 }
