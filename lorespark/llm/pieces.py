@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,47 +42,40 @@ class Vocabulary:
         kinds = type(proto.pieces[0])
         self.pieces = [p.piece for p in proto.pieces]
         self.score = {p.piece: p.score for p in proto.pieces if p.type in (kinds.NORMAL, kinds.USER_DEFINED, kinds.UNUSED)}
+        self.cost = {p: -x for p, x in self.score.items()}
         self.id = {p.piece: i for i, p in enumerate(proto.pieces) if p.piece in self.score}
         self.byte = {i: int(p.piece[3:5], 16) for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.byte_id = {b: i for i, b in self.byte.items()}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
         self.silent = {i for i, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
+        self.special = self.silent | set(self.byte) | {self.unknown}
         self.end = self.library.eos_id()
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
 
     def merge(self, text: str) -> list[int]:
         """The ids of a marked text."""
-        score = self.score
+        cost, push, pop = self.cost.get, heapq.heappush, heapq.heappop
         symbols: list[str] = list(text)
         n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = []
-        for i in range(n - 1):
-            joined = symbols[i] + symbols[i + 1]
-            if joined in score:
-                agenda.append((-score[joined], i, joined))
+        before, after = [*range(-1, n - 1), -1], [*range(1, n), -1]
+        agenda = [(c, i, pair) for i, pair in enumerate(map(add, symbols, symbols[1:])) if (c := cost(pair)) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, joined = heapq.heappop(agenda)
-            j = after[i] if symbols[i] else -1
-            if j < 0 or symbols[i] + symbols[j] != joined:
-                continue
+            _, i, joined = pop(agenda)
+            j = after[i]
+            if j < 0 or not symbols[i] or symbols[i] + symbols[j] != joined:
+                continue  # one of the two was merged meanwhile
             symbols[i], symbols[j] = joined, ""
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                new = joined + symbols[k]
-                if new in score:
-                    heapq.heappush(agenda, (-score[new], i, new))
-            h = before[i]
-            if h >= 0:
-                new = symbols[h] + joined
-                if new in score:
-                    heapq.heappush(agenda, (-score[new], h, new))
-        out = []
+            k, h = after[j], before[i]
+            after[i], before[k] = k, i
+            if k >= 0 and (c := cost(new := joined + symbols[k])) is not None:
+                push(agenda, (c, i, new))
+            if h >= 0 and (c := cost(new := symbols[h] + joined)) is not None:
+                push(agenda, (c, h, new))
+        out, id_of = [], self.id.get
         for s in symbols:
             if s:
-                found = self.id.get(s)
+                found = id_of(s)
                 out += [found] if found is not None else [self.byte_id[b] for b in s.encode()] if self.byte_id else [self.unknown]
         return out
 
@@ -128,9 +123,9 @@ class Encoder:
                 if self.vocabulary.library.encode("a" + "".join(new[at:to])) != known + [i for own in ids[at:to] for i in own]:
                     raise ValueError("the ids differ from the sentencepiece library's")
         for c, own in zip(new, ids):
-            self.memo[c] = np.array(own, "<i4").tobytes()
-            text = self.vocabulary.decode(own)
-            if text != c.replace(MARK, " "):
+            self.memo[c] = array("i", own).tobytes()
+            # Pieces alone spell their own word; only bytes, unknowns and controls can spell another.
+            if not self.vocabulary.special.isdisjoint(own) and (text := self.vocabulary.decode(own)) != c.replace(MARK, " "):
                 self.changed[c] = text
 
     def __call__(self, texts: list[str]) -> tuple[list[bytes], list[str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fm_index, packing, pieces, quality_classifier, quality_rules, simhash, suffix_dedup
+from . import exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, simhash, suffix_dedup
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op4_substring_dedup(spark, sf_dir):
     return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_ppm_scoring(spark, sf_dir):
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = {
         op2_suffix_array_dedup,
         op3_exact_dedup,
         op4_substring_dedup,
+        op5_ppm_scoring,
         op6_quality_rules,
         op8_quality_classifier,
         op9_sentencepiece,
