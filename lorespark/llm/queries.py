@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, simhash, suffix_dedup
+from . import exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, quotations, simhash, suffix_dedup
 from .common import read
 
 
@@ -37,6 +37,10 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_quotation_linking(spark, sf_dir):
+    return quotations.link_replies(read(spark, sf_dir, "conversations"))
+
+
 def op8_quality_classifier(spark, sf_dir):
     found = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -62,6 +66,7 @@ QUERIES = {
         op4_substring_dedup,
         op5_ppm_scoring,
         op6_quality_rules,
+        op7_quotation_linking,
         op8_quality_classifier,
         op9_sentencepiece,
         op10_simhash_near_dedup,
@@ -74,4 +79,5 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
+    "op7_quotation_linking": quotations.ORACLE,
 }
