@@ -1,20 +1,66 @@
-"""Corpus preparation in stages: each works on what its predecessor kept."""
+"""Corpus preparation in stages: each works on all that its predecessor kept.
+
+Stages take (spark, docs, sf_dir). All but the last return the columns of documents. Rows without a doc_id end with
+exact dedup, as later stages name what they keep by id; of rows that repeat a doc_id and text one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespark.llm import exact_dedup, packing, quality_classifier, simhash, suffix_dedup
+from lorespark.llm.common import materialize, read
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from docs and the labels table."""
+    found = quality_classifier.classify(docs, read(spark, sf_dir, "labels"))
+    return found.where("predicted = 1").select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    kept = exact_dedup.exact_dedup(docs).where("kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    return rows.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the smallest doc_id."""
+    kept = simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the byte strings that documents with smaller ids hold; texts may become empty.
+
+    A character that a cut runs through becomes U+FFFD.
+    """
+    cut = suffix_dedup.suffix_dedup(docs).select("doc_id", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    cut = cut.withColumn("n_chars", F.length("text").cast("long"))
+    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
+    return cut.join(rest, "doc_id").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.packed_digest(docs)
 
-from lorespark.llm import packing
 
 STAGES = [
-    ("best_fit_packing", lambda spark, docs, sf_dir: packing.packed_digest(docs)),
+    ("quality_classifier", quality),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("suffix_array_dedup", repeats),
+    ("best_fit_packing", pack),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to documents, with the documents that each keeps written to the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
