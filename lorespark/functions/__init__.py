@@ -1 +1 @@
-"""TODO"""
+"""Column functions for text and vectors, and the models that callers plug in."""

@@ -1 +1 @@
-"""TODO"""
+"""Operators over DataFrames: retrieval, document lifecycle, access and lists."""

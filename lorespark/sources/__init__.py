@@ -1 +1 @@
-"""TODO"""
+"""Tables, files and keyed writes."""
