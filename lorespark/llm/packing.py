@@ -115,12 +115,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             out.append((length, rank, rank + whole * each, first, each, capacity - room))
             groups[room - each * length].append((first, whole))
             rank, left = rank + whole * each, left - whole * each
-        if left and whole < n:
+        rest = n - whole
+        if left and rest:
             out.append((length, rank, rank + left, first + whole, left, capacity - room))
             groups[room - left * length].append((first + whole, 1))
-            if n - whole > 1:
-                groups[room].append((first + whole + 1, n - whole - 1))
-            rank, left = rank + left, 0
+            rank, left, rest = rank + left, 0, rest - 1
+        if rest:
+            groups[room].append((first + n - rest, rest))
         return rank, left
 
     for length in sorted(histogram, reverse=True):
