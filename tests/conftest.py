@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-DATA = "/root/testdata/sf0.001"
+from frames import DATA  # noqa: E402
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -34,18 +35,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
-
-
-def rows(frame):
-    """A pandas frame as sorted rows that compare across engines; columns by name."""
-    import math
-
-    def plain(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
-            return None
-        if isinstance(v, (bool, str, bytes, bytearray)):
-            return bytes(v) if isinstance(v, bytearray) else v
-        return round(float(v), 8) if isinstance(v, float) or (hasattr(v, "dtype") and v.dtype.kind == "f") else int(v) if math.isfinite(v) else v
-
-    frame = frame[sorted(frame.columns)]
-    return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False, name=None)), key=repr)
