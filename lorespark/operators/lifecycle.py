@@ -67,11 +67,13 @@ def deprecate_old(documents: DataFrame, finished: DataFrame, now: Column, ttl_da
 
     Every other successful, active, unexpiring version of the name is deprecated, newer ones too, and expires after ttl_days.
     """
-    names = finished.groupBy("kb_id", "file_name").agg(F.collect_set("id").alias("_new"))
-    joined = documents.join(names, ["kb_id", "file_name"], "left")
-    old = (F.col("status") == SUCCESS) & (F.col("is_active") == 1) & F.col("expire_time").isNull() & F.col("_new").isNotNull() & ~F.array_contains("_new", F.col("id"))
+    names = finished.select("kb_id", "file_name").distinct().withColumn("_named", F.lit(True))
+    ids = finished.select("id").distinct().withColumn("_new", F.lit(True))
+    joined = documents.join(names, ["kb_id", "file_name"], "left").join(ids, "id", "left")
+    fits = (F.col("status") == SUCCESS) & (F.col("is_active") == 1) & F.col("expire_time").isNull()
+    joined = joined.withColumn("_old", fits & F.col("_named").isNotNull() & F.col("_new").isNull())
     expiry = now + F.make_dt_interval(F.lit(ttl_days))
-    return changed(joined.withColumn("_old", old), F.col("_old"), status=F.lit(DEPRECATED), expire_time=expiry).drop("_old", "_new").select(*documents.columns)
+    return changed(joined, F.col("_old"), status=F.lit(DEPRECATED), expire_time=expiry).select(*documents.columns)
 
 
 def expire_overdue(documents: DataFrame, now: Column) -> DataFrame:
