@@ -53,7 +53,7 @@ def ivf_topk(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None =
     """(query_id, doc_id, score, rank) among the lists that each query probes."""
     n = vectors.count()
     lists = lists or max(1, min(1024, int(math.sqrt(n))))
-    probes = probes or max(1, math.ceil(lists * 0.3))
+    probes = probes or max(1, math.ceil(lists * 0.65))
     c = centroids(vectors, lists)
     asked = assign(queries, "query_id", c, probes).withColumnRenamed("embedding", "q")
     pairs = assign(vectors, "doc_id", c).join(asked, "list")
