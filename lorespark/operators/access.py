@@ -20,6 +20,14 @@ def with_role(members: DataFrame, least: str) -> DataFrame:
     return members.where(rank >= ROLE_RANK[least])
 
 
+def require(df: DataFrame, members: DataFrame | None, least: str, key: str = "kb_id") -> DataFrame:
+    """Rows of the knowledge bases where members (of one user) have at least this role; rows without one are denied.
+
+    None means an administrator, as in visible.
+    """
+    return df if members is None else visible(df, with_role(members, least), key)
+
+
 def permissions(user_role: DataFrame, role_permission: DataFrame, permission: DataFrame) -> DataFrame:
     """Distinct (user_id, code) of enabled permissions along user, role and permission."""
     chain = user_role.join(role_permission, "role_id").join(permission.where("status = 1"), "permission_id")

@@ -34,6 +34,24 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        path, fs = self._fs()
+        return fs.exists(path)
+
+    def create(self, schema: str) -> None:
+        """An empty table, unless there is one."""
+        if not self.exists():
+            self.write(self.spark.createDataFrame([], schema))
+
+    def drop(self) -> None:
+        """No table, whether there was one or not."""
+        path, fs = self._fs()
+        fs.delete(path, True)
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self._current()}")
 

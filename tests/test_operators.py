@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions.vectors import cosine, hashed_embedding
-from lorespark.operators import access, lifecycle, lists, retrieval
+from lorespark.functions.models import DEGRADED, extractive_chat
+from lorespark.operators import access, answering, lifecycle, lists, retrieval
 from lorespark.sources import files, keyed, tables
 
 
@@ -112,3 +113,33 @@ def test_labels_and_schemas(spark):
     df = spark.createDataFrame([(3,), (77,), (None,)], "s int").select(tables.label(F.col("s"), tables.DOCUMENT_STATUS))
     assert [r[0] for r in df.collect()] == ["SUCCESS", "UNKNOWN", "UNKNOWN"]
     assert all(tables.empty(spark, t).count() == 0 for t in ("kb_member", "role_permission"))
+
+
+def test_ask(spark):
+    found = spark.createDataFrame([(1, 1, 7, "a", 1, "one"), (1, 2, 8, "b", None, "two")], "query_id long, rank int, doc_id long, file_name string, page_no int, text string")
+    contexts = retrieval.context(found).withColumn("question", F.lit("what?"))
+    got = answering.ask(contexts, extractive_chat).first()
+    assert got.answer == "one[来源1]\ntwo[来源2]" and [s.doc_id for s in got.sources] == [7, 8]
+    got = answering.ask(contexts, lambda system, user: "**only** [来源2] and [来源5]").first()
+    assert got.answer == "only [来源1] and [来源5]" and [s.doc_id for s in got.sources] == [8]
+    got = answering.ask(contexts, lambda system, user: 1 / 0).first()
+    assert got.answer == DEGRADED and got.sources == []
+
+
+def test_require_role(spark):
+    members = spark.createDataFrame([(1, 5, "OWNER"), (2, 5, "VIEWER"), (3, 5, "other")], "kb_id long, user_id long, role string")
+    docs = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, None)], "id long, kb_id long")
+    assert values(access.require(docs, members, "VIEWER"), "id") == [(10,), (11,)]
+    assert values(access.require(docs, members, "EDITOR"), "id") == [(10,)] and access.require(docs, None, "OWNER").count() == 4
+
+
+def test_collections(spark, tmp_path):
+    table = keyed.VersionedTable(spark, str(tmp_path / "kb_1"))
+    assert not table.exists()
+    table.create("id long, v string")
+    table.write(spark.createDataFrame([(1, "a")], "id long, v string"))
+    table.create("id long, v string")
+    assert values(table.read(), "id") == [(1,)]
+    table.drop()
+    table.drop()
+    assert not table.exists()
