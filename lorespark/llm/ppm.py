@@ -269,8 +269,10 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, broadcast: int = BROA
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     by_block = blocks.groupBy("block")
     if lengths.count() <= broadcast:
-        table = lengths.toPandas().sort_values("gram")
-        shared = spark.sparkContext.broadcast((table["gram"].to_numpy(), table["log_p"].to_numpy()))
+        table = lengths.toArrow()  # columns all the way: at most 64 MB
+        order = np.argsort(table["gram"].to_numpy())
+        shared = spark.sparkContext.broadcast((table["gram"].to_numpy()[order], table["log_p"].to_numpy()[order]))
+        del table, order
 
         def run(t: pa.Table, a: pa.Table) -> pa.Table:
             return score_block(t, a, Lengths(*shared.value), n_buckets, tokens, kinds, ends) if t.num_rows else SCORED.empty_table()
