@@ -158,14 +158,17 @@ def byte_model(docs: DataFrame) -> DataFrame:
     return materialize(dealt.groupBy("part").applyInArrow(model, "gram long, log_p double"), "lengths")
 
 
-def word_sets(table: pa.Table) -> tuple[list[int], list[list[bytes]], np.ndarray, np.ndarray]:
-    """doc_ids, words, their codes one after another, and whether each is of a training document."""
+def word_sets(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, numbers of words, the words' codes one after another, and whether each is of a training document."""
     codes = WordCodes()
     docs = table["doc_id"].to_pylist()
-    words = [t.lower().split() for t in table["text"].to_pylist()]
-    flat = np.fromiter((c for w in words for c in map(codes.__getitem__, w)), np.uint64, sum(map(len, words)))
-    train = np.repeat(np.array([not is_held_out(d) for d in docs], bool), [len(w) for w in words])
-    return docs, words, flat, train
+    flat = [np.empty(0, np.uint64)]
+    for text in table["text"]:  # one text's words at a time
+        words = text.as_py().lower().split()
+        flat.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
+    n = np.array([len(f) for f in flat[1:]], np.int64)
+    train = np.repeat(np.array([not is_held_out(d) for d in docs], bool), n)
+    return docs, n, np.concatenate(flat), train
 
 
 def by_bucket(flat: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,14 +230,13 @@ class Lengths:
 
 
 def score_block(table: pa.Table, answers: pa.Table, lengths: Lengths, n_buckets: int, tokens: int, kinds: int, end_count: int) -> pa.Table:
-    docs, words, flat, _ = word_sets(table)
+    docs, n, flat, _ = word_sets(table)
     place, distinct, bucket = by_bucket(flat, n_buckets)
     counts = np.zeros(len(distinct), np.int64)
     sent = dict(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
     for a, b in zip(*cut_points(bucket)):
         counts[a:b] = np.frombuffer(sent[int(bucket[a])], "<i8")
     each = counts[place]
-    n = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(n)
     logs = np.concatenate([[0.0], np.cumsum(np.log10(each + 1.0))])
     known = np.concatenate([[0], np.cumsum(each > 0)])
