@@ -4,16 +4,20 @@ A window is ``length`` consecutive units (bytes or words) of one document. A uni
 also starts in a document with a smaller doc_id. Text never leaves its block except for the parts that can matter:
 
 1. Each document is cut into runs of windows that have the same smallest gram hash. Equal windows have equal
-   hashes, so they meet in runs of the same key. A block sends each key once, in 32 bits beside its bucket.
-2. Buckets say which keys occur in several blocks.
+   hashes, so they meet in runs of the same key. A block sends each key once, in 32 bits beside its bucket, and
+   the number of distinct run texts for keys with more than ``MANY``.
+2. Buckets say which keys occur in several blocks, and which are crowded: more than ``CROWD`` counted texts.
 3. A block sends the text of runs with such keys, or with keys of several of its own documents, to the
-   shard of the key: equal texts once, with the smallest doc_id that holds them.
+   shard of the key: equal texts once, with the smallest doc_id that holds them. Where a passage meets the documents'
+   own words, runs of one key have as many texts as documents; so runs of crowded keys are sent as single
+   windows, each distinct window once for each block, to shards dealt by the whole window.
 4. A shard finds, for each window, the smallest doc_id of all its windows with the same units. How it does so
    is the caller's method; it sees units, so hash collisions cost time and never change a result.
-5. Spans return to their blocks and are cut out.
+5. For each window of each text its block learns whether a smaller document has it. The places of texts pass by the
+   shards in a row for each block; from both the block makes the spans and cuts them out.
 
-All steps read one shuffle of the text by block. What a key, passage or copy adds to a bucket or shard is bounded by the
-number of blocks, not of documents.
+All steps read one shuffle of the text by block. A key adds to a bucket or shard at most ``MANY`` texts for each
+block and ``CROWD`` more, a window of a crowded key one for each block; no shard gets the places of a text.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ BLOCK_BYTES = 8 << 20
 SLICE = 1 << 19
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1 << 20
+#: Distinct texts of a key in one block up to which they are not counted.
+MANY = 8
+#: Counted texts of a key in all blocks beyond which its windows are dealt one by one.
+CROWD = 1024
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 #: (units of the shard's distinct texts, their smallest doc_ids) to the smallest doc_id of each window, text after text.
@@ -140,14 +148,33 @@ def composite(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(n_buckets) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def distinct_keys(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and which of them more than one document has."""
+def run_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of codes[start:end] for each run; it only serves to count distinct texts."""
+    with np.errstate(over="ignore"):
+        h = codes * MIX[1] + MIX[0]
+        h ^= h >> np.uint64(31)
+        power = np.cumprod(np.full(len(codes) + 1, MIX[0]))
+        back = np.cumprod(np.full(len(codes) + 1, np.uint64(pow(int(MIX[0]), -1, 1 << 64))))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+        return (sums[end] - sums[start]) * back[start]
+
+
+def distinct_keys(keys: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, which of them more than one document has, and how many texts each has if over MANY, else 0."""
     order = np.argsort(keys)
-    keys, docs = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    keys, docs, hashes = keys[order], docs[order], hashes[order]
+    first, end = cut_points(keys)
     if not len(first):
-        return keys, np.empty(0, bool)
-    return keys[first], np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+        return keys, np.empty(0, bool), np.empty(0, np.int64)
+    several = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+    size = end - first
+    of = np.repeat(np.arange(len(first)), size)[np.repeat(size > MANY, size)]
+    own = hashes[np.repeat(size > MANY, size)]
+    order = np.lexsort((own, of))
+    of, own = of[order], own[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (own[1:] != own[:-1])])[: len(of)]
+    texts = np.bincount(of[new], minlength=len(first))
+    return keys[first], several, np.where(texts > MANY, texts, 0)
 
 
 def cut_points(sorted_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,81 +183,144 @@ def cut_points(sorted_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(sorted_group))
 
 
-def all_runs(texts: list[bytes], docs: np.ndarray, units: Units, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+def all_runs(texts: list[bytes], docs: np.ndarray, units: Units, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, owners, hashes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for at, _, codes, lengths in slices(texts, units):
-        doc, _, _, key = runs(codes, lengths, units)
+        doc, start, size, key = runs(codes, lengths, units)
         keys.append(composite(key, n_buckets))
         owners.append(docs[at + doc])
-    return distinct_keys(np.concatenate(keys), np.concatenate(owners))
+        hashes.append(run_hashes(codes, start, start + size + units.length - 1))
+    return distinct_keys(np.concatenate(keys), np.concatenate(owners), np.concatenate(hashes))
 
 
 def send_keys(table: pa.Table, units: Units, n_buckets: int) -> pa.Table:
     docs, texts = block_rows(table)
-    keys, _ = all_runs(texts, docs, units, n_buckets)
+    keys, _, counts = all_runs(texts, docs, units, n_buckets)
     bucket = (keys >> np.uint64(32)).astype(np.int64)
     first, end = cut_points(bucket)
     rest = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+    many = np.flatnonzero(counts)
+    counted = [many[i:j] for i, j in zip(np.searchsorted(many, first), np.searchsorted(many, end))]
     return pa.table({
         "bucket": pa.array(bucket[first], pa.int32()),
         "block": pa.array([table["block"][0].as_py()] * len(first), pa.int32()),
         "keys": pa.array([rest[a:b].tobytes() for a, b in zip(first, end)], pa.binary()),
+        "counts": pa.array([np.stack([rest[m], counts[m]]).astype("<u4").tobytes() for m in counted], pa.binary()),
     })
 
 
 def find_shared(table: pa.Table) -> pa.Table:
-    """For each key of each block, a bit that says whether another block has it too."""
+    """For each key of each block, a bit that says whether another block has it too; and the block's crowded keys."""
     sets = [np.frombuffer(k, "<u4") for k in table["keys"].to_pylist()]
     every = np.sort(np.concatenate(sets))
     shared = np.unique(every[1:][every[1:] == every[:-1]])
-    flags = []
+    keys, counts = np.concatenate([np.frombuffer(c, "<u4").reshape(2, -1) for c in table["counts"].to_pylist()], axis=1)
+    keys, of = np.unique(keys, return_inverse=True)
+    crowded = keys[np.bincount(of, counts, len(keys)) > CROWD]
+    flags, crowds = [], []
     for keys in sets:
         at = np.minimum(np.searchsorted(shared, keys), max(0, len(shared) - 1))
         flags.append(np.packbits(shared[at] == keys if len(shared) else np.zeros(len(keys), bool)).tobytes())
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary())})
+        crowds.append(np.intersect1d(keys, crowded).astype("<u4").tobytes())
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "flags": pa.array(flags, pa.binary()), "crowded": pa.array(crowds, pa.binary())})
+
+
+TEXTS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("docs", "sizes", "data", "sets", "windows", "places"))])
+TEXTS_DDL = "shard int, block int, docs binary, sizes binary, data binary, sets binary, windows binary, places binary"
 
 
 def send_texts(table: pa.Table, answers: pa.Table, units: Units, n_buckets: int, n_shards: int) -> pa.Table:
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("docs", "sizes", "data", "places"))])
+    """A row of texts for each shard, and one of notes, numbered behind the shards, for the block itself.
+
+    Notes: sizes has the windows of each text, in order of the shards; sets has the windows of each crowded run and
+    windows the text of each of these; places has columns: text, or run numbered behind the texts; steps of the document's place; first unit.
+    """
+    import xxhash
+
     if not table.num_rows:
-        return schema.empty_table()
+        return TEXTS.empty_table()
     docs, texts = block_rows(table)
-    keys, several = all_runs(texts, docs, units, n_buckets)
+    keys, several, _ = all_runs(texts, docs, units, n_buckets)
     bucket = (keys >> np.uint64(32)).astype(np.int64)
     flags = dict(zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist()))
     wanted = several.copy()
     for a, b in zip(*cut_points(bucket)):
         wanted[a:b] |= np.unpackbits(np.frombuffer(flags[int(bucket[a])], np.uint8), count=b - a).astype(bool)
     wanted = keys[wanted]
-    found: dict[int, dict[bytes, list]] = defaultdict(dict)  # shard: text: [smallest doc_id, places]
+    crowded = [np.frombuffer(c, "<u4").astype(np.uint64) | np.uint64(b << 32) for b, c in zip(answers["bucket"].to_pylist(), answers["crowded"].to_pylist())]
+    crowded = np.concatenate([np.empty(0, np.uint64), *crowded])
+    # Documents come by doc_id, so the first that has a text is the smallest.
+    entries: dict[bytes, int] = {}
+    shards, least, sizes = [], [], []
+    sets: dict[bytes, int] = {}
+    set_sizes, windows = [], []
+    places = []
+
+    def entry(text: bytes, shard: int, doc: int, n: int) -> int:
+        e = entries.setdefault(text, len(shards))
+        if e == len(shards):
+            shards.append(shard)
+            least.append(doc)
+            sizes.append(n)
+        return e
+
     for at, parts, codes, lengths in slices(texts, units) if len(wanted) else ():
         doc, start, size, key = runs(codes, lengths, units)
         key = composite(key, n_buckets)
         near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
         ok = wanted[near] == key
-        begin = np.cumsum(lengths) - lengths
+        doc, start, size, key = doc[ok], start[ok], size[ok], key[ok]
+        start -= (np.cumsum(lengths) - lengths)[doc]
         shard = ((key * MIX[0]) >> np.uint64(33)) % np.uint64(n_shards)
-        for s, d, a, n in zip(shard[ok].tolist(), doc[ok].tolist(), (start - begin[doc])[ok].tolist(), size[ok].tolist()):
-            text = units.join(parts[d][a : a + n + units.length - 1])
-            entry = found[s].setdefault(text, [MAX_ID, []])
-            entry[0] = min(entry[0], int(docs[at + d]))
-            entry[1].append((at + d, int(docs[at + d]), a))
-    rows = []
+        own = []
+        for s, d, a, n, crowd in zip(shard.tolist(), doc.tolist(), start.tolist(), size.tolist(), np.isin(key, crowded).tolist()):
+            part = parts[d][a : a + n + units.length - 1]
+            text, owner = units.join(part), int(docs[at + d])
+            if not crowd:
+                own.append(entry(text, s, owner, n))
+                continue
+            k = sets.setdefault(text, len(set_sizes))
+            if k == len(set_sizes):
+                set_sizes.append(n)
+                for i in range(n):
+                    window = units.join(part[i : i + units.length])
+                    windows.append(entry(window, xxhash.xxh3_64_intdigest(window) % n_shards, owner, 1))
+            own.append(-1 - k)
+        places.append(np.stack([np.array(own, np.int64), at + doc, start], axis=1))
+    if not entries:
+        return TEXTS.empty_table()
+    order = np.argsort(np.array(shards), kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    shard, least, sizes, texts = np.array(shards)[order], np.array(least, "<i8")[order], np.array(sizes, "<i4")[order], list(entries)
+    places = np.concatenate(places)
+    run = places[:, 0]
+    places[:, 0] = np.where(run < 0, len(order) - 1 - run, number[np.maximum(run, 0)])
+    places[:, 1] = np.diff(places[:, 1], prepend=0)
     block = table["block"][0].as_py()
-    for s, entries in found.items():
-        places = [(i, *p) for i, (_, where) in enumerate(entries.values()) for p in where]
+    rows = []
+    for a, b in zip(*cut_points(shard)):
+        some = [texts[e] for e in order[a:b]]
         rows.append({
-            "shard": s, "block": block,
-            "docs": np.array([e[0] for e in entries.values()], "<i8").tobytes(),
-            "sizes": np.array([len(t) for t in entries], "<i4").tobytes(),
-            "data": b"".join(entries),
-            "places": np.array(places, "<i8").tobytes(),
+            "shard": int(shard[a]), "block": block, "docs": least[a:b].tobytes(),
+            "sizes": np.array([len(t) for t in some], "<i4").tobytes(), "data": b"".join(some),
         })
-    return pa.Table.from_pylist(rows, schema=schema)
+    rows.append({
+        "shard": n_shards + block, "block": block, "sizes": sizes.tobytes(), "sets": np.array(set_sizes, "<i4").tobytes(),
+        "windows": number[np.array(windows, np.int64)].astype("<i4").tobytes(), "places": places.T.astype("<i4").tobytes(),
+    })
+    return pa.Table.from_pylist(rows, schema=TEXTS)
+
+
+FOUND_DDL = "block int, shard int, n int, flags binary, sizes binary, sets binary, windows binary, places binary"
 
 
-def search(table: pa.Table, units: Units, engine: Engine) -> pa.Table:
-    """Spans of windows that start in smaller documents too: (place in block, first unit, end) for each block."""
+def search(table: pa.Table, units: Units, engine: Engine, n_shards: int) -> pa.Table:
+    """For each block a bit for each window of its texts: whether a document smaller than the block's own has it. Notes pass."""
+    none = {c: table[c] for c in ("sizes", "sets", "windows", "places")}
+    if table["shard"][0].as_py() >= n_shards:
+        empty = pa.nulls(table.num_rows)
+        return pa.table({"block": table["block"], "shard": table["shard"], "n": empty.cast(pa.int32()), "flags": empty.cast(pa.binary()), **none})
     entries: dict[bytes, int] = {}
     least: list[int] = []
     local = []
@@ -244,25 +334,57 @@ def search(table: pa.Table, units: Units, engine: Engine) -> pa.Table:
             elif d < least[e]:
                 least[e] = d
             own.append(e)
-        local.append(np.array(own, np.int64))
+        local.append((np.array(own, np.int64), np.frombuffer(docs, "<i8")))
     texts = list(entries)
     count = np.array([(t.count(b" ") + 1 if units.words else len(t)) - units.length + 1 for t in texts], np.int64)
     smallest = engine(texts, np.array(least, np.int64))
     begin = np.cumsum(count) - count
-    out = []
-    for own, places in zip(local, table["places"].to_pylist()):
-        entry, place, doc, start = np.frombuffer(places, "<i8").reshape(-1, 4).T
-        entry = own[entry]
-        n = count[entry]
-        row = np.repeat(np.arange(len(entry)), n)
-        window = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hit = smallest[begin[entry][row] + window] < doc[row]
-        # Neighbouring hits of a place are one span.
-        edge = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (row[1:] != row[:-1])])[: len(hit)])
-        stop = np.flatnonzero(hit & np.concatenate([~hit[1:] | (row[1:] != row[:-1]), [True]])[: len(hit)])
-        r = row[edge]
-        out.append(np.stack([place[r], start[r] + window[edge], start[r] + window[stop] + units.length], axis=1).astype("<i8").tobytes())
-    return pa.table({"block": table["block"], "spans": pa.array(out, pa.binary())})
+    flags, sizes = [], []
+    for own, docs in local:
+        n = count[own]
+        at = np.arange(n.sum()) + np.repeat(begin[own] - (np.cumsum(n) - n), n)
+        flags.append(np.packbits(smallest[at] < np.repeat(docs, n)).tobytes())
+        sizes.append(len(at))
+    none = {c: pa.nulls(table.num_rows).cast(pa.binary()) for c in none}
+    return pa.table({"block": table["block"], "shard": table["shard"], "n": pa.array(sizes, pa.int32()), "flags": pa.array(flags, pa.binary()), **none})
+
+
+def removed(answers: pa.Table, docs: np.ndarray, length: int) -> np.ndarray:
+    """Spans (place, first unit, end) of the windows that start in smaller documents too."""
+    rows = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+    if not rows:
+        return np.empty((0, 3), np.int64)
+    notes = rows.pop()
+    size, sets, windows, places = (np.frombuffer(notes[c], "<i4").astype(np.int64) for c in ("sizes", "sets", "windows", "places"))
+    run, place, start = places.reshape(3, -1)
+    place = np.cumsum(place)
+    hit = np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
+    least = np.full(len(size) + len(sets), MAX_ID)
+    np.minimum.at(least, run, docs[place])
+    # A window of a crowded run was compared for the smallest document of the block that has it.
+    own = np.repeat(least[len(size) :], sets)
+    first = np.full(len(size), MAX_ID)
+    np.minimum.at(first, windows, own)
+    hit = np.concatenate([hit, hit[(np.cumsum(size) - size)[windows]] | (first[windows] < own)])
+    size = np.concatenate([size, sets])
+    begin = np.cumsum(size) - size
+    # Neighbouring hits of a run are one span.
+    before, after = np.concatenate([[False], hit[:-1]]), np.concatenate([hit[1:], [False]])
+    before[begin] = False
+    after[begin[1:] - 1] = False
+    edge, stop = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+    of = np.searchsorted(begin, edge, "right") - 1
+    n = np.bincount(of, minlength=len(size))
+    # Of the places of a run, those in larger documents than its smallest go whole.
+    whole = docs[place] > least[run]
+    some = ~whole
+    k = n[run[some]]
+    at = np.arange(k.sum()) + np.repeat((np.cumsum(n) - n)[run[some]] - (np.cumsum(k) - k), k)
+    shift = np.repeat(start[some], k) - begin[of[at]]
+    return np.concatenate([
+        np.stack([place[whole], start[whole], start[whole] + size[run[whole]] + length - 1], axis=1),
+        np.stack([np.repeat(place[some], k), shift + edge[at], shift + stop[at] + length], axis=1),
+    ])
 
 
 CUT = pa.schema([
@@ -276,8 +398,7 @@ def cut_out(table: pa.Table, answers: pa.Table, units: Units) -> pa.Table:
     if not table.num_rows:
         return CUT.empty_table()
     docs, texts = block_rows(table)
-    spans = [np.frombuffer(s, "<i8").reshape(-1, 3) for s in answers["spans"].to_pylist()]
-    spans = np.concatenate(spans) if spans else np.empty((0, 3), np.int64)
+    spans = removed(answers, docs, units.length)
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     of = defaultdict(list)
     for place, a, b in spans.tolist():
@@ -305,11 +426,8 @@ def remove_repeats(docs: DataFrame, units: Units, engine: Engine, block_bytes: i
     n_buckets = max(64, math.ceil(2 * n * block_bytes / each / (units.length - units.gram + 2) / BUCKET_KEYS))
     n_shards = 2 * n
     by_block = blocks.groupBy("block")
-    keys = by_block.applyInArrow(lambda t: send_keys(t, units, n_buckets), "bucket int, block int, keys binary")
-    shared = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, flags binary")
-    texts = by_block.cogroup(shared.repartition(n, "block").groupBy("block")).applyInArrow(
-        lambda t, a: send_texts(t, a, units, n_buckets, n_shards),
-        "shard int, block int, docs binary, sizes binary, data binary, places binary",
-    )
-    spans = texts.repartition(n_shards, "shard").groupBy("shard").applyInArrow(lambda t: search(t, units, engine), "block int, spans binary")
-    return by_block.cogroup(spans.repartition(n, "block").groupBy("block")).applyInArrow(lambda t, a: cut_out(t, a, units), CUT_DDL)
+    keys = by_block.applyInArrow(lambda t: send_keys(t, units, n_buckets), "bucket int, block int, keys binary, counts binary")
+    shared = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, flags binary, crowded binary")
+    texts = by_block.cogroup(shared.repartition(n, "block").groupBy("block")).applyInArrow(lambda t, a: send_texts(t, a, units, n_buckets, n_shards), TEXTS_DDL)
+    found = texts.repartition(n_shards, "shard").groupBy("shard").applyInArrow(lambda t: search(t, units, engine, n_shards), FOUND_DDL)
+    return by_block.cogroup(found.repartition(n, "block").groupBy("block")).applyInArrow(lambda t, a: cut_out(t, a, units), CUT_DDL)

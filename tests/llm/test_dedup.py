@@ -1,12 +1,15 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from frames import rows
 from texts import lower, words
 
-from lorespark.llm import exact_dedup, queries, simhash
+from lorespark.llm import exact_dedup, queries, simhash, windows
 from lorespark.llm.components import components
 from lorespark.llm.fm_index import FMIndex, substring_dedup
 from lorespark.llm.suffix_dedup import radix_groups, suffix_dedup
@@ -71,6 +74,44 @@ def test_windows(odd, odd_rows, empty, operator, length, as_words):
     assert operator(empty, length).count() == 0
 
 
+def passage_rows(n):
+    """A passage between words of each document's own, and copies of one such document."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"shared{i}" for i in range(60))
+    own = lambda: " ".join(f"{x:x}" for x in rng.integers(1 << 40, 1 << 44, 20))
+    data = [(int(d), f"{own()} {passage} {own()}") for d in rng.permutation(n)]
+    return data + [(n + i, data[0][1]) for i in range(20)] + [(None, data[1][1]), (5, data[2][1])]
+
+
+@pytest.mark.parametrize("operator, length, as_words", [(suffix_dedup, 50, False), (substring_dedup, 13, True)])
+def test_crowded_windows(spark, monkeypatch, operator, length, as_words):
+    monkeypatch.setattr(windows, "MANY", 1)
+    monkeypatch.setattr(windows, "CROWD", 20)
+    data = passage_rows(400)
+    got = [(r.doc_id, bytes(r.kept), r.n_units, r.n_removed, len(r.spans)) for r in operator(spark.createDataFrame(data, "doc_id long, text string"), length).collect()]
+    assert sorted(got, key=repr) == cut_brute(data, length, as_words)
+
+
+@pytest.mark.parametrize("length, as_words", [(50, False), (13, True)])
+def test_a_passage_does_not_crowd_a_shard(length, as_words):
+    """The fullest shard of passages in ever more documents, in 4 blocks; a shard gets no places."""
+    units, fullest = windows.Units(length, as_words), []
+    for n in (2000, 8000):
+        data = passage_rows(n)[:n]
+        blocks = [pa.table({"doc_id": [d for d, _ in data[i::4]], "text": [t.encode() for _, t in data[i::4]], "block": pa.array([i] * len(data[i::4]), pa.int32())}) for i in range(4)]
+        keys = pa.concat_tables([windows.send_keys(b, units, 1) for b in blocks])
+        answers = windows.find_shared(keys)
+        load = Counter()
+        for i, b in enumerate(blocks):
+            sent = windows.send_texts(b, answers.filter(pc.equal(answers["block"], i)), units, 1, 4096)
+            for r in sent.to_pylist():
+                if r["shard"] < 4096:
+                    assert not r["places"]
+                    load[r["shard"]] += len(r["sizes"]) // 4
+        fullest.append(max(load.values()))
+    assert fullest[1] < windows.CROWD + 4 * windows.MANY
+
+
 @pytest.mark.parametrize("query, length, as_words", [("op2_suffix_array_dedup", 50, False), ("op4_substring_dedup", 13, True)])
 def test_window_queries(spark, query, length, as_words):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
