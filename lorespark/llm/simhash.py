@@ -144,16 +144,27 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda b: compare(b, radius), "u long, v long")
 
 
+def linked(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """fingerprints of docs with MAX_ID for a null doc_id, written; and (print, least, component) for each print.
+
+    least is the smallest doc_id of the print, component the smallest print that its links reach.
+    """
+    prints = materialize(fingerprints(docs, words, seed).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))), "prints")
+    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
+    found = components(links(nodes.select("print", F.col("print").alias("node")), nodes.count(), radius))
+    named = nodes.join(found, F.col("print") == F.col("node"), "left")
+    return prints, named.select("print", "least", F.coalesce("component", "print").alias("component"))
+
+
 def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, print, component_id): component_id is the smallest doc_id that links of radius bits or fewer reach.
 
     Null text is empty; texts without words have print zero and are linked like any other. Repeated doc_ids are
     documents of their own; a null doc_id counts as the largest. Other columns are not carried.
     """
-    prints = materialize(fingerprints(docs, words, seed).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))), "prints")
-    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
-    # Prints that only rows of a null doc_id hold share a node name, so those are set apart by their print.
-    found = components(links(nodes.where(F.col("node") < MAX_ID), nodes.count(), radius))
-    named = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(named, "print")
+    prints, named = linked(docs, radius, words, seed)
+    named = materialize(named, "components")
+    # Written, so that the join can split a component of many prints.
+    least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    out = prints.join(named.join(least, "component"), "print")
     return out.select(F.nullif("doc_id", F.lit(MAX_ID)).alias("doc_id"), "print", F.nullif("component_id", F.lit(MAX_ID)).alias("component_id"))

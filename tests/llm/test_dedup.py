@@ -166,6 +166,24 @@ def test_simhash_cases(odd, odd_rows, empty):
     assert simhash.near_dedup(empty).count() == 0
 
 
+def test_simhash_links_through_null_ids(spark):
+    text = [" ".join(f"w{i}" for i in range(300))]
+    while len(text) < 3:  # each within the radius of the one before it only
+        base = text[-1].split()
+        for k in range(len(base)):
+            new = " ".join([*base[:k], f"x{len(text)}", *base[k + 1 :]])
+            near = [(print_of(new) ^ print_of(t)).bit_count() for t in text]
+            if 0 < near[-1] <= 3 and all(n > 3 for n in near[:-1]):
+                break
+        else:
+            raise AssertionError("no such text")
+        text.append(new)
+    other = "nothing like it at all " * 5
+    docs = [(7, text[0]), (None, text[1]), (3, text[2]), (None, other)]
+    got = {(r.doc_id, r["print"] % 2**64): r.component_id for r in simhash.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(d, print_of(t)): None if t == other else 3 for d, t in docs}
+
+
 @pytest.mark.parametrize("tile, crowd", [(1024, 32), (8, 32), (16, 0)])
 def test_links_in_any_tiling(spark, monkeypatch, tile, crowd):
     monkeypatch.setattr(simhash, "TILE", tile)
