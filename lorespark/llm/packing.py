@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White-space runs from this length on are encoded without the pattern, whose engine fails on runs of a million characters.
+LONG_RUN = 100_000
+#: White space as the pattern's engine has it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Ranks within a length are counted per (length, salt), so a length that a third of all pieces share is spread.
 SALTS = 512
 #: Tokens that a task holds before it hands pieces on.
@@ -59,7 +64,24 @@ def encoder(path: str):
     import tiktoken
 
     tok = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens={})
-    return lambda text: tok.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    long_runs = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+    def plain(text: str) -> np.ndarray:
+        return tok.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) < LONG_RUN:
+            return plain(text)
+        parts, at = [], 0
+        for run in long_runs.finditer(text):
+            # The pattern leaves a run's last character to what follows, if anything does.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            whole = tok._core_bpe.encode_single_piece(text[run.start() : end].encode())
+            parts += [plain(text[at : run.start()]), np.array(whole, "<u4")]
+            at = end
+        return np.concatenate([*parts, plain(text[at:])])
+
+    return encode
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:

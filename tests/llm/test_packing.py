@@ -23,6 +23,16 @@ def test_ids_equal_the_library():
     assert [[*encode(t).tolist(), END] for t in texts] == ids_of(texts)
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\u3000", "\x1c"])
+def test_long_white_space(space):
+    run = space * (120_000 // len(space))
+    texts = [f"a{run}", f"{run}b", f"a b{run}'s c{run[:99_999]}7 {run[:100_000]}d"] + [" " * 1_000_000] * (space == " ")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in texts:
+        assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_pieces_and_places(odd, odd_rows):
     got = packing.pack(odd).toPandas()
     want = sorted(zip([-1 if d is None else d for d, _ in odd_rows], map(tuple, ids_of([t or "" for _, t in odd_rows]))))
