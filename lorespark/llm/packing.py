@@ -55,27 +55,39 @@ def byte_level_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in t): model["vocab"][t] for t in tokens}
 
 
-def encoder(path: str):
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers file and their ids; an error for those that aren't matched as they stand."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    for token in found:
+        if any(token[k] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"the added token {token['content']!r} isn't matched as it stands")
+    return {token["content"]: token["id"] for token in found}
+
+
+def encoder(path: str, added: bool = False):
     """A function from a text to its ids as a numpy array of little-endian unsigned 32-bit integers.
 
-    The ids are those of the tokenizers library for the same file without special tokens, which the tests
-    check; tiktoken's engine makes them several times faster.
+    The ids are those of the tokenizers library for the same file, which the tests check; tiktoken's engine makes
+    them several times faster. With added the file's added tokens become their ids, as the library does by default;
+    without it they are text like any other, as with the library's encode_special_tokens.
     """
     import tiktoken
 
-    tok = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens={})
+    special = added_tokens(path) if added else {}
+    tok = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens=special)
     long_runs = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
 
     def plain(text: str) -> np.ndarray:
-        return tok.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return tok.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
 
     def encode(text: str) -> np.ndarray:
         if len(text) < LONG_RUN:
             return plain(text)
         parts, at = [], 0
         for run in long_runs.finditer(text):
-            # The pattern leaves a run's last character to what follows, if anything does.
-            end = run.end() if run.end() == len(text) else run.end() - 1
+            # The pattern leaves a run's last character to what follows, if anything but an added token does.
+            end = run.end() if run.end() == len(text) or text.startswith(tuple(special), run.end()) else run.end() - 1
             whole = tok._core_bpe.encode_single_piece(text[run.start() : end].encode())
             parts += [plain(text[at : run.start()]), np.array(whole, "<u4")]
             at = end
@@ -98,7 +110,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([end_id], "<u4")
+        encode, end = encoder(path, added=True), np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []
             size = 0

@@ -33,6 +33,16 @@ def test_long_white_space(space):
         assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark):
+    run = " " * 120_000
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> x", "<|endoftext| >", f"a{run}<|endoftext|>{run}b", "plain"]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for d, t in enumerate(texts):
+        got = [i for p in sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start) for i in np.frombuffer(p.ids, "<u4").tolist()]
+        assert got == [*tok.encode(t, add_special_tokens=False).ids, END]
+
+
 def test_pieces_and_places(odd, odd_rows):
     got = packing.pack(odd).toPandas()
     want = sorted(zip([-1 if d is None else d for d, _ in odd_rows], map(tuple, ids_of([t or "" for _, t in odd_rows]))))
