@@ -1,16 +1,37 @@
 """Corpus preparation in stages: each works on all that its predecessor kept.
 
-Stages take (spark, docs, sf_dir). All but the last return the columns of documents. Rows without a doc_id end with
-exact dedup, as later stages name what they keep by id; of rows that repeat a doc_id and text one stays.
+Stages take (spark, docs, sf_dir). All but the last return the columns of documents. They decide by row, which doc_id
+and a hash of the text name: rows that repeat a doc_id or have none keep their own texts. A null doc_id counts as the
+largest in near dedup and for repeated bytes, and as the smallest in exact dedup. Of rows that repeat a doc_id and text one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm import exact_dedup, packing, quality_classifier, simhash, suffix_dedup
-from lorespark.llm.common import materialize, read
+from lorespark.llm.common import MAX_ID, materialize, read
+
+
+def text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def one_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """The smallest row of each key, so that a repeated attempt finds the same."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+
+
+def chosen(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, key) in kept."""
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("_sha").alias("_kept"))
+    rows = docs.withColumn("_sha", key)
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    return one_each(rows, "doc_id", "_sha").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,16 +41,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    kept = exact_dedup.exact_dedup(docs).where("kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    return rows.join(kept, ["doc_id", "_sha"], "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """Of equal texts the row with the largest doc_id, or one without where no row has any."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
+    return chosen(docs, F.sha2(exact_dedup.normalised(F.col("text")), 256), kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest doc_id."""
-    kept = simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of linked fingerprints the row with the smallest doc_id, and of these the smallest hash."""
+    prints, named = simhash.linked(docs.withColumn("_sha", text_key(F.col("text"))), carry=("_sha",))
+    first = prints.join(named, "print").groupBy("component").agg(F.min(F.struct("doc_id", "_sha")).alias("first"))
+    kept = first.select(F.nullif("first.doc_id", F.lit(MAX_ID)).alias("doc_id"), "first._sha")
+    return chosen(docs, text_key(F.col("text")), kept)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +59,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A character that a cut runs through becomes U+FFFD.
     """
-    cut = suffix_dedup.suffix_dedup(docs).select("doc_id", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    cut = suffix_dedup.suffix_dedup(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
     cut = cut.withColumn("n_chars", F.length("text").cast("long"))
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    return cut.join(rest, "doc_id").select(*docs.columns)
+    rest = one_each(docs.withColumn("_sha", text_key(F.col("text"))).drop("text", "n_chars"), "doc_id", "_sha")
+    return cut.join(rest, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_key"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = (1 << 63) - 1
@@ -40,16 +40,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def in_blocks(docs: DataFrame, block_bytes: int, min_blocks: int = 64) -> tuple[DataFrame, int]:
+def in_blocks(docs: DataFrame, block_bytes: int, min_blocks: int = 64, by: Column | None = None) -> tuple[DataFrame, int]:
     """(doc_id, text as bytes, block) dealt into blocks of about block_bytes of text, and the number of blocks.
 
-    Blocks are dealt by a hash of the id, so a hot source or a run of long documents spreads evenly, and each
+    Blocks are dealt by a hash of the id (or of by), so a hot source or a run of long documents spreads evenly, and each
     doubles as the unit whose contents are pre-aggregated before anything is shuffled by content. Null text
     becomes the empty text; extra columns are not carried.
     """
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(min_blocks, math.ceil(size / block_bytes))
-    key = F.xxhash64(F.col("doc_id"), F.lit("block"))
+    key = F.xxhash64(F.col("doc_id") if by is None else by, F.lit("block"))
     out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"),

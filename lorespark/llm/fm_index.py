@@ -114,7 +114,7 @@ def fm_engine(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> np.
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, kept, n_units, n_removed, spans): texts without the words that smaller documents hold.
+    """(doc_id, text_sha256, kept, n_units, n_removed, spans): texts without the words that smaller documents hold.
 
     Words are runs of anything but ASCII white space, unchanged. Every word goes that a window of ``length`` words
     covers which also starts in a document with a smaller doc_id; windows are judged on the input. kept joins the

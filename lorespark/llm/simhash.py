@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import MAX_ID, materialize
 from .components import components
@@ -49,16 +50,16 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, print): the fingerprint of every row's whole text; null text is empty."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, print) and the columns to carry: the fingerprint of every row's whole text; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=["doc_id", "print", *carry])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("text"), *carry)
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, print long"), *docs.select(*carry).schema]))
 
 
 def block_keys(value: Column, blocks: int, radius: int = RADIUS) -> Column:
@@ -144,12 +145,12 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     return tiled.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda b: compare(b, radius), "u long, v long")
 
 
-def linked(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """fingerprints of docs with MAX_ID for a null doc_id, written; and (print, least, component) for each print.
 
     least is the smallest doc_id of the print, component the smallest print that its links reach.
     """
-    prints = materialize(fingerprints(docs, words, seed).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))), "prints")
+    prints = materialize(fingerprints(docs, words, seed, carry).withColumn("doc_id", F.coalesce("doc_id", F.lit(MAX_ID))), "prints")
     nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes.select("print", F.col("print").alias("node")), nodes.count(), radius))
     named = nodes.join(found, F.col("print") == F.col("node"), "left")

@@ -53,7 +53,7 @@ def radix_engine(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) ->
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, kept, n_units, n_removed, spans): texts as UTF-8 bytes without what smaller documents hold.
+    """(doc_id, text_sha256, kept, n_units, n_removed, spans): texts as UTF-8 bytes without what smaller documents hold.
 
     Every byte goes that a ``length``-byte string covers which also starts in a document with a smaller doc_id;
     strings are judged on the input. kept may be cut within a character. Null text is empty; rows with one doc_id

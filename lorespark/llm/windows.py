@@ -22,6 +22,7 @@ block and ``CROWD`` more, a window of a crowded key one for each block; no shard
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -388,10 +389,10 @@ def removed(answers: pa.Table, docs: np.ndarray, length: int) -> np.ndarray:
 
 
 CUT = pa.schema([
-    ("doc_id", pa.int64()), ("kept", pa.binary()), ("n_units", pa.int64()), ("n_removed", pa.int64()),
+    ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("kept", pa.binary()), ("n_units", pa.int64()), ("n_removed", pa.int64()),
     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
 ])
-CUT_DDL = "doc_id long, kept binary, n_units long, n_removed long, spans array<struct<start: long, end: long>>"
+CUT_DDL = "doc_id long, text_sha256 string, kept binary, n_units long, n_removed long, spans array<struct<start: long, end: long>>"
 
 
 def cut_out(table: pa.Table, answers: pa.Table, units: Units) -> pa.Table:
@@ -414,14 +415,15 @@ def cut_out(table: pa.Table, answers: pa.Table, units: Units) -> pa.Table:
         edges = [0, *(x for span in gone for x in span), len(parts)]
         kept = [parts[a:b] for a, b in zip(edges[::2], edges[1::2])]
         kept = b" ".join(w for p in kept for w in p) if units.words else b"".join(kept)
-        rows.append((None if doc == MAX_ID else doc, kept, len(parts), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone]))
+        rows.append((None if doc == MAX_ID else doc, hashlib.sha256(text).hexdigest(), kept, len(parts), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone]))
     return pa.Table.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), CUT.types)], schema=CUT)
 
 
 def remove_repeats(docs: DataFrame, units: Units, engine: Engine, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, kept, n_units, n_removed, spans) for each row of docs; spans are the maximal removed runs of units."""
+    """(doc_id, text_sha256, kept, n_units, n_removed, spans) for each row of docs; spans are the maximal removed runs of units."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), "text")
-    blocks, n = in_blocks(docs, block_bytes)
+    # Rows without a doc_id are dealt by their text.
+    blocks, n = in_blocks(docs, block_bytes, by=F.when(F.col("doc_id") == MAX_ID, F.xxhash64("text")).otherwise(F.col("doc_id")))
     each = 6 if units.words else 1  # bytes of a unit, about
     n_buckets = max(64, math.ceil(2 * n * block_bytes / each / (units.length - units.gram + 2) / BUCKET_KEYS))
     n_shards = 2 * n
