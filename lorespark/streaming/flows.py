@@ -67,10 +67,24 @@ def ingest(source: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
 
 
 def run_to_end(spark: SparkSession, out: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that a stream over present input gives, as a table in memory."""
-    query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that a stream over present input gives: a read of Parquet files beside the checkpoint, in a shared folder.
+
+    The checkpoint must be a new one. Each batch of complete mode replaces the result, so it is written to a table of its own and the last one is read.
+    """
+    path, last = f"{checkpoint.rstrip('/')}-{name}", []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        last[:] = [number]
+
+    writer = out.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.foreachBatch(keep).start() if mode == "complete" else writer.format("parquet").start(path)
     query.awaitTermination()
-    return spark.table(name)
+    if mode == "complete":
+        path = f"{path}/{last[0]}" if last else None
+    elif not query.recentProgress:
+        path = None
+    return spark.read.schema(out.schema).parquet(path) if path else spark.createDataFrame([], out.schema)
 
 
 def progress(query: StreamingQuery) -> dict:

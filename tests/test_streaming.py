@@ -23,6 +23,27 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert sorted(tuple(r) for r in table.read().select("id", "v").collect()) == [(1, "a"), (2, "c")]
 
 
+def test_results_of_streams_are_files(spark, tmp_path):
+    src = tmp_path / "in"
+    for i in range(3):
+        df = spark.createDataFrame([(i, "a"), (i + 1, "b")], "s long, k string").select("k", "s", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("k string, s long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    counts = flows.run_to_end(spark, flows.windowed_counts(stream, "ts", "k", length="1 day"), "counts", str(tmp_path / "c1"), "complete")
+    once = flows.run_to_end(spark, flows.consume_once(stream, "s", "ts").select("s"), "once", str(tmp_path / "c2"))
+    assert sorted((r.k, r.n) for r in counts.collect()) == [("a", 3), ("b", 3)]
+    assert sorted(r.s for r in once.collect()) == [0, 1, 2, 3]
+    assert counts.inputFiles() and once.inputFiles()
+
+
+def test_streams_without_input(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("k string, s long, ts timestamp").parquet(str(tmp_path / "in"))
+    counts = flows.windowed_counts(stream, "ts", "k", length="1 day")
+    assert flows.run_to_end(spark, counts, "no_counts", str(tmp_path / "c1"), "complete").count() == 0
+    assert flows.run_to_end(spark, flows.consume_once(stream, "k", "ts"), "no_keys", str(tmp_path / "c2")).count() == 0
+
+
 def test_live_keys_expire(spark, tmp_path):
     src = tmp_path / "in"
     for i, rows in enumerate([[(1, 0), (1, 5), (2, 8)], [(3, 1000)], [(3, 5000)]]):
