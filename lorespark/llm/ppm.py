@@ -2,12 +2,15 @@
 
 Two models learn from the training documents, with A-Z in lower case:
 
-* Base: word counts with add-one smoothing. Blocks of documents send each distinct word once to the bucket of its hash and
-  get back its count in the whole corpus.
+* Base: word counts with add-one smoothing.
 * PPM: a byte-context trie of depth ``ORDER``. Escapes are estimated by method D (half a count of each distinct symbol goes to
-  the escape), and symbols that a longer context has seen are excluded from the shorter ones. All counts of
-  contexts that end in the same two bytes meet in one group, where the code length of every byte string of ORDER + 1
-  that occurs in any document is worked out; shorter contexts come from a table of 65,536 pair counts.
+  the escape), and symbols that a longer context has seen are excluded from the shorter ones.
+
+Text is dealt into blocks. A block sends each distinct word and each distinct string of ORDER + 1 bytes once, with its count,
+to a bucket; buckets add up the counts, comparing words themselves. The trie is a table of byte strings with counts. From
+the shortest order on, each order's strings are joined with their shorter ones and looked at by context (``code_lengths``), where
+a context has at most 255 symbols. Buckets then answer each block with the code lengths of its own strings. No step is
+different at another size, and nothing of the model passes through the driver.
 
 A document's score is the sum of the code lengths of its bytes and of its end, as log10 probability.
 """
@@ -23,9 +26,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import MAX_ID, in_blocks, materialize
-from .windows import WordCodes, cut_points
+from .windows import cut_points
 
 ORDER = 5
 #: Never bytes of UTF-8: what stands before a text, and its end as a symbol.
@@ -35,8 +39,6 @@ SYMBOLS = 255
 FOLDS, FOLD = 7, 2
 BLOCK_BYTES = 8 << 20
 SLICE = 1 << 20
-#: Distinct byte strings up to which their code lengths are broadcast (16 bytes each); beyond it they are joined by shuffle.
-BROADCAST = 4_000_000
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -63,239 +65,206 @@ def byte_slices(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
             at, part, size = i + 1, [], 0
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each task, the distinct strings of its documents and how often training documents hold them."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def merged(new_keys: list[np.ndarray], new_counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        which, distinct = pd.factorize(np.concatenate([keys, *new_keys]))
-        return distinct, np.bincount(which, np.concatenate([counts, *new_counts]), len(distinct)).astype(np.int64)
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
-
-    for batch in batches:
-        train = np.array([not is_held_out(d) for d in batch.column(0).to_pylist()])
-        found: tuple[list, list] = ([], [])
-        for at, grams, n in byte_slices([t.encode().lower() for t in batch.column(1).to_pylist()]):
-            which, distinct = pd.factorize(grams)
-            weight = np.repeat(train[at : at + len(n)], n).astype(np.float64)
-            found[0].append(distinct)
-            found[1].append(np.bincount(which, weight, len(distinct)).astype(np.int64))
-        keys, counts = merged(*found)
-        if len(keys) > 2_000_000:
-            yield out()
-            keys, counts = keys[:0], counts[:0]
-    yield out()
-
-
-def code_lengths(grams: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log10 probability of the last byte of each string after the others.
+def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, log_p): log10 probability of the last byte of each string after the others.
 
-    grams must hold every string of a corpus whose context ends in the same two bytes, or a union of such sets; pairs is the
-    256 x 256 table of how often a byte follows a byte.
+    counts is (gram, n): strings of order + 1 bytes as numbers, once each, and how often training texts hold them. A string's own
+    row holds what its symbol costs after an escape from its context (``lower``), which the next longer order builds on.
     """
-    symbol, last = grams & 0xFF, (grams >> 8) & 0xFF
-    single = pairs.sum(axis=0)
-    log_p = np.zeros(len(grams))
-    done = np.zeros(len(grams), bool)
-    # Excluded by the next longer context, where that was seen: their total in this order, and how many.
-    gone_n, gone_d = np.zeros(len(grams)), np.zeros(len(grams))
-
-    def step(count, total, distinct):
-        """Code the symbol in this order or escape from it."""
-        nonlocal log_p, done
-        rest, kinds = total - gone_n, distinct - gone_d
-        use = ~done & (rest > 0)
-        hit = use & (count > 0)
-        log_p[hit] += np.log10((2 * count[hit] - 1) / (2 * rest[hit]))
-        miss = use & ~hit
-        log_p[miss] += np.log10(kinds[miss] / (2 * rest[miss]))
-        done |= hit
-
-    def by(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        which, distinct = pd.factorize(keys)
-        return np.bincount(which, values, len(distinct))[which]
-
-    def first_of(keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
-        out[np.unique(keys, return_index=True)[1]] = True
-        return out
-
-    counts, ones = {}, {}
-    for k in range(order, 1, -1):
-        string = grams & ((1 << 8 * (k + 1)) - 1)
-        counts[k], ones[k] = by(string, n), first_of(string)
-    counts[1], counts[0] = pairs[last, symbol].astype(float), single[symbol].astype(float)
-    for k in range(order, 1, -1):
-        context = (grams >> 8) & ((1 << 8 * k) - 1)
-        seen = ones[k] & (counts[k] > 0)  # one row for each symbol that followed the context
-        total, distinct = by(context, np.where(seen, counts[k], 0)), by(context, seen.astype(float))
-        step(counts[k], total, distinct)
-        gone_n, gone_d = by(context, np.where(seen, counts[k - 1], 0)), distinct
-    step(counts[1], pairs.sum(axis=1)[last].astype(float), (pairs > 0).sum(axis=1)[last].astype(float))
-    gone_n, gone_d = ((pairs > 0) @ single)[last].astype(float), (pairs > 0).sum(axis=1)[last].astype(float)
-    seen_at_all = float((single > 0).sum())
-    step(counts[0], np.full(len(grams), float(single.sum())), np.full(len(grams), seen_at_all))
-    log_p[~done] -= math.log10(max(1.0, SYMBOLS - seen_at_all))
-    return log_p
-
-
-def byte_model(docs: DataFrame) -> DataFrame:
-    """(gram, log_p) of every string of ORDER + 1 bytes in any document, written to the shared folder."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = materialize(texts.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    pairs = np.zeros((256, 256), np.int64)
-    for r in counts.groupBy(F.col("gram").bitwiseAND(0xFFFF).cast("int").alias("pair")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[r["pair"] >> 8, r["pair"] & 0xFF] = r["n"]
-
-    def model(table: pa.Table) -> pa.Table:
-        grams, n = table["gram"].to_numpy(), table["n"].to_numpy().astype(float)
-        return pa.table({"gram": grams, "log_p": code_lengths(grams, n, pairs)})
-
-    suffix = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
-    dealt = counts.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(256)))
-    return materialize(dealt.groupBy("part").applyInArrow(model, "gram long, log_p double"), "lengths")
-
-
-def word_sets(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, numbers of words, the words' codes one after another, and whether each is of a training document."""
-    codes = WordCodes()
-    docs = table["doc_id"].to_pylist()
-    flat = [np.empty(0, np.uint64)]
-    for text in table["text"]:  # one text's words at a time
-        words = text.as_py().lower().split()
-        flat.append(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)))
-    n = np.array([len(f) for f in flat[1:]], np.int64)
-    train = np.repeat(np.array([not is_held_out(d) for d in docs], bool), n)
-    return docs, n, np.concatenate(flat), train
-
-
-def by_bucket(flat: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's place among the distinct codes, and the distinct codes by bucket and then size."""
-    which, distinct = pd.factorize(flat)
-    bucket = (distinct >> np.uint64(32)) % np.uint64(n_buckets)
-    order = np.lexsort((distinct, bucket))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return place[which], distinct[order], bucket[order].astype(np.int64)
-
-
-def send_words(table: pa.Table, n_buckets: int) -> pa.Table:
-    _, _, flat, train = word_sets(table)
-    place, distinct, bucket = by_bucket(flat, n_buckets)
-    n = np.bincount(place, train, len(distinct)).astype("<u4")
-    first, end = cut_points(bucket)
+    now = None
+    for k in range(order + 1):
+        # Strings of k + 1 bytes: a context of k and a symbol.
+        strings = counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("string")).agg(F.sum("n").cast("double").alias("n"))
+        context = Window.partitionBy(F.shiftright("string", 8))
+        total, kinds = F.sum("n").over(context), F.count_if(F.col("n") > 0).over(context).cast("double")
+        if now is None:  # at most 256 strings
+            lower = -F.log10(F.greatest(F.lit(1.0), SYMBOLS - kinds))
+        else:
+            short = now.select(F.col("string").alias("short"), *(F.col(c).alias(f"short_{c}") for c in ("n", "total", "kinds", "lower")))
+            strings = strings.join(short, F.col("string").bitwiseAND((1 << 8 * k) - 1) == F.col("short"))
+            # What the context has seen is excluded from the shorter one.
+            seen = F.sum(F.when(F.col("n") > 0, F.col("short_n")).otherwise(0.0)).over(context)
+            rest, left = F.col("short_total") - seen, F.col("short_kinds") - kinds
+            lower = (
+                F.when(rest <= 0, F.col("short_lower"))
+                .when(F.col("short_n") > 0, F.log10((2 * F.col("short_n") - 1) / (2 * rest)))
+                .otherwise(F.log10(left / (2 * rest)) + F.col("short_lower"))
+            )
+        now = strings.select("string", "n", total.alias("total"), kinds.alias("kinds"), lower.alias("lower"))
+    cost = (
+        F.when(F.col("n") > 0, F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))))
+        .when(F.col("total") > 0, F.log10(F.col("kinds") / (2 * F.col("total"))) + F.col("lower"))
+        .otherwise(F.col("lower"))
+    )
+    return now.select(F.col("string").alias("gram"), cost.alias("log_p"))
+
+
+class Numbers(dict):
+    """Words numbered in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Block:
+    """The documents of a block: their words and strings, and both once each in the order that buckets are sent them."""
+
+    def __init__(self, table: pa.Table, n_buckets: int):
+        import xxhash
+
+        rows = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist()))
+        self.docs = [d for d, _ in rows]
+        self.texts = [t.lower() for _, t in rows]
+        self.train = np.array([not is_held_out(d) for d in self.docs], bool)
+        numbers = Numbers()
+        flat = [np.empty(0, np.int32)]
+        for text in self.texts:  # one text's words at a time
+            words = text.split()
+            flat.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+        self.n_words = np.array([len(f) for f in flat[1:]], np.int64)
+        words = list(numbers)
+        bucket = np.array([xxhash.xxh3_64_intdigest(w) % n_buckets for w in words], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        self.words, self.word_bucket = [words[i] for i in order], bucket[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.flat = place[np.concatenate(flat)] if words else np.empty(0, np.int64)
+        self.n_buckets = n_buckets
+
+    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings by bucket, their counts in training documents, and their buckets."""
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.float64)]
+        for at, grams, n in byte_slices(self.texts):
+            which, distinct = pd.factorize(grams)
+            keys.append(distinct)
+            counts.append(np.bincount(which, np.repeat(self.train[at : at + len(n)], n), len(distinct)))
+        which, distinct = pd.factorize(np.concatenate(keys))
+        count = np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
+        bucket = distinct % self.n_buckets
+        order = np.lexsort((distinct, bucket))
+        return distinct[order], count[order], bucket[order]
+
+
+def pieces_of(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+    return {int(bucket[a]): (a, b) for a, b in zip(*(x.tolist() for x in cut_points(bucket)))}
+
+
+SENT = "bucket int, block int, words binary, word_counts binary, grams binary, gram_counts binary"
+
+
+def send(table: pa.Table, n_buckets: int) -> pa.Table:
+    """A row for each bucket: the block's distinct words, joined by blanks, and strings, with their counts in training documents."""
+    block = Block(table, n_buckets)
+    word_counts = np.bincount(block.flat, np.repeat(block.train, block.n_words), len(block.words)).astype("<u4")
+    grams, gram_counts, gram_bucket = block.strings()
+    words_at, grams_at = pieces_of(block.word_bucket), pieces_of(gram_bucket)
+    buckets = sorted(words_at.keys() | grams_at.keys())
+    rows: list[list] = [[], [], [], []]
+    for b in buckets:
+        i, j = words_at.get(b, (0, 0))
+        k, m = grams_at.get(b, (0, 0))
+        for column, value in zip(rows, (b" ".join(block.words[i:j]), word_counts[i:j].tobytes(), grams[k:m].astype("<i8").tobytes(), gram_counts[k:m].astype("<u4").tobytes())):
+            column.append(value)
+    number = table["block"][0].as_py()
     return pa.table({
-        "bucket": pa.array(bucket[first], pa.int32()),
-        "block": pa.array([table["block"][0].as_py()] * len(first), pa.int32()),
-        "words": pa.array([distinct[a:b].astype("<u8").tobytes() for a, b in zip(first, end)], pa.binary()),
-        "counts": pa.array([n[a:b].tobytes() for a, b in zip(first, end)], pa.binary()),
+        "bucket": pa.array(buckets, pa.int32()), "block": pa.array([number] * len(buckets), pa.int32()),
+        **{c: pa.array(v, pa.binary()) for c, v in zip(("words", "word_counts", "grams", "gram_counts"), rows)},
     })
 
 
 def total_words(table: pa.Table) -> pa.Table:
     """The whole count of each word that a block sent; tokens and vocabulary of the bucket on its first row."""
-    words = [np.frombuffer(w, "<u8") for w in table["words"].to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()]
-    which, distinct = pd.factorize(np.concatenate(words))
-    total = np.bincount(which, np.concatenate(counts), len(distinct)).astype("<i8")
-    ends = np.cumsum([len(w) for w in words])[:-1]
-    back = [total[w].tobytes() for w in np.split(which, ends)]
-    first = np.arange(len(words)) == 0
+    numbers = Numbers()
+    sent = [[numbers[w] for w in words.split()] for words in table["words"].to_pylist()]
+    counts = [np.frombuffer(c, "<u4") for c in table["word_counts"].to_pylist()]
+    total = np.bincount(np.concatenate([np.array(s, np.int64) for s in sent]), np.concatenate(counts), len(numbers)).astype("<i8")
+    first = np.arange(len(sent)) == 0
     return pa.table({
-        "block": table["block"], "bucket": table["bucket"], "counts": pa.array(back, pa.binary()),
+        "block": table["block"], "bucket": table["bucket"], "counts": pa.array([total[s].tobytes() if s else b"" for s in sent], pa.binary()),
         "tokens": pa.array(np.where(first, total.sum(), 0), pa.int64()), "kinds": pa.array(np.where(first, (total > 0).sum(), 0), pa.int64()),
     })
 
 
+def total_grams(table: pa.Table) -> pa.Table:
+    grams = [np.frombuffer(g, "<i8") for g in table["grams"].to_pylist()]
+    counts = [np.frombuffer(c, "<u4") for c in table["gram_counts"].to_pylist()]
+    which, distinct = pd.factorize(np.concatenate(grams))
+    return pa.table({"gram": pa.array(distinct, pa.int64()), "n": pa.array(np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64))})
+
+
+def answer(sent: pa.Table, lengths: pa.Table) -> pa.Table:
+    """The code lengths of the strings that each block sent to a bucket."""
+    known = lengths["gram"].to_numpy()
+    order = np.argsort(known)
+    known, log_p = known[order], lengths["log_p"].to_numpy()[order]
+    back = [log_p[np.searchsorted(known, np.frombuffer(g, "<i8"))].astype("<f8").tobytes() if g else b"" for g in sent["grams"].to_pylist()]
+    return pa.table({"block": sent["block"], "bucket": sent["bucket"], "counts": pa.nulls(len(back), pa.binary()), "logs": pa.array(back, pa.binary())})
+
+
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-class Lengths:
-    """Code lengths by byte string, from sorted strings."""
+def joined(answers: pa.Table, column: str, kind: str) -> np.ndarray:
+    """A column's numbers by bucket, which is the order of Block."""
+    parts = sorted((b, v) for b, v in zip(answers["bucket"].to_pylist(), answers[column].to_pylist()) if v is not None)
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(v, kind) for _, v in parts)])
 
-    def __init__(self, grams: np.ndarray, log_p: np.ndarray):
-        self.grams, self.log_p = grams, log_p
 
-    def sums(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for at, grams, n in byte_slices(texts):
-            which, distinct = pd.factorize(grams)
-            values = self.log_p[np.searchsorted(self.grams, distinct)][which]
-            total = np.concatenate([[0.0], np.cumsum(values)])
-            ends = np.cumsum(n)
-            out[at : at + len(n)] = total[ends] - total[ends - n]
-        return out
-
-
-def score_block(table: pa.Table, answers: pa.Table, lengths: Lengths, n_buckets: int, tokens: int, kinds: int, end_count: int) -> pa.Table:
-    docs, n, flat, _ = word_sets(table)
-    place, distinct, bucket = by_bucket(flat, n_buckets)
-    counts = np.zeros(len(distinct), np.int64)
-    sent = dict(zip(answers["bucket"].to_pylist(), answers["counts"].to_pylist()))
-    for a, b in zip(*cut_points(bucket)):
-        counts[a:b] = np.frombuffer(sent[int(bucket[a])], "<i8")
-    each = counts[place]
-    ends = np.cumsum(n)
+def score_block(table: pa.Table, answers: pa.Table, n_buckets: int, tokens: int, kinds: int, ends: int) -> pa.Table:
+    if not table.num_rows:
+        return SCORED.empty_table()
+    block = Block(table, n_buckets)
+    each = joined(answers, "counts", "<i8")[block.flat]
+    stop = np.cumsum(block.n_words)
     logs = np.concatenate([[0.0], np.cumsum(np.log10(each + 1.0))])
     known = np.concatenate([[0], np.cumsum(each > 0)])
-    base = logs[ends] - logs[ends - n] + math.log10(end_count + 1) - (n + 1) * math.log10(tokens + kinds + 1)
+    n = block.n_words
+    base = logs[stop] - logs[stop - n] + math.log10(ends + 1) - (n + 1) * math.log10(tokens + kinds + 1)
+    grams, _, _ = block.strings()
+    order = np.argsort(grams)
+    grams, log_p = grams[order], joined(answers, "logs", "<f8")[order]
+    score = np.zeros(len(block.texts))
+    for at, own, count in byte_slices(block.texts):
+        which, distinct = pd.factorize(own)
+        sums = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, distinct)][which])])
+        last = np.cumsum(count)
+        score[at : at + len(count)] = sums[last] - sums[last - count]
     columns = [
-        pa.array([None if d == MAX_ID else d for d in docs], pa.int64()), pa.array([is_held_out(d) for d in docs], pa.bool_()), pa.array(n + 1),
-        pa.array(known[ends] - known[ends - n] + (end_count > 0)), pa.array(base), pa.array(lengths.sums([t.lower() for t in table["text"].to_pylist()])),
+        pa.array([None if d == MAX_ID else d for d in block.docs], pa.int64()), pa.array(~block.train), pa.array(n + 1),
+        pa.array(known[stop] - known[stop - n] + (ends > 0)), pa.array(base), pa.array(score),
     ]
     return pa.Table.from_arrays(columns, schema=SCORED)
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, broadcast: int = BROADCAST) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Rows whose crc32 of the id as text leaves FOLD modulo FOLDS are held out of training. Null text is empty: it has
-    its end only. Repeated doc_ids are documents of their own; a row of a null doc_id is learned from. Words are told
-    apart by 64-bit hashes. Other columns are not carried.
+    its end only. Repeated doc_ids are documents of their own; a row of a null doc_id is learned from. Without rows to
+    learn from every symbol is as likely as any other. Other columns are not carried.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks, n = in_blocks(docs, block_bytes)
-    n_buckets = max(64, n)
-    sent = blocks.groupBy("block").applyInArrow(lambda t: send_words(t, n_buckets), "bucket int, block int, words binary, counts binary")
-    totals = sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(total_words, "block int, bucket int, counts binary, tokens long, kinds long")
+    n_buckets = n | 1  # odd, so that strings that share their last bytes spread
+    by_block = blocks.groupBy("block")
+    sent = materialize(by_block.applyInArrow(lambda t: send(t, n_buckets), SENT), "sent")
+
+    def by_bucket(*columns: str):
+        return sent.select("bucket", "block", *columns).repartitionById(n_buckets, F.col("bucket")).groupBy("bucket")
+
+    totals = by_bucket("words", "word_counts").applyInArrow(total_words, "block int, bucket int, counts binary, tokens long, kinds long")
     totals = materialize(totals, "words")
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % FOLDS == FOLD
     ends = docs.agg(F.count_if(~fold | (F.col("doc_id") == MAX_ID)).alias("n")).first()["n"]
     seen = totals.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     tokens, kinds = (seen["tokens"] or 0) + ends, (seen["kinds"] or 0) + (ends > 0)
-    lengths = byte_model(docs)
-    answers = totals.select("block", "bucket", "counts").repartition(n, "block").groupBy("block")
+    counts = materialize(by_bucket("grams", "gram_counts").applyInArrow(total_grams, "gram long, n long"), "grams")
+    lengths = materialize(code_lengths(counts), "lengths")
+    dealt = lengths.withColumn("bucket", (F.col("gram") % n_buckets).cast("int")).repartitionById(n_buckets, F.col("bucket")).groupBy("bucket")
+    logs = by_bucket("grams").cogroup(dealt).applyInArrow(answer, "block int, bucket int, counts binary, logs binary")
+    answers = totals.select("block", "bucket", "counts", F.lit(None).cast("binary").alias("logs")).unionByName(logs)
+    answers = answers.repartitionById(n, F.col("block")).groupBy("block")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    by_block = blocks.groupBy("block")
-    if lengths.count() <= broadcast:
-        table = lengths.toArrow()  # columns all the way: at most 64 MB
-        order = np.argsort(table["gram"].to_numpy())
-        shared = spark.sparkContext.broadcast((table["gram"].to_numpy()[order], table["log_p"].to_numpy()[order]))
-        del table, order
-
-        def run(t: pa.Table, a: pa.Table) -> pa.Table:
-            return score_block(t, a, Lengths(*shared.value), n_buckets, tokens, kinds, ends) if t.num_rows else SCORED.empty_table()
-    else:  # each block gets the code lengths of its own strings
-        wanted = by_block.applyInArrow(block_grams, "block int, gram long")
-        found = wanted.join(lengths, "gram").select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "gram", "log_p")
-        answers = totals.select("block", "bucket", "counts", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("log_p"))
-        answers = answers.unionByName(found).repartition(n, "block").groupBy("block")
-
-        def run(t: pa.Table, a: pa.Table) -> pa.Table:
-            if not t.num_rows:
-                return SCORED.empty_table()
-            own = a["bucket"].to_numpy() < 0
-            grams = a.filter(pa.array(own)).sort_by("gram")
-            return score_block(t, a.filter(pa.array(~own)), Lengths(grams["gram"].to_numpy(), grams["log_p"].to_numpy()), n_buckets, tokens, kinds, ends)
-
-    out = by_block.cogroup(answers).applyInArrow(run, ddl)
+    out = by_block.cogroup(answers).applyInArrow(lambda t, a: score_block(t, a, n_buckets, tokens, kinds, ends), ddl)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def block_grams(table: pa.Table) -> pa.Table:
-    found = [pd.unique(g) for _, g, _ in byte_slices([t.lower() for t in table["text"].to_pylist()])]
-    grams = pd.unique(np.concatenate(found))
-    return pa.table({"block": pa.array([table["block"][0].as_py()] * len(grams), pa.int32()), "gram": grams})

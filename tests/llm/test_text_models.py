@@ -52,24 +52,34 @@ def ppm_brute(data):
         yield d, held(d), len(w) + 1, sum(count[x] > 0 for x in w) + (ends > 0), tokens, base, sum(cost(b[i - k : i], b[i]) for i in range(k, len(b)))
 
 
-@pytest.mark.parametrize("broadcast", [0, 1 << 20])
-def test_ppm(odd, odd_rows, broadcast):
-    got = sorted((tuple(r) for r in ppm.score(odd, broadcast=broadcast).collect()), key=repr)
+@pytest.mark.parametrize("block_bytes", [ppm.BLOCK_BYTES, 500])
+def test_ppm(odd, odd_rows, block_bytes):
+    got = sorted((tuple(r) for r in ppm.score(odd, block_bytes).collect()), key=repr)
     want = sorted(ppm_brute(odd_rows), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
 
 
-def test_ppm_is_a_distribution():
+def test_ppm_without_training_rows(spark):
+    data = [(d, "only held out rows here") for d in range(300) if held(d)][:3]
+    got = sorted(tuple(r) for r in ppm.score(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in sorted(ppm_brute(data))])
+
+
+def test_ppm_long_text(spark):
+    data = [(1, "abc " * 600_000), (2, "x" * 2_000_000), (3, None)]
+    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1].n_tokens == 600_001 and got[2].n_tokens == 2 and all(math.isfinite(r.score) for r in got.values())
+
+
+def test_ppm_is_a_distribution(spark):
     rng = np.random.default_rng(0)
-    n = Counter(map(tuple, rng.integers(97, 100, (300, 2)).tolist()))
-    grams = np.array([(a << 8 | b) << 8 | s for a, b in {k for k in n} for s in range(256) if s != ppm.BEFORE])
-    counts = np.array([rng.integers(0, 3) if 97 <= g & 255 < 100 else 0 for g in grams], float)
-    pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, ((grams >> 8) & 255, grams & 255), counts.astype(int))
-    p = 10 ** ppm.code_lengths(grams, counts, pairs, 2)
-    for context in set((grams >> 8).tolist()):
-        assert p[(grams >> 8) == context].sum() == pytest.approx(1)
+    pairs = {tuple(p) for p in rng.integers(97, 100, (300, 2)).tolist()}
+    rows = [((a << 8 | b) << 8 | s, int(rng.integers(0, 3)) if 97 <= s < 100 else 0) for a, b in pairs for s in range(256) if s != ppm.BEFORE]
+    p = {r.gram: 10**r.log_p for r in ppm.code_lengths(spark.createDataFrame(rows, "gram long, n long"), 2).collect()}
+    assert len(p) == len(rows)
+    for a, b in pairs:
+        assert sum(v for g, v in p.items() if g >> 8 == (a << 8 | b)) == pytest.approx(1)
 
 
 def test_ppm_beats_the_base_on_held_out_rows(spark):
