@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = (1 << 63) - 1
@@ -14,18 +15,29 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset a temporary folder takes its place, but only with a local master: on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lorespark-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _LOCAL.get("dir") or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lorespark-"))
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df to a new table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table goes when the driver ends, however the job ended.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     df.write.parquet(path)
+    fs.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,19 +52,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def in_blocks(docs: DataFrame, block_bytes: int, min_blocks: int = 64, by: Column | None = None) -> tuple[DataFrame, int]:
-    """(doc_id, text as bytes, block) dealt into blocks of about block_bytes of text, and the number of blocks.
+def in_blocks(docs: DataFrame, block_bytes: int, min_blocks: int = 64) -> tuple[DataFrame, int]:
+    """(doc_id, text as bytes, block) dealt into blocks of about block_bytes of text, a partition each, and their number.
 
-    Blocks are dealt by a hash of the id (or of by), so a hot source or a run of long documents spreads evenly, and each
-    doubles as the unit whose contents are pre-aggregated before anything is shuffled by content. Null text
-    becomes the empty text; extra columns are not carried.
+    Blocks are dealt by a hash of the id and the text, so a hot source, a run of long documents, a repeated id or
+    rows without one spread evenly, and each doubles as the unit whose contents are pre-aggregated before anything
+    is shuffled by content. Null text becomes the empty text; extra columns are not carried.
     """
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(min_blocks, math.ceil(size / block_bytes))
-    key = F.xxhash64(F.col("doc_id") if by is None else by, F.lit("block"))
+    text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8").alias("text"),
-        F.pmod(key, F.lit(n)).cast("int").alias("block"),
+        F.encode(text, "UTF-8").alias("text"),
+        F.pmod(F.xxhash64("doc_id", text, F.lit("block")), F.lit(n)).cast("int").alias("block"),
     )
-    return out.repartition(n, "block"), n
+    return out.repartitionById(n, F.col("block")), n

@@ -184,19 +184,20 @@ def cut_points(sorted_group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(sorted_group))
 
 
-def all_runs(texts: list[bytes], docs: np.ndarray, units: Units, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, owners, hashes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+def all_runs(texts: list[bytes], docs: np.ndarray, units: Units, n_buckets: int) -> tuple[np.ndarray, ...]:
+    """(text's place, first unit in it, number of windows, composite key, hash) of each run of a block, in order."""
+    found = [(np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2]
     for at, _, codes, lengths in slices(texts, units):
         doc, start, size, key = runs(codes, lengths, units)
-        keys.append(composite(key, n_buckets))
-        owners.append(docs[at + doc])
-        hashes.append(run_hashes(codes, start, start + size + units.length - 1))
-    return distinct_keys(np.concatenate(keys), np.concatenate(owners), np.concatenate(hashes))
+        first = (np.cumsum(lengths) - lengths)[doc]
+        found.append((at + doc, start - first, size, composite(key, n_buckets), run_hashes(codes, start, start + size + units.length - 1)))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def send_keys(table: pa.Table, units: Units, n_buckets: int) -> pa.Table:
     docs, texts = block_rows(table)
-    keys, _, counts = all_runs(texts, docs, units, n_buckets)
+    place, _, _, key, hashes = all_runs(texts, docs, units, n_buckets)
+    keys, _, counts = distinct_keys(key, docs[place], hashes)
     bucket = (keys >> np.uint64(32)).astype(np.int64)
     first, end = cut_points(bucket)
     rest = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -241,7 +242,8 @@ def send_texts(table: pa.Table, answers: pa.Table, units: Units, n_buckets: int,
     if not table.num_rows:
         return TEXTS.empty_table()
     docs, texts = block_rows(table)
-    keys, several, _ = all_runs(texts, docs, units, n_buckets)
+    place, start, size, key, hashes = all_runs(texts, docs, units, n_buckets)
+    keys, several, _ = distinct_keys(key, docs[place], hashes)
     bucket = (keys >> np.uint64(32)).astype(np.int64)
     flags = dict(zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist()))
     wanted = several.copy()
@@ -255,7 +257,6 @@ def send_texts(table: pa.Table, answers: pa.Table, units: Units, n_buckets: int,
     shards, least, sizes = [], [], []
     sets: dict[bytes, int] = {}
     set_sizes, windows = [], []
-    places = []
 
     def entry(text: bytes, shard: int, doc: int, n: int) -> int:
         e = entries.setdefault(text, len(shards))
@@ -265,36 +266,35 @@ def send_texts(table: pa.Table, answers: pa.Table, units: Units, n_buckets: int,
             sizes.append(n)
         return e
 
-    for at, parts, codes, lengths in slices(texts, units) if len(wanted) else ():
-        doc, start, size, key = runs(codes, lengths, units)
-        key = composite(key, n_buckets)
-        near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-        ok = wanted[near] == key
-        doc, start, size, key = doc[ok], start[ok], size[ok], key[ok]
-        start -= (np.cumsum(lengths) - lengths)[doc]
-        shard = ((key * MIX[0]) >> np.uint64(33)) % np.uint64(n_shards)
-        own = []
-        for s, d, a, n, crowd in zip(shard.tolist(), doc.tolist(), start.tolist(), size.tolist(), np.isin(key, crowded).tolist()):
-            part = parts[d][a : a + n + units.length - 1]
-            text, owner = units.join(part), int(docs[at + d])
-            if not crowd:
-                own.append(entry(text, s, owner, n))
-                continue
-            k = sets.setdefault(text, len(set_sizes))
-            if k == len(set_sizes):
-                set_sizes.append(n)
-                for i in range(n):
-                    window = units.join(part[i : i + units.length])
-                    windows.append(entry(window, xxhash.xxh3_64_intdigest(window) % n_shards, owner, 1))
-            own.append(-1 - k)
-        places.append(np.stack([np.array(own, np.int64), at + doc, start], axis=1))
+    if not len(wanted):
+        return TEXTS.empty_table()
+    near = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+    ok = wanted[near] == key
+    place, start, size, key = place[ok], start[ok], size[ok], key[ok]
+    to = ((key * MIX[0]) >> np.uint64(33)) % np.uint64(n_shards)
+    own, at = [], -1
+    for i, a, n, s, crowd in zip(place.tolist(), start.tolist(), size.tolist(), to.tolist(), np.isin(key, crowded).tolist()):
+        if i != at:
+            at, units_of, owner = i, units.split(texts[i]), int(docs[i])
+        part = units_of[a : a + n + units.length - 1]
+        text = units.join(part)
+        if not crowd:
+            own.append(entry(text, s, owner, n))
+            continue
+        k = sets.setdefault(text, len(set_sizes))
+        if k == len(set_sizes):
+            set_sizes.append(n)
+            for j in range(n):
+                window = units.join(part[j : j + units.length])
+                windows.append(entry(window, xxhash.xxh3_64_intdigest(window) % n_shards, owner, 1))
+        own.append(-1 - k)
+    places = np.stack([np.array(own, np.int64), place, start], axis=1)
     if not entries:
         return TEXTS.empty_table()
     order = np.argsort(np.array(shards), kind="stable")
     number = np.empty_like(order)
     number[order] = np.arange(len(order))
     shard, least, sizes, texts = np.array(shards)[order], np.array(least, "<i8")[order], np.array(sizes, "<i4")[order], list(entries)
-    places = np.concatenate(places)
     run = places[:, 0]
     places[:, 0] = np.where(run < 0, len(order) - 1 - run, number[np.maximum(run, 0)])
     places[:, 1] = np.diff(places[:, 1], prepend=0)
@@ -422,14 +422,13 @@ def cut_out(table: pa.Table, answers: pa.Table, units: Units) -> pa.Table:
 def remove_repeats(docs: DataFrame, units: Units, engine: Engine, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text_sha256, kept, n_units, n_removed, spans) for each row of docs; spans are the maximal removed runs of units."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), "text")
-    # Rows without a doc_id are dealt by their text.
-    blocks, n = in_blocks(docs, block_bytes, by=F.when(F.col("doc_id") == MAX_ID, F.xxhash64("text")).otherwise(F.col("doc_id")))
+    blocks, n = in_blocks(docs, block_bytes)
     each = 6 if units.words else 1  # bytes of a unit, about
     n_buckets = max(64, math.ceil(2 * n * block_bytes / each / (units.length - units.gram + 2) / BUCKET_KEYS))
     n_shards = 2 * n
     by_block = blocks.groupBy("block")
     keys = by_block.applyInArrow(lambda t: send_keys(t, units, n_buckets), "bucket int, block int, keys binary, counts binary")
-    shared = keys.repartition(n, "bucket").groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, flags binary, crowded binary")
-    texts = by_block.cogroup(shared.repartition(n, "block").groupBy("block")).applyInArrow(lambda t, a: send_texts(t, a, units, n_buckets, n_shards), TEXTS_DDL)
-    found = texts.repartition(n_shards, "shard").groupBy("shard").applyInArrow(lambda t: search(t, units, engine, n_shards), FOUND_DDL)
-    return by_block.cogroup(found.repartition(n, "block").groupBy("block")).applyInArrow(lambda t, a: cut_out(t, a, units), CUT_DDL)
+    shared = keys.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").applyInArrow(find_shared, "block int, bucket int, flags binary, crowded binary")
+    texts = by_block.cogroup(shared.repartitionById(n, F.col("block")).groupBy("block")).applyInArrow(lambda t, a: send_texts(t, a, units, n_buckets, n_shards), TEXTS_DDL)
+    found = texts.repartitionById(n_shards, F.col("shard")).groupBy("shard").applyInArrow(lambda t: search(t, units, engine, n_shards), FOUND_DDL)
+    return by_block.cogroup(found.repartitionById(n, F.col("block")).groupBy("block")).applyInArrow(lambda t, a: cut_out(t, a, units), CUT_DDL)
