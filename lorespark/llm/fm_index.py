@@ -1,9 +1,11 @@
 """Substring dedup of words with a compressed FM-index for each shard.
 
-A shard's distinct texts become one sequence of word numbers with a separator after each. Its Burrows-Wheeler transform is held in a
-wavelet matrix of packed bits with counted ranks. The windows of all documents that are streamed through the
-shard are searched backward, all at once; a search stops early once a single suffix is left, which is the window
-itself. The suffixes of a whole match are the window's other places, and the smallest document among them decides.
+A shard's distinct texts become one sequence of word numbers with a separator after each. Two wavelet matrices of packed bits
+with counted ranks are the index: one of the Burrows-Wheeler transform, one of the documents in suffix order. The suffix array
+that orders both is dropped. The shard's documents are streamed through the index, some places at a time: from each place
+a backward search extends the match word by word and counts how far the words agree with another place of the shard (the
+matching statistic), until only the place itself is left or the threshold is reached. Places that reach it end a repeated
+interval; the second matrix gives the smallest document among the suffixes of its match.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame
 from .windows import Units, remove_repeats
 
 LENGTH = 13
+#: Places of the streamed documents that are searched at once.
+STREAM = 1 << 18
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -33,7 +37,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, from one packed bit vector for each bit of a symbol."""
+    """A sequence of symbols below n_symbols as one packed bit vector for each bit of a symbol."""
 
     def __init__(self, sequence: np.ndarray, n_symbols: int):
         self.levels = max(1, (n_symbols - 1).bit_length())
@@ -48,19 +52,36 @@ class WaveletMatrix:
             self.zeros.append(int(len(bits) - bits.sum()))
             sequence = np.concatenate([sequence[~bits], sequence[bits]])
 
+    def ones(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Set bits before each place of vector i."""
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[i][at >> 6] + np.bitwise_count(self.words[i][at >> 6] & mask)
+
     def ends(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where each place ends up among equal symbols, on the deepest level."""
         for i, level in enumerate(reversed(range(self.levels))):
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.before[i][at >> 6] + np.bitwise_count(self.words[i][at >> 6] & mask)
+            ones = self.ones(i, at)
             at = np.where(symbols >> level & 1, self.zeros[i] + ones, at - ones)
         return at
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest symbol in each range low..high; ranges are not empty."""
+        out = np.zeros(len(low), np.int64)
+        for i, level in enumerate(reversed(range(self.levels))):
+            a, b = self.ones(i, low), self.ones(i, high)
+            some = high - b > low - a  # a symbol without this bit
+            low, high = np.where(some, low - a, self.zeros[i] + a), np.where(some, high - b, self.zeros[i] + b)
+            out += np.where(some, 0, 1 << level)
+        return out
+
 
 class FMIndex:
-    def __init__(self, codes: np.ndarray, n_symbols: int):
-        self.suffixes = suffix_array(codes)
-        self.matrix = WaveletMatrix(codes[self.suffixes - 1], n_symbols)
+    """Backward search over codes, and for the suffixes found the smallest of their owners, numbers below n_owners."""
+
+    def __init__(self, codes: np.ndarray, n_symbols: int, owners: np.ndarray, n_owners: int):
+        suffixes = suffix_array(codes)
+        self.matrix = WaveletMatrix(codes[suffixes - 1], n_symbols)
+        self.owners = WaveletMatrix(owners[suffixes], n_owners)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=n_symbols))])
         self.base = self.first[:-1] - self.matrix.ends(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
 
@@ -71,16 +92,22 @@ class FMIndex:
         return both[: len(low)] + shift, both[len(low) :] + shift
 
 
-def window_matches(index: FMIndex, codes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(window, low, high) of those windows of codes that more than one suffix starts with."""
-    last = codes[starts + length - 1]
-    window, low, high = np.arange(len(starts)), index.first[last], index.first[last + 1]
-    for back in range(2, length + 1):
+def matching_statistics(index: FMIndex, codes: np.ndarray, places: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words up to each place agree with another place of the index, up to threshold; and the suffixes of those that reach it.
+
+    Each place must have threshold - 1 words of its document before it.
+    """
+    statistic = np.zeros(len(places), np.int64)
+    found = np.zeros((2, len(places)), np.int64)
+    open_, low, high = np.arange(len(places)), index.first[codes[places]], index.first[codes[places] + 1]
+    for length in range(1, threshold + 1):
+        if length > 1:
+            low, high = index.extend(codes[places[open_] - length + 1], low, high)
         many = high - low > 1
-        window, low, high = window[many], low[many], high[many]
-        low, high = index.extend(codes[starts[window] + length - back], low, high)
-    many = high - low > 1
-    return window[many], low[many], high[many]
+        open_, low, high = open_[many], low[many], high[many]
+        statistic[open_] = length
+    found[:, open_] = low, high
+    return statistic, found[0], found[1]
 
 
 def fm_engine(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -96,20 +123,18 @@ def fm_engine(texts: list[bytes], docs: np.ndarray, length: int = LENGTH) -> np.
     codes, size = np.array(flat, np.int64), np.array(sizes, np.int64)
     windows = size - length + 1
     of = np.repeat(np.arange(len(texts)), windows)
-    starts = np.arange(len(of)) + np.repeat(np.arange(len(texts)) * length, windows)
+    ends = np.arange(len(of)) + np.repeat(np.arange(len(texts)) * length, windows) + length - 1
     out = docs[of]
     if not len(out):
         return out
-    index = FMIndex(codes, len(numbers) + 1)
-    window, low, high = window_matches(index, codes, starts, length)
-    if len(window):
-        order = np.argsort(low)  # matches are equal or apart
-        window, low, high = window[order], low[order], high[order]
-        new = np.concatenate([[True], low[1:] != low[:-1]])
-        owner = np.repeat(docs, size + 1)[index.suffixes]
-        edges = np.stack([low[new], high[new]], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(owner, np.iinfo(np.int64).max), edges)[::2]
-        out[window] = least[np.cumsum(new) - 1]
+    ids, owner = np.unique(docs, return_inverse=True)
+    index = FMIndex(codes, len(numbers) + 1, np.repeat(owner, size + 1), len(ids))
+    for at in range(0, len(ends), STREAM):
+        statistic, low, high = matching_statistics(index, codes, ends[at : at + STREAM], length)
+        reached = np.flatnonzero(statistic == length)
+        if len(reached):  # matches are equal or apart
+            low, where, which = np.unique(low[reached], return_index=True, return_inverse=True)
+            out[at + reached] = ids[index.owners.least(low, high[reached][where])][which]
     return out
 
 

@@ -9,7 +9,7 @@ import xxhash
 from frames import rows
 from texts import lower, words
 
-from lorespark.llm import exact_dedup, queries, simhash, windows
+from lorespark.llm import exact_dedup, fm_index, queries, simhash, windows
 from lorespark.llm.components import components
 from lorespark.llm.fm_index import FMIndex, substring_dedup
 from lorespark.llm.suffix_dedup import radix_groups, suffix_dedup
@@ -126,18 +126,40 @@ def test_radix_groups():
     assert radix_groups(data, starts, np.array([5, 4, 3, 2, 1]), 6).tolist() == [2, 2, 2, 2, 1]
 
 
-def test_fm_index_counts():
+def test_fm_index():
     rng = np.random.default_rng(0)
-    codes = np.append(rng.integers(1, 5, 300), 0)
-    index = FMIndex(codes, 5)
-    assert all(codes[a:].tolist() < codes[b:].tolist() for a, b in zip(index.suffixes, index.suffixes[1:]))
+    codes, owners = np.append(rng.integers(1, 5, 300), 0), rng.integers(0, 37, 301)
+    index = FMIndex(codes, 5, owners, 37)
+    assert not any(isinstance(v, np.ndarray) and len(v) >= len(codes) for v in vars(index).values())  # no suffix array
     for _ in range(50):
         at = rng.integers(0, 290)
         pattern = codes[at : at + 4]
         low, high = index.first[pattern[-1 :]], index.first[pattern[-1 :] + 1]
         for c in pattern[-2::-1]:
             low, high = index.extend(np.array([c]), low, high)
-        assert high[0] - low[0] == sum((codes[i : i + 4] == pattern).all() for i in range(len(codes) - 3))
+        held = [owners[i] for i in range(len(codes) - 3) if (codes[i : i + 4] == pattern).all()]
+        assert high[0] - low[0] == len(held) and index.owners.least(low, high)[0] == min(held)
+
+
+@pytest.mark.parametrize("stream", [7, 1 << 18])
+def test_matching_statistics(monkeypatch, stream):
+    monkeypatch.setattr(fm_index, "STREAM", stream)
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(b"w%d" % x for x in rng.integers(0, 3, rng.integers(5, 30))) for _ in range(40)]
+    docs, parts = rng.integers(0, 1000, 40), [t.split() for t in texts]
+    numbers = {w: i + 1 for i, w in enumerate(sorted({w for p in parts for w in p}))}
+    codes = np.array([c for p in parts for c in (*(numbers[w] for w in p), 0)])
+    index = FMIndex(codes, 4, np.zeros(len(codes), np.int64), 1)
+    places = np.concatenate([np.arange(4, len(p)) + sum(len(q) + 1 for q in parts[:i]) for i, p in enumerate(parts)])
+    found = fm_index.matching_statistics(index, codes, places, 5)[0]
+    for p, n in zip(places, found):
+        same = [sum((codes[k - j : k + 1] == codes[p - j : p + 1]).all() for k in range(j, len(codes))) > 1 for j in range(5)]
+        assert n == (same + [False]).index(False)
+    least = {}
+    for d, p in zip(docs, parts):
+        for k in range(len(p) - 4):
+            least[tuple(p[k : k + 5])] = min(d, least.get(tuple(p[k : k + 5]), d))
+    assert fm_index.fm_engine(texts, docs, 5).tolist() == [least[tuple(p[k : k + 5])] for p in parts for k in range(len(p) - 4)]
 
 
 def print_of(text):
