@@ -7,9 +7,11 @@ import pyarrow.compute as pc
 import pytest
 import xxhash
 from frames import rows
+from pyspark.sql import functions as F
 from texts import lower, words
 
 from lorespark.llm import exact_dedup, fm_index, queries, simhash, windows
+from lorespark.llm.common import materialize
 from lorespark.llm.components import components
 from lorespark.llm.fm_index import FMIndex, substring_dedup
 from lorespark.llm.suffix_dedup import radix_groups, suffix_dedup
@@ -27,8 +29,8 @@ def test_exact_cases(odd, odd_rows):
         ids = groups[lower(t)]
         keep = max((i for i in ids if i is not None), default=None)
         want.append((d, keep, len(ids), d == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
-    for capacity in (1, 1 << 20):
-        got = [tuple(r) for r in exact_dedup.exact_dedup(odd, capacity).collect()]
+    for capacity, many in ((1, 1), (3, 1000), (1 << 20, 2)):
+        got = [tuple(r) for r in exact_dedup.exact_dedup(odd, capacity, many=many).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -39,10 +41,22 @@ def test_exact_empty(empty):
 def test_directory():
     assert exact_dedup.directory({}, 10, 4) == (0, [0])
     depth, slots = exact_dedup.directory({0: 5, 1: 5, 8: 3}, 5, 4)
-    assert depth == 4 and slots[:4] == [0, 1, 2, 2] and set(slots[4:8]) == {4} and set(slots[8:]) == {8}
+    assert depth == 4 and slots == [0, 1, 2, 2, 3, 3, 3, 3, *[4] * 8]
     assert exact_dedup.directory({3: 100}, 5, 4)[0] == 4  # copies of one hash can't be split
 
 
+def test_owners_follow_the_directory(spark, monkeypatch):
+    """Each bucket is written by one task, to a file of its own, and holds no more than its capacity."""
+    kept = {}
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, name: kept.setdefault(name, materialize(df, name)))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 700).cast("string")).alias("text"))
+    assert exact_dedup.exact_dedup(docs, 32, many=2).where("group_size = 3").count() == 1800
+    files = kept["index"].withColumn("file", F.input_file_name()).groupBy("_bucket").agg(F.countDistinct("file").alias("files"), F.count("*").alias("n"), F.min("_hash"), F.max("_hash")).collect()
+    assert len(files) > 20 and all(f.files == 1 and f.n <= 32 for f in files)
+    ranges = sorted(((f[3] % 2**64, f[4] % 2**64) for f in files if (f[3] < 0) == (f[4] < 0)))
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_exact_sql(spark, duck):
     got = queries.op3_exact_dedup(spark, DATA).toPandas()
     assert rows(got) == rows(duck.execute(queries.ORACLES["op3_exact_dedup"]).df())
