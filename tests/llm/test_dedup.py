@@ -220,9 +220,43 @@ def test_simhash_links_through_null_ids(spark):
     assert got == {(d, print_of(t)): None if t == other else 3 for d, t in docs}
 
 
-@pytest.mark.parametrize("tile, crowd", [(1024, 32), (8, 32), (16, 0)])
-def test_links_in_any_tiling(spark, monkeypatch, tile, crowd):
+def test_tile_pairs_are_skipped():
+    rng = np.random.default_rng(5)
+    prints = np.unique(rng.integers(0, 2**63, 1500).astype(np.uint64) & rng.integers(0, 2**63, 1500).astype(np.uint64))
+    prints = np.unique(np.concatenate([prints, prints[:200] ^ np.uint64(5)]))
+    ones = np.sort(np.bitwise_count(prints).astype(np.int64))
+    low, high = ones[:: simhash.SMALL], np.append(ones[simhash.SMALL - 1 :: simhash.SMALL], ones[-1])[: -(-len(ones) // simhash.SMALL)]
+    pairs = simhash.tile_pairs(low, high, np.zeros(len(low), int), 3)
+    assert len(low) <= len(pairs) < len(low) * (len(low) + 1) // 2
+    for side in (np.zeros(len(prints), np.int64), np.arange(len(prints)) % 2):
+        i, j = simhash.near_pairs(prints, side, 3)
+        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+        near = np.argwhere(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3, 1))
+        assert got == {(a, b) for a, b in near.tolist() if side.max() == 0 or side[a] != side[b]} and got
+
+
+def test_crowds_are_cut_into_full_tiles(spark):
+    rng = np.random.default_rng(6)
+    prints = [int(p) - (int(p) >> 63 << 64) for p in {int(x) for x in rng.integers(0, 2**63, 3000)}]
+    rows = spark.createDataFrame([(0, 0, p, p) for p in prints], "band int, key long, print long, node long").withColumn("ones", F.bit_count("print").cast("int"))
+    made = simhash.tiled(rows, rows.select("band", "key").distinct(), 3, 100).toPandas()
+    assert made.groupby("tile")["print"].nunique().between(50, 150).mean() > 0.9
+    ones = {p: (p % 2**64).bit_count() for p in prints}
+    met = made.groupby(["low", "high"])["print"].agg(set)
+    tile = dict(zip(made["print"], made["tile"]))
+    assert len(met) < len(set(tile.values())) * (len(set(tile.values())) + 1) // 2
+    for a, b in zip(rng.permutation(prints)[:1500].tolist(), rng.permutation(prints)[:1500].tolist()):
+        pair = tuple(sorted((tile[a], tile[b])))
+        if abs(ones[a] - ones[b]) <= 3:
+            assert {a, b} <= met[pair]
+    span = {t: (min(ones[p] for p in prints if tile[p] == t), max(ones[p] for p in prints if tile[p] == t)) for t in set(tile.values())}
+    assert all(span[b][0] - span[a][1] <= 3 + 1 for a, b in met.index)
+
+
+@pytest.mark.parametrize("tile, crowd, small", [(1024, 32, 128), (8, 32, 128), (16, 0, 4), (64, 32, 5)])
+def test_links_in_any_tiling(spark, monkeypatch, tile, crowd, small):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 20)
