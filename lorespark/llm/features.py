@@ -11,7 +11,7 @@ import pyarrow as pa
 from .windows import MIX, WordCodes
 
 BITS = 16
-#: Hashed features: byte trigrams, words, word pairs; then the dense ones.
+#: Hashed features: trigrams of characters, words, word pairs; then the dense ones.
 GROUPS = 3
 DENSE = 9
 SIZE = GROUPS * (1 << BITS) + DENSE
@@ -45,10 +45,9 @@ class Slice:
         for i in range(len(self.dense)):
             at, values = [], []
             for group, (bucket, ends) in enumerate(self.hashed):
-                counts = np.bincount(bucket[ends[i] : ends[i + 1]], minlength=1 << BITS)
-                some = np.flatnonzero(counts)
+                some, counts = np.unique(bucket[ends[i] : ends[i + 1]], return_counts=True)
                 at.append((group << BITS) + some)
-                values.append(SCALE * counts[some] / max(1, ends[i + 1] - ends[i]))
+                values.append(SCALE * counts / max(1, ends[i + 1] - ends[i]))
             at.append(np.arange(SIZE - DENSE, SIZE))
             values.append(self.dense[i])
             yield np.concatenate(at).astype("<i4"), np.concatenate(values).astype("<f4")
@@ -68,8 +67,9 @@ IS_MARK = table_of(b"!\"'(),-./:;?[]_{}")
 STARTS_CHAR = ~table_of(bytes(range(0x80, 0xC0)))
 
 
-def analyse(texts: list[bytes], table: WordCodes) -> Slice:
+def analyse(strings: list[str], table: WordCodes) -> Slice:
     """Statistics and features of some texts; word and window equality is by 64-bit hashes."""
+    texts = [s.encode() for s in strings]
     n = len(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -105,16 +105,20 @@ def analyse(texts: list[bytes], table: WordCodes) -> Slice:
             np.add.at(step, again, 1)
             np.add.at(step, again + WINDOW, -1)
             repeated = np.cumsum(step[:-1]) > 0
-        grams = (flat[:-2].astype(np.uint32) | flat[1:-1].astype(np.uint32) << 8 | flat[2:].astype(np.uint32) << 16) if len(flat) > 2 else np.empty(0, np.uint32)
+        points = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4")
+        grams = np.empty(0, np.uint32)
+        if len(points) > 2:
+            grams = (points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1]) * np.uint32(0x85EBCA6B) ^ points[2:]
         grams = (grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         pairs = (codes[:-1] * MIX[0] ^ codes[1:] * MIX[1]) * MIX[0] >> np.uint64(64 - BITS)
     # Grams that reach into the next text are left out.
+    point_ends = np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
     whole = np.ones(len(grams), bool)
     for back in (1, 2):
-        at = ends[1:-1] - back
+        at = point_ends[1:-1] - back
         whole[at[(at >= 0) & (at < len(grams))]] = False
     pair_ok = owner[1:] == owner[:-1]
-    char_ends = np.concatenate([[0], np.cumsum(whole)])[np.minimum(ends, len(grams))]
+    char_ends = np.concatenate([[0], np.cumsum(whole)])[np.minimum(point_ends, len(grams))]
     pair_ends = np.concatenate([[0], np.cumsum(pair_ok)])[np.minimum(word_ends, len(pairs))]
 
     stats = {
@@ -142,7 +146,7 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, Slice]]:
     """(place of the first text, its slice), in slices of about SLICE_BYTES; null is empty."""
     table, at, part, size = WordCodes(), 0, [], 0
     for i, text in enumerate(texts):
-        part.append((text or "").encode())
+        part.append(text or "")
         size += len(part[-1])
         if size >= SLICE_BYTES or i + 1 == len(texts):
             if len(table) > 500_000:  # remembered hashes only
@@ -166,13 +170,28 @@ class Matrix:
     """Sparse rows with products in both directions."""
 
     def __init__(self, at: list[bytes], values: list[bytes]):
-        self.at = np.frombuffer(b"".join(at), "<i4")
-        self.values = np.frombuffer(b"".join(values), "<f4").astype(np.float64)
-        self.sizes = np.array([len(a) // 4 for a in at], np.int64)
-        self.begin = np.cumsum(self.sizes) - self.sizes
+        self._set(np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(values), "<f4").astype(np.float64), np.array([len(a) // 4 for a in at], np.int64))
+
+    def _set(self, at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> Matrix:
+        self.at, self.values, self.sizes = at, values, sizes
+        self.begin = np.cumsum(sizes) - sizes
+        return self
+
+    def pick(self, rows: np.ndarray) -> Matrix:
+        sizes = self.sizes[rows]
+        where = np.arange(sizes.sum()) + np.repeat(self.begin[rows] - (np.cumsum(sizes) - sizes), sizes)
+        return Matrix([], [])._set(self.at[where], self.values[where], sizes)
+
+    @staticmethod
+    def stack(*parts: Matrix) -> Matrix:
+        return Matrix([], [])._set(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("at", "values", "sizes")))
+
+    def dense(self) -> np.ndarray:
+        """The text statistics, which are the last of each row."""
+        return self.values[(self.begin + self.sizes - DENSE)[:, None] + np.arange(DENSE)]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(w[self.at] * self.values, self.begin)
+        return np.add.reduceat(w[self.at] * self.values, self.begin) if len(self.begin) else np.zeros(0)
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, np.repeat(r, self.sizes) * self.values, SIZE)

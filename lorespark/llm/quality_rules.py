@@ -1,6 +1,6 @@
 """Quality rules: text statistics with fixed limits, and a calibrated n-gram classifier with a fixed threshold.
 
-The classifier is a logistic regression over hashed byte trigrams, words, word pairs and text statistics, trained on
+The classifier is a logistic regression over hashed trigrams of characters, words, word pairs and text statistics, trained on
 labelled rows. A quarter of its sample is set aside to calibrate its probability (a slope and an offset of the log
 odds, folded into the weights). Texts are scored in Arrow batches.
 """

@@ -10,9 +10,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from frames import DATA, rows
+from pyspark.sql import functions as F
 from texts import lower, words
 
-from lorespark.llm import pieces, ppm, quality_classifier, quality_rules, queries, quotations
+from lorespark.llm import features, pieces, ppm, quality_classifier, quality_rules, queries, quotations, training
 
 LAST = 2**63 - 1
 
@@ -123,6 +124,115 @@ def test_held_out_accuracy(spark, operator, column):
     assert ((got.score >= (0.3 if column == "predicted" else 0.5)) == got.quality)[fold].mean() > 0.93
 
 
+def small(rng, n, size):
+    """A Matrix of n sparse rows over the first numbers and the statistics, and the same as a dense array."""
+    at = [np.append(np.sort(rng.choice(size, 5, replace=False)), np.arange(features.SIZE - features.DENSE, features.SIZE)).astype("<i4") for _ in range(n)]
+    values = [rng.normal(size=len(a)).astype("<f4") for a in at]
+    full = np.zeros((n, features.SIZE))
+    for row, a, v in zip(full, at, values):
+        row[a] = v
+    return features.Matrix([a.tobytes() for a in at], [v.tobytes() for v in values]), full
+
+
+def test_matrix_is_its_dense_form():
+    rng = np.random.default_rng(1)
+    m, full = small(rng, 7, 20)
+    w, r = rng.normal(size=features.SIZE), rng.normal(size=7)
+    assert np.allclose(m.dot(w), full @ w) and np.allclose(m.t_dot(r), full.T @ r) and np.allclose(m.dense(), full[:, -features.DENSE :])
+    assert np.allclose(features.Matrix.stack(m.pick(np.array([5, 2])), m).dot(w), (full @ w)[[5, 2, *range(7)]])
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_risk_and_its_gradient(prior):
+    rng = np.random.default_rng(2)
+    x, full = small(rng, 12, 20)
+    positive = np.arange(12) < 5
+    some = np.append(np.flatnonzero(full.any(axis=0)), features.SIZE)
+    w = np.zeros(features.SIZE + 1)
+    w[some] = rng.normal(size=len(some))
+    if prior > 0.5:  # towards the positives, so that they explain more than there is
+        w[:-1] += 8 * full[positive].mean(axis=0)
+
+    def parts(w):
+        s = [1 / (1 + math.exp(-(row @ w[:-1] + w[-1]))) for row in full]
+        first = prior * sum(1 - s[i] for i in range(5)) / 5
+        return first, sum(s[5:]) / 7 - prior * sum(s[:5]) / 5
+
+    first, rest, slope = quality_classifier.risk(w, x, positive, prior)
+    assert np.allclose((first, rest), parts(w)) and (rest < 0) == (prior > 0.5)
+    for i in some:
+        step = np.zeros_like(w)
+        step[i] = 1e-5
+        up, down = parts(w + step), parts(w - step)
+        want = (sum(up) - sum(down)) / 2e-5 if rest >= 0 else -(up[1] - down[1]) / 2e-5
+        assert slope[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_class_prior():
+    rng = np.random.default_rng(3)
+
+    def rows(n, share):
+        good = rng.random(n) < share
+        at = np.arange(features.SIZE - features.DENSE, features.SIZE, dtype="<i4").tobytes()
+        return features.Matrix([at] * n, [(rng.normal(size=features.DENSE) + 3 * g).astype("<f4").tobytes() for g in good])
+
+    for share in (0.2, 0.5, 0.9):
+        assert quality_classifier.class_prior(rows(2000, 1), rows(3000, share)) == pytest.approx(share, abs=0.05)
+
+
+def test_logistic_and_calibration():
+    rng = np.random.default_rng(4)
+    x, full = small(rng, 60, 6)
+    y, weight = (rng.random(60) < 0.4).astype(int), np.full(60, 1 / 60)
+    w = quality_rules.logistic(x, y, weight)
+    slope = full.T @ (weight * (1 / (1 + np.exp(-(full @ w[:-1] + w[-1]))) - y)) + quality_rules.L2 * w[:-1]
+    assert np.abs(slope).max() < 0.02  # a minimum of the penalised loss
+    z = rng.normal(size=200) * 3
+    y = (rng.random(200) < 1 / (1 + np.exp(-(0.5 * z + 1)))).astype(int)
+    a, b = quality_rules.calibration(z, y, np.full(200, 1 / 200))
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (200 - y.sum() + 2))
+    loss = lambda a, b: -(t * np.log(p := 1 / (1 + np.exp(-(a * z + b)))) + (1 - t) * np.log(1 - p)).mean()
+    assert all(loss(a, b) <= loss(a + i, b + j) + 1e-6 for i in (-0.05, 0, 0.05) for j in (-0.05, 0, 0.05))
+
+
+def test_features_by_counting():
+    texts = ["Ünï cödé 日本語のテキスト a b a b", "x", "", "日本", "plain words, plain words again\nplain"]
+    part = features.analyse(texts, features.WordCodes())
+    full = np.zeros((len(texts), features.SIZE))
+    for row, (at, values) in zip(full, part.rows()):
+        row[at] = values
+    for row, t in zip(full, texts):
+        grams, w = Counter(t[i : i + 3] for i in range(len(t) - 2)), words(t)
+        h = lambda g: ((((ord(g[0]) * 0x9E3779B1 ^ ord(g[1])) * 0x85EBCA6B ^ ord(g[2])) * 0x9E3779B1) & 0xFFFFFFFF) >> 16
+        chars = np.zeros(1 << 16)
+        for g, n in grams.items():
+            chars[h(g)] += features.SCALE * n / max(1, len(t) - 2)
+        assert np.allclose(row[: 1 << 16], chars, atol=1e-5) and np.isclose(row[1 << 16 : 2 << 16].sum(), features.SCALE * bool(w), atol=1e-4)
+        assert np.isclose(row[2 << 16 : 3 << 16].sum(), features.SCALE * (len(w) > 1), atol=1e-4)
+    weights = np.random.default_rng(0).normal(size=features.SIZE)
+    assert np.allclose(part.sums(weights), full @ weights, rtol=1e-4, atol=1e-4)
+
+
+def test_samples_are_bounded(spark):
+    """Rows that repeat an id add nothing to a sample, and its features have a limit."""
+    docs = spark.createDataFrame([(7, f"text {i} of many") for i in range(400)] + [(i, "good words " * 20) for i in range(100, 140)], "doc_id long, text string")
+    some = docs.select("doc_id")
+    ids = training.bounded(some, 30, "x").withColumn("label", F.lit(1))
+    assert ids.count() == 30 and training.sampled(training.bounded(some, 1000, "x").withColumn("label", F.lit(1)), docs).count() == 41
+    made = training.sampled(ids, docs, max_bytes=4000).toPandas()
+    assert 0 < made["at"].map(len).sum() + made["vals"].map(len).sum() <= 4000
+
+
+def test_classifier_in_chunks(spark):
+    """Chunks of any size and documents in any number of tasks keep the classes apart."""
+    folder = DATA.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    for parts, chunk in ((1, 1 << 19), (3, 1 << 22)):
+        w = quality_classifier.train(docs.repartition(parts), labels, chunk=chunk)
+        got = docs.select("doc_id", (quality_classifier.scorer(w, docs["text"]) >= 0.3).cast("int").alias("predicted")).join(labels, "doc_id").toPandas()
+        assert (got.predicted == got.quality).mean() > 0.93
+
+
 def test_classifier_cases(odd, odd_rows, labels, empty):
     got = quality_classifier.classify(odd, labels)
     assert set(odd.columns) <= set(got.columns) and got.count() == len(odd_rows)
