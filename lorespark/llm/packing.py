@@ -4,7 +4,7 @@
 2. The number of pieces of each length is counted: at most ``capacity`` rows, whatever the corpus size.
 3. ``plan`` runs best-fit decreasing over those counts. Open sequences with equal room are one group, so
    the work depends on the number of lengths and not on the number of documents.
-4. ``place`` numbers the pieces of each length and joins the plan on that rank.
+4. ``place`` numbers the pieces of each length and joins the plan on that rank. Pieces that fill a sequence need no plan.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_RUN = 100_000
 #: White space as the pattern's engine has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Ranks within a length are counted per (length, salt), so a length that a third of all pieces share is spread.
-SALTS = 512
+#: Pieces that are ranked together, about: a length with more of them is spread over salts, whose counts are added up.
+RANKED = 1 << 16
 #: Tokens that a task holds before it hands pieces on.
 BATCH_TOKENS = 1 << 20
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -65,16 +65,15 @@ def added_tokens(path: str) -> dict[str, int]:
     return {token["content"]: token["id"] for token in found}
 
 
-def encoder(path: str, added: bool = False):
+def encoder(path: str):
     """A function from a text to its ids as a numpy array of little-endian unsigned 32-bit integers.
 
-    The ids are those of the tokenizers library for the same file, which the tests check; tiktoken's engine makes
-    them several times faster. With added the file's added tokens become their ids, as the library does by default;
-    without it they are text like any other, as with the library's encode_special_tokens.
+    The ids are those of the tokenizers library for the same file with its default setting, in which the file's added tokens
+    become their ids; the tests check this. tiktoken's engine makes them several times faster.
     """
     import tiktoken
 
-    special = added_tokens(path) if added else {}
+    special = added_tokens(path)
     tok = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=byte_level_ranks(path), special_tokens=special)
     long_runs = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
 
@@ -110,7 +109,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, added=True), np.array([end_id], "<u4")
+        encode, end = encoder(path), np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []
             size = 0
@@ -178,54 +177,57 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (any columns with length in 1..capacity) with sequence_id and offset added.
+    """pieces (any columns with length in 1..capacity, none of them named with a leading underscore) with sequence_id and offset added.
 
-    Every sequence is gapless from 0 and holds at most capacity tokens. pieces is read twice, so give it as a
-    written table. Rows with a null length or one out of range are an error; an empty input gives no rows.
+    Every sequence is gapless from 0 and holds at most capacity tokens; those that one piece fills have negative numbers. pieces is
+    read several times, so give it as a written table. Rows with a null length or one out of range are an error; an
+    empty input gives no rows.
     """
     spark = pieces.sparkSession
     ok = F.col("length").isNotNull() & F.col("length").between(1, capacity)
     pieces = pieces.withColumn("length", F.when(ok, F.col("length").cast("long")).otherwise(F.raise_error(F.lit("length out of range"))))
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    # At most capacity x SALTS rows, of which the driver gets one for each length.
-    counts = materialize(pieces.groupBy("length", salt.alias("_salt")).agg(F.count("*").alias("_n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    # capacity rows at most.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    histogram.pop(capacity, None)
+    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rows = plan(histogram, capacity)
-    schema = "length long, _from long, _to long, _sequence long, _each long, _offset long"
+    schema = "_length long, _from long, _to long, _sequence long, _each long, _offset long"
     slots = spark.createDataFrame(rows, schema)
+    salts = [(length, -(-n // RANKED)) for length, n in histogram.items()]
+    salts = F.broadcast(spark.createDataFrame(salts, "_of long, _salts long"))  # capacity rows at most
+    parts = pieces.join(salts, F.col("length") == F.col("_of")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).drop("_of", "_salts")
+    counts = materialize(parts.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = (
-        pieces.withColumn("_salt", salt)
-        .withColumn("_own", own)
-        .join(starts, ["length", "_salt"])
-        .withColumn("_rank", F.col("_before") + F.col("_own"))
-    )
+    ranked = parts.withColumn("_own", own).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_own"))
     within = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     if len(rows) <= BROADCAST_PLAN:
-        slots = F.broadcast(slots.withColumnRenamed("length", "_length"))
-        placed = ranked.join(slots, (F.col("length") == F.col("_length")) & within).drop("_length")
-    else:  # the salt spreads a hot length here too
-        slots = slots.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        slots = slots.withColumnsRenamed({"length": "_length", "_salt": "_slot_salt"})
-        placed = ranked.join(slots, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_slot_salt")) & within).drop("_length", "_slot_salt")
+        placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & within)
+    else:  # the salts spread a hot length here too
+        slots = slots.join(counts.select(F.col("length").alias("_of"), F.col("_salt").alias("_slot_salt")), F.col("_length") == F.col("_of")).drop("_of")
+        placed = ranked.join(slots, (F.col("length") == F.col("_length")) & (F.col("_salt") == F.col("_slot_salt")) & within).drop("_slot_salt")
     step = F.col("_rank") - F.col("_from")
-    return placed.withColumns(
+    placed = placed.withColumns(
         {
             "sequence_id": F.col("_sequence") + F.floor(step / F.col("_each")).cast("long"),
             "offset": F.col("_offset") + F.pmod(step, F.col("_each")) * F.col("length"),
         }
-    ).drop("_salt", "_own", "_before", "_rank", "_from", "_to", "_sequence", "_each", "_offset")
+    )
+    return whole.unionByName(placed.select(*whole.columns))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Documents packed into sequences: doc_id, piece, start, length, ids, sequence_id, offset."""
+    """Documents packed into sequences: doc_id, piece, start, length, ids, sequence_id, offset, a row for each piece.
+
+    Null text is empty and has one piece, the end id; repeated or null doc_ids are documents of their own; no documents give no
+    rows. Other columns are not carried.
+    """
     return place(materialize(cut(docs, tokenizer, capacity, end_id), "pieces"), capacity)
 
 
 def packed_digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Where each piece goes, with a checksum of its ids instead of the ids."""
+    """Where each piece goes, with a checksum of its ids (ids_crc32) instead of the ids; rows and cases as in pack."""
     pieces = cut(docs, tokenizer)
     small = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return place(materialize(small, "pieces")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -41,6 +41,11 @@ def op7_quotation_linking(spark, sf_dir):
     return quotations.link_replies(read(spark, sf_dir, "conversations"))
 
 
+def quoted_replies(spark, sf_dir):
+    """op7's operator on conversations that quote: the test tables' own messages don't."""
+    return quotations.link_replies(quotations.quoting(read(spark, sf_dir, "conversations")))
+
+
 def op8_quality_classifier(spark, sf_dir):
     found = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -70,6 +75,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_sentencepiece,
         op10_simhash_near_dedup,
+        quoted_replies,
     )
 }
 
@@ -80,4 +86,5 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
     "op7_quotation_linking": quotations.ORACLE,
+    "quoted_replies": quotations.QUOTING_ORACLE,
 }

@@ -2,7 +2,8 @@
 
 Lines that start with ``>`` are quoted, one level for each mark. Neighbouring non-blank lines of one level are a passage.
 Passages are normalised (lower case, white space as one blank), hashed, and joined to the earliest message of the
-conversation that wrote the same passage or line itself. Only conversations in which something is quoted are taken apart.
+conversation that wrote the same passage or line itself; the passages themselves are compared too. Only conversations
+in which something is quoted are taken apart.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def units(messages: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 0), "[^>]", "")).alias("level"),
         content(F.col("line")).alias("unit"),
     ).where("unit <> ''")
-    run = F.col("pos") - F.row_number().over(Window.partitionBy("message", "level").orderBy("pos"))
+    run = F.col("pos") - F.row_number().over(Window.partitionBy("conv_id", "turn", "message", "level").orderBy("pos"))
     passages = (
         lines.withColumn("run", run)
         .groupBy("conv_id", "turn", "message", "level", "run")
@@ -50,7 +51,8 @@ def link_replies(conversations: DataFrame) -> DataFrame:
     messages = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")
     ).distinct()
-    messages = messages.withColumn("message", F.xxhash64("conv_id", "turn", "role", "text"))
+    # Tells messages of one turn apart.
+    messages = messages.withColumn("message", F.sha2(F.to_json(F.struct("role", "text")), 256))
     quoting = messages.where(F.col("text").startswith(">") | F.col("text").contains("\n>"))
     open_ = quoting.where("turn IS NOT NULL").select("conv_id").distinct()
     quoted = units(quoting).where("level > 0").withColumn("hash", F.xxhash64("unit"))
@@ -70,7 +72,7 @@ def link_replies(conversations: DataFrame) -> DataFrame:
         up = materialize(
             on.select("conv_id", "turn", F.coalesce("far", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads"
         )
-    out = messages.join(links.select("message", "reply_to"), "message", "left").join(up, ["conv_id", "turn"], "left")
+    out = messages.join(links, ["conv_id", "turn", "message"], "left").join(up, ["conv_id", "turn"], "left")
     out = out.select(
         "conv_id", "turn", "role",
         F.array_join(F.filter(F.split("text", "\n"), lambda line: ~line.startswith(">")), "\n").alias("body"),
@@ -79,7 +81,32 @@ def link_replies(conversations: DataFrame) -> DataFrame:
     return out.repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
 
 
-#: The same for tables without repeated (conv_id, turn).
+def quoting(conversations: DataFrame) -> DataFrame:
+    """conversations whose later messages quote earlier ones, as mail clients do, made of any conversations.
+
+    Every turn but the first answers the one before it below its first line as a quotation; every third turn quotes the quotation
+    in that too, and every fifth the first line of the conversation.
+    """
+    by_turn = Window.partitionBy("conv_id").orderBy("turn")
+    line = lambda text: F.element_at(F.split(text, "\n"), 1)
+    before, further = line(F.lag("text", 1).over(by_turn)), line(F.lag("text", 2).over(by_turn))
+    first = line(F.first("text").over(by_turn))
+    quoted = (
+        F.when(before.isNull(), "")
+        .when(F.col("turn") % 5 == 4, F.concat(F.lit("> "), first, F.lit("\n\n")))
+        .when((F.col("turn") % 3 == 2) & further.isNotNull(), F.concat(F.lit(">> "), further, F.lit("\n> "), before, F.lit("\n\n")))
+        .otherwise(F.concat(F.lit("> "), before, F.lit("\n")))
+    )
+    return conversations.withColumn("text", F.concat(quoted, F.coalesce("text", F.lit(""))))
+
+
+#: The same as quoting, as a table named q.
+QUOTING = """
+q AS (SELECT conv_id, turn, role, CASE WHEN b IS NULL THEN '' WHEN turn % 5 = 4 THEN '> ' || string_split(f, chr(10))[1] || chr(10) || chr(10)
+        WHEN turn % 3 = 2 AND g IS NOT NULL THEN '>> ' || string_split(g, chr(10))[1] || chr(10) || '> ' || string_split(b, chr(10))[1] || chr(10) || chr(10)
+        ELSE '> ' || string_split(b, chr(10))[1] || chr(10) END || coalesce(text, '') AS text
+      FROM (SELECT *, lag(text, 1) OVER w AS b, lag(text, 2) OVER w AS g, first_value(text) OVER w AS f FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))"""
+#: The same as link_replies, for tables without repeated (conv_id, turn).
 ORACLE = r"""
 WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 split AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM m),
@@ -106,3 +133,4 @@ SELECT m.conv_id, m.turn, role,
 FROM m LEFT JOIN links ON links.conv_id = m.conv_id AND links.turn = m.turn
 LEFT JOIN ends ON ends.conv_id = m.conv_id AND ends.turn = m.turn
 """
+QUOTING_ORACLE = ORACLE.replace("WITH RECURSIVE m", f"WITH RECURSIVE {QUOTING}, m").replace("AS text FROM conversations),\nsplit", "AS text FROM q),\nsplit")

@@ -7,13 +7,13 @@ import pytest
 from tokenizers import Tokenizer
 
 from lorespark.llm import packing
+from lorespark.llm.common import materialize
 
 END = 0
 
 
 def ids_of(texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     return [[*e.ids, END] for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -33,6 +33,12 @@ def test_long_white_space(space):
         assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["\n" * 1_000_000, "a" * 1_000_000, "é" * 300_000, "7" * 1_000_000, "." * 1_000_000, "ab1 " * 250_000])
+def test_long_runs(text):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_added_tokens(spark):
     run = " " * 120_000
     texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> x", "<|endoftext| >", f"a{run}<|endoftext|>{run}b", "plain"]
@@ -98,6 +104,17 @@ def test_plan_is_best_fit(seed):
 def test_plan_joined_by_shuffle(odd, monkeypatch):
     want = packing.packed_digest(odd).toPandas()
     monkeypatch.setattr(packing, "BROADCAST_PLAN", 0)
-    monkeypatch.setattr(packing, "SALTS", 3)
+    monkeypatch.setattr(packing, "RANKED", 2)
     got = packing.packed_digest(odd).toPandas()
     assert len(got) == len(want) and got.sequence_id.nunique() == want.sequence_id.nunique()
+    for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= packing.CAPACITY
+
+
+def test_full_pieces(spark):
+    """Pieces that fill a sequence have one each; no two share a number."""
+    pieces = spark.range(500).selectExpr("id AS doc_id", "0 AS piece", "if(id % 3 = 0, 8, id % 5 + 1) AS length").repartition(7)
+    got = packing.place(materialize(pieces, "pieces"), 8).toPandas()
+    assert len(got) == 500 and (got.groupby("sequence_id").length.sum() <= 8).all()
+    full = got[got.length == 8]
+    assert full.sequence_id.is_unique and (full.offset == 0).all() and not set(full.sequence_id) & set(got[got.length < 8].sequence_id)

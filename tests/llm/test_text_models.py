@@ -253,7 +253,7 @@ def test_pieces(odd, odd_rows, empty):
 def test_piece_texts():
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp, encode = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
-    texts = ["  a", "a  b   c ", "x▁y", "日本語 🎉🎉", "a\x00b \x00 c", "\n\n a \t", "<s> </s> <unk> <0x0A>", "▁▁▁ ▁", "é" * 500, "ab" * 900, " " * 50, "Don't, e.g. this.\nThat!"]
+    texts = ["  a", "a  b   c ", "x▁y", "日本語 🎉🎉", "a\x00b \x00 c", "\n\n a \t", "<s> </s> <unk> <0x0A>", "▁▁▁ ▁", "é" * 500, "ab" * 900, "x" * 300_000, "日本" * 50_000, " " * 50, "Don't, e.g. this.\nThat!"]
     ids, decoded = encode(texts)
     for t, i, text in zip(texts, ids, decoded):
         own = np.frombuffer(i, "<i4").tolist()
@@ -294,5 +294,18 @@ def test_quotation_edges(spark):
     assert quotations.link_replies(chat.limit(0)).count() == 0
 
 
+def test_quotations_in_the_tables(spark, duck):
+    got = queries.quoted_replies(spark, DATA).toPandas()
+    assert got.reply_to.notna().sum() > 20 and got.depth.max() > 1
+    assert rows(got) == rows(duck.execute(quotations.QUOTING_ORACLE).df())
+
+
+def test_long_quotations(spark):
+    own = "\n".join(f"line {i}" for i in range(20_000))
+    chat = spark.createDataFrame([(1, 0, "user", own), (1, 1, "user", own.replace("line", "> line").replace("\n", "\n") + "\n> " + "x" * 500_000)], CHAT_DDL)
+    got = {r.turn: r for r in quotations.link_replies(chat).collect()}
+    assert got[1].reply_to == 0 and got[1].body == "" and got[0].body == own
+
+
 def test_quotation_sql(spark, duck):
     assert rows(queries.op7_quotation_linking(spark, DATA).toPandas()) == rows(duck.execute(quotations.ORACLE).df())
