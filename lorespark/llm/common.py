@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ID = (1 << 63) - 1
+#: Spark's setting by which a query's shuffle files are removed when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 
 
@@ -30,14 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The table goes when the driver ends, however the job ended.
+    Shuffle files of the write go with its end, and the table when the driver ends, however the job ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.parquet(path)
     fs.deleteOnExit(place)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ BEFORE, END = 0xFE, 0xFF
 #: Symbols that can follow: all bytes but BEFORE.
 SYMBOLS = 255
 FOLDS, FOLD = 7, 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, MIN_BLOCKS = 8 << 20, 16
 SLICE = 1 << 20
 
 
@@ -99,6 +99,24 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return now.select(F.col("string").alias("gram"), cost.alias("log_p"))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers with their first bytes first, then their second ones and so on: small ones and likes compress well."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def packed_grams(grams: np.ndarray) -> bytes:
+    """Ascending numbers as steps."""
+    return packed(np.diff(grams, prepend=0).astype("<i8"))
+
+
+def unpacked_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<i8"))
+
+
 class Numbers(dict):
     """Words numbered in the order of their first use."""
 
@@ -164,7 +182,7 @@ def send(table: pa.Table, n_buckets: int) -> pa.Table:
     for b in buckets:
         i, j = words_at.get(b, (0, 0))
         k, m = grams_at.get(b, (0, 0))
-        for column, value in zip(rows, (b" ".join(block.words[i:j]), word_counts[i:j].tobytes(), grams[k:m].astype("<i8").tobytes(), gram_counts[k:m].astype("<u4").tobytes())):
+        for column, value in zip(rows, (b" ".join(block.words[i:j]), packed(word_counts[i:j]), packed_grams(grams[k:m]), packed(gram_counts[k:m].astype("<u4")))):
             column.append(value)
     number = table["block"][0].as_py()
     return pa.table({
@@ -177,28 +195,28 @@ def total_words(table: pa.Table) -> pa.Table:
     """The whole count of each word that a block sent; tokens and vocabulary of the bucket on its first row."""
     numbers = Numbers()
     sent = [[numbers[w] for w in words.split()] for words in table["words"].to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in table["word_counts"].to_pylist()]
+    counts = [unpacked(c, "<u4") for c in table["word_counts"].to_pylist()]
     total = np.bincount(np.concatenate([np.array(s, np.int64) for s in sent]), np.concatenate(counts), len(numbers)).astype("<i8")
     first = np.arange(len(sent)) == 0
     return pa.table({
-        "block": table["block"], "bucket": table["bucket"], "counts": pa.array([total[s].tobytes() if s else b"" for s in sent], pa.binary()),
+        "block": table["block"], "bucket": table["bucket"], "counts": pa.array([packed(total[s]) if s else b"" for s in sent], pa.binary()),
         "tokens": pa.array(np.where(first, total.sum(), 0), pa.int64()), "kinds": pa.array(np.where(first, (total > 0).sum(), 0), pa.int64()),
     })
 
 
 def total_grams(table: pa.Table) -> pa.Table:
-    grams = [np.frombuffer(g, "<i8") for g in table["grams"].to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in table["gram_counts"].to_pylist()]
+    grams = [unpacked_grams(g) for g in table["grams"].to_pylist()]
+    counts = [unpacked(c, "<u4") for c in table["gram_counts"].to_pylist()]
     which, distinct = pd.factorize(np.concatenate(grams))
     return pa.table({"gram": pa.array(distinct, pa.int64()), "n": pa.array(np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64))})
 
 
 def answer(sent: pa.Table, lengths: pa.Table) -> pa.Table:
-    """The code lengths of the strings that each block sent to a bucket."""
+    """The code lengths of the strings that each block sent to a bucket, to seven digits."""
     known = lengths["gram"].to_numpy()
     order = np.argsort(known)
-    known, log_p = known[order], lengths["log_p"].to_numpy()[order]
-    back = [log_p[np.searchsorted(known, np.frombuffer(g, "<i8"))].astype("<f8").tobytes() if g else b"" for g in sent["grams"].to_pylist()]
+    known, log_p = known[order], lengths["log_p"].to_numpy()[order].astype("<f4")
+    back = [packed(log_p[np.searchsorted(known, unpacked_grams(g))]) if g else b"" for g in sent["grams"].to_pylist()]
     return pa.table({"block": sent["block"], "bucket": sent["bucket"], "counts": pa.nulls(len(back), pa.binary()), "logs": pa.array(back, pa.binary())})
 
 
@@ -208,7 +226,7 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 def joined(answers: pa.Table, column: str, kind: str) -> np.ndarray:
     """A column's numbers by bucket, which is the order of Block."""
     parts = sorted((b, v) for b, v in zip(answers["bucket"].to_pylist(), answers[column].to_pylist()) if v is not None)
-    return np.concatenate([np.empty(0, kind), *(np.frombuffer(v, kind) for _, v in parts)])
+    return np.concatenate([np.empty(0, kind), *(unpacked(v, kind) for _, v in parts)])
 
 
 def score_block(table: pa.Table, answers: pa.Table, n_buckets: int, tokens: int, kinds: int, ends: int) -> pa.Table:
@@ -223,7 +241,7 @@ def score_block(table: pa.Table, answers: pa.Table, n_buckets: int, tokens: int,
     base = logs[stop] - logs[stop - n] + math.log10(ends + 1) - (n + 1) * math.log10(tokens + kinds + 1)
     grams, _, _ = block.strings()
     order = np.argsort(grams)
-    grams, log_p = grams[order], joined(answers, "logs", "<f8")[order]
+    grams, log_p = grams[order], joined(answers, "logs", "<f4")[order].astype(np.float64)
     score = np.zeros(len(block.texts))
     for at, own, count in byte_slices(block.texts):
         which, distinct = pd.factorize(own)
@@ -245,7 +263,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     learn from every symbol is as likely as any other. Other columns are not carried.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks, n = in_blocks(docs, block_bytes)
+    blocks, n = in_blocks(docs, block_bytes, MIN_BLOCKS)
     n_buckets = n | 1  # odd, so that strings that share their last bytes spread
     by_block = blocks.groupBy("block")
     sent = materialize(by_block.applyInArrow(lambda t: send(t, n_buckets), SENT), "sent")
