@@ -15,7 +15,11 @@ from .text import content_hash, heading_at, headings, with_heading
 
 MIN_SEGMENT = 20
 SIMILARITY, MIN_CHARS, MAX_CHARS = 0.55, 350, 1600
-CHUNK_TOKENS, MIN_EMBED = 800, 80
+CHUNK_TOKENS = 800
+#: Parts of no more characters are dropped by the token splitter; pages without a model have a larger limit.
+MIN_PART, MIN_EMBED = 5, 80
+#: Tokens that decode alone, as a stand-in for a tokenizer: three characters make two.
+Tokenizer = tuple[Callable[[str], list], Callable[[list], str]]
 
 
 def segments(text: str, min_chars: int = MIN_SEGMENT) -> list[tuple[str, int]]:
@@ -48,23 +52,31 @@ def merge_groups(lengths: list[int], similarity: list[float], threshold: float =
     return groups
 
 
-def token_split(text: str, size: int = CHUNK_TOKENS, min_chars: int = MIN_CHARS, min_embed: int = MIN_EMBED, count: Callable[[str], float] = lambda s: len(s) / 1.5) -> list[str]:
-    """Parts of about size tokens, ending after a sentence where that leaves enough; very short ones are dropped."""
-    step = max(1, int(size * len(text) / max(count(text), 1e-9)))
-    out, at = [], 0
-    while at < len(text):
-        part = text[at : at + step]
-        if at + step < len(text):
-            stop = max(part.rfind(c) for c in ".?!\n。？！")
-            if stop >= min_chars:
-                part = part[: stop + 1]
-        at += len(part)
-        if len(part.strip()) > min_embed or not out and at >= len(text):
+def stand_in_tokenizer() -> Tokenizer:
+    """Two tokens for three characters, without a vocabulary."""
+
+    def encode(text: str) -> list[str]:
+        return [p for at in range(0, len(text), 3) for p in (text[at : at + 2], text[at + 2 : at + 3]) if p]
+
+    return encode, "".join
+
+
+def token_split(text: str, size: int = CHUNK_TOKENS, min_chars: int = MIN_CHARS, min_part: int = MIN_PART, tokenizer: Tokenizer | None = None) -> list[str]:
+    """Parts of at most size tokens, ending after the last sentence mark where that leaves over min_chars; stripped, and very short ones dropped."""
+    encode, decode = tokenizer or stand_in_tokenizer()
+    out, tokens = [], encode(text)
+    while tokens:
+        part = decode(tokens[:size])
+        stop = max(part.rfind(c) for c in ".?!\n")
+        if stop > min_chars:
+            part = part[: stop + 1]
+        if len(part.strip()) > min_part:
             out.append(part.strip())
+        tokens = tokens[max(1, len(encode(part))) :]
     return out
 
 
-def page_chunks(text: str, embed: Embedder) -> list[tuple[str, int | None]]:
+def page_chunks(text: str, embed: Embedder, tokenizer: Tokenizer | None = None) -> list[tuple[str, int | None]]:
     """(chunk, offset) of a page; a blank page or one paragraph is one chunk however long."""
     parts = segments(text)
     if not text.strip() or len(parts) <= 1:
@@ -72,7 +84,7 @@ def page_chunks(text: str, embed: Embedder) -> list[tuple[str, int | None]]:
     try:
         v = embed([t for t, _ in parts])
     except Exception:  # without a model the page is cut by tokens
-        return [(t, None) for t in token_split(text)]
+        return [(t, None) for t in token_split(text, min_part=MIN_EMBED, tokenizer=tokenizer)]
     norm = np.linalg.norm(v, axis=1)
     both = norm[1:] * norm[:-1]
     near = [0.0, *np.where(both > 0, (v[1:] * v[:-1]).sum(axis=1) / np.where(both > 0, both, 1), 0.0)]
@@ -81,11 +93,11 @@ def page_chunks(text: str, embed: Embedder) -> list[tuple[str, int | None]]:
     for g in range(groups[-1] + 1):
         own = [p for p, h in zip(parts, groups) if h == g]
         joined = "".join(t for t, _ in own)
-        out += [(t, own[0][1]) for t in (token_split(joined) if len(joined) > MAX_CHARS else [joined])]
+        out += [(t, own[0][1]) for t in (token_split(joined, tokenizer=tokenizer) if len(joined) > MAX_CHARS else [joined])]
     return out
 
 
-def chunk_pages(pages: DataFrame, embed: Embedder | None = None) -> DataFrame:
+def chunk_pages(pages: DataFrame, embed: Embedder | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
     """(document_id, chunk_index, page_no, content, content_hash) of pages (document_id, page_no, text).
 
     Chunks start with the chain of headings that they stand under; the hash covers it. chunk_index counts through a
@@ -95,14 +107,15 @@ def chunk_pages(pages: DataFrame, embed: Embedder | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, p, i, t, s) for d, p, text in batch.itertuples(index=False) for i, (t, s) in enumerate(page_chunks(text or "", model))]
-            yield pd.DataFrame(rows, columns=["document_id", "page_no", "part", "text", "chunk_start"]).astype({"chunk_start": "Int32"})
-
-    cut = pages.select(F.col("document_id").cast("long"), F.col("page_no").cast("int"), "text").mapInPandas(
-        run, "document_id long, page_no int, part int, text string, chunk_start int"
+            rows = [(d, p, list(f), i, t, s) for d, p, text, f in batch.itertuples(index=False) for i, (t, s) in enumerate(page_chunks(text or "", model, tokenizer))]
+            yield pd.DataFrame(rows, columns=["document_id", "page_no", "found", "part", "text", "chunk_start"]).astype({"chunk_start": "Int32"})
+
+    found = headings(F.coalesce("text", F.lit("")))
+    row = "array<struct<offset:int,chain:string>>"
+    found = F.transform(found, lambda h: F.struct(h["offset"].alias("offset"), h["chain"].alias("chain")))
+    cut = pages.select(F.col("document_id").cast("long"), F.col("page_no").cast("int"), "text", found.alias("found")).mapInPandas(
+        run, f"document_id long, page_no int, found {row}, part int, text string, chunk_start int"
     )
-    titled = pages.select("document_id", "page_no", headings(F.col("text")).alias("found")).where(F.size("found") > 0)
-    chain = heading_at(F.col("found"), F.col("chunk_start"))
-    joined = cut.join(titled, ["document_id", "page_no"], "left").withColumn("content", with_heading(F.col("text"), chain))
+    joined = cut.withColumn("content", with_heading(F.col("text"), heading_at(F.col("found"), F.col("chunk_start"))))
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("page_no", "part")) - 1
     return joined.select("document_id", index.alias("chunk_index"), "page_no", "content", content_hash(F.col("content")).alias("content_hash"))

@@ -10,21 +10,29 @@ CLOSING = "。！？；，、,.;:!?"
 NUMBERED = r"^\s*(\d+(?:\.\d+)*)\s*[.、．:：)）]?\s*"
 CHAPTER = r"^\s*第[一二三四五六七八九十百千万\d]+([章节篇部部分条])"
 MAX_DEPTH = 3
-#: Messages shown to users.
-EMBEDDING_ERROR = "embedding service unavailable, please retry later"
-UNKNOWN_ERROR = "unknown error"
+#: Fixed value: marks that no unnumbered heading has anywhere.
+MARKS = "。！？；，、,.;:!?（）()「」『』《》〈〉\"'“”‘’"
+#: White space but for no-break blanks, as titles are stripped of it.
+SPACE = r"[\t-\r\x1c-\x1f\p{Z}&&[^\u00a0\u2007\u202f]]"
+#: The message shown for failures of the embedding service, and what tells them.
+EMBEDDING_ERROR = "向量化服务暂时不可用，请稍后重试"
+EMBEDDING_MARKS = ("DashScope", "dashscope", "embedding", "Embedding")
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def heading_depth(line: Column) -> Column:
     """1 to 3 for numbered and chapter headings, -1 for unnumbered ones in Han characters, else null."""
-    text = F.trim(line)
+    text = strip(line)
     number, chapter = F.regexp_extract(text, NUMBERED, 1), F.regexp_extract(text, CHAPTER, 1)
     dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
     fits = F.length(text).between(2, 40) & ~text.rlike(f"[{CLOSING}]$")
     depth = (
         F.when(number != "", F.least(dots + 1, F.lit(MAX_DEPTH)))
         .when(chapter != "", F.when(chapter == "节", 2).when(chapter == "条", 3).otherwise(1))
-        .when(text.rlike(r"\p{IsHan}") & ~text.rlike(f"[{CLOSING}]"), -1)
+        .when(text.rlike(r"\p{IsHan}") & ~text.rlike(f"[{MARKS}]"), -1)
     )
     return F.when(fits, depth)
 
@@ -35,12 +43,12 @@ def headings(text: Column) -> Column:
 
     def note(acc: Column, line: Column) -> Column:
         depth = heading_depth(line)
-        own = F.array(F.struct(acc["pos"].alias("offset"), depth.alias("depth"), F.trim(line).alias("title")))
+        own = F.array(F.struct(acc["pos"].alias("offset"), depth.alias("depth"), strip(line).alias("title")))
         return F.struct((acc["pos"] + F.length(line) + 1).alias("pos"), F.when(depth.isNull(), acc["found"]).otherwise(F.concat(acc["found"], own)).alias("found"))
 
     none = F.array().cast(f"array<{mark}>")
     # Most pages have no line that could be a heading; those are told by one pattern.
-    maybe = text.rlike(r"(?m)^\s*[\d第]|\p{IsHan}")
+    maybe = text.rlike(r"(?m)^[\s\p{Z}\x1c-\x1f]*[\d第]|\p{IsHan}")
     seen = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("pos"), none.alias("found")), note, lambda acc: acc["found"])
     found = F.when(maybe, seen).otherwise(none)
     item = "struct<depth:int,title:string>"
@@ -105,20 +113,34 @@ def citations(answer: Column, n_sources: Column) -> Column:
 
 
 def renumber(answer: Column, cited: Column) -> Column:
-    """The answer with its citations numbered from 1 without gaps; others stay as they are."""
+    """The answer with its citations numbered from 1 without gaps, by their number however it is written; others stay as they are."""
     mark = lambda n: F.concat(F.lit("[来源"), n.cast("string"), F.lit("]"))
-    each = F.transform(cited, lambda n, i: F.struct(n.alias("old"), (i + 1).alias("new")))
-    return F.aggregate(each, answer, lambda s, r: F.replace(s, mark(r["old"]), mark(r["new"])))
+    digits = F.regexp_extract_all(answer, F.lit(r"\[来源(\d+)\]"), F.lit(1))
+    place = lambda d: F.array_position(cited, d.try_cast("int"))
+    marks = F.transform(digits, lambda d: F.when(place(d) > 0, mark(place(d))).otherwise(mark(d)))
+    between = F.split(answer, r"\[来源\d+\]", -1)
+    return F.array_join(F.zip_with(between, marks, lambda text, m: F.concat(text, F.coalesce(m, F.lit("")))), "")
 
 
-def friendly_error(message: Column, size: int = 200) -> Column:
-    lower = F.lower(message)
-    return (
-        F.when(message.isNull() | (F.trim(message) == ""), UNKNOWN_ERROR)
-        .when(lower.contains("embedding"), EMBEDDING_ERROR)
-        .when(F.length(message) > size, F.concat(F.substring(message, 1, size), F.lit("...")))
-        .otherwise(message)
-    )
+def friendly_error(message: Column, error: Column | None = None, marks: tuple[str, ...] = EMBEDDING_MARKS, size: int = 200) -> Column:
+    """What a user is told: a fixed message where one of the marks is in it, in this spelling, else its first size characters.
+
+    In place of a null or blank message comes error, the text of the failure itself.
+    """
+    found = F.coalesce(message.rlike("|".join(marks)), F.lit(False))
+    blank = message.isNull() | (strip(message) == "")
+    shown = message if error is None else F.when(blank, error).otherwise(message)
+    cut = F.when(F.length(shown) > size, F.concat(F.substring(shown, 1, size), F.lit("..."))).otherwise(shown)
+    return F.when(found, EMBEDDING_ERROR).otherwise(cut)
+
+
+def md5(text: Column) -> Column:
+    return F.md5(F.encode(text, "UTF-8"))
+
+
+def task_number(time: Column, random: Column) -> Column:
+    """The number of a task: a prefix, its time in milliseconds, and the first eight hex digits of a random id."""
+    return F.concat(F.lit("EMB"), F.unix_millis(time.cast("timestamp")).cast("string"), F.substring(F.replace(random, F.lit("-"), F.lit("")), 1, 8))
 
 
 def file_size(size: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.sources.keyed import remove, upsert
-from lorespark.sources.tables import ROLE_RANK, label
+from lorespark.sources.tables import ROLE_RANK
 
 
 def visible(df: DataFrame, members: DataFrame | None, key: str = "kb_id") -> DataFrame:
@@ -50,6 +50,13 @@ def users_with_roles(user: DataFrame, user_role: DataFrame, role: DataFrame) ->
     return user.join(codes, "user_id", "left").withColumn("roles", F.coalesce("roles", F.lit("")))
 
 
+def roles_of(user: DataFrame, user_role: DataFrame, role: DataFrame) -> DataFrame:
+    """user with roles, an array of structs of all columns of role, by role_id; empty for a user without any."""
+    own = user_role.join(role, "role_id").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("role_id", *(c for c in role.columns if c != "role_id")))).alias("roles"))
+    joined = user.join(own, "user_id", "left")
+    return joined.withColumn("roles", F.coalesce("roles", F.array().cast(own.schema["roles"].dataType)))
+
+
 def last_owners(members: DataFrame) -> DataFrame:
     """(kb_id, user_id) of owners who are the only one of their knowledge base."""
     owners = members.where("role = 'OWNER'")
@@ -90,6 +97,14 @@ def deletable_users(user: DataFrame, members: DataFrame, user_role: DataFrame, r
     return remove(remove(user, last_owners(members), "user_id"), last, "user_id")
 
 
+def delete_users(
+    user: DataFrame, members: DataFrame, user_role: DataFrame, role: DataFrame, gone: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """user, members and user_role without the users (user_id) in gone that may be deleted."""
+    gone = gone.select("user_id").join(deletable_users(user, members, user_role, role).select("user_id"), "user_id", "left_semi")
+    return tuple(remove(t, gone, "user_id") for t in (user, members, user_role))
+
+
 def seed_permissions(role: DataFrame, permission: DataFrame, role_permission: DataFrame, code: str = "ADMIN") -> DataFrame:
     """Rows that role_permission lacks for a role to have every permission; both seed tables are small by nature."""
     pairs = role.where(F.col("code") == code).select("role_id").crossJoin(permission.select("permission_id"))
@@ -99,7 +114,3 @@ def seed_permissions(role: DataFrame, permission: DataFrame, role_permission: Da
 def audit(log: DataFrame, events: DataFrame, limit: int = 500) -> DataFrame:
     """log with events appended, their details cut to limit characters."""
     return log.unionByName(events.withColumn("detail", F.substring("detail", 1, limit)))
-
-
-def role_labels(members: DataFrame) -> DataFrame:
-    return members.withColumn("rank", label(F.col("role"), {k: str(v) for k, v in ROLE_RANK.items()}, "0").cast("int"))

@@ -57,6 +57,12 @@ def keep_vectors(vectors: DataFrame, keep: DataFrame, document_ids: DataFrame) -
     return remove(vectors, of, "id")
 
 
+def trim_vectors(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
+    """vectors (document_id, chunk_index) without those behind the last chunk of documents in sizes (document_id, n)."""
+    joined = vectors.join(sizes.select("document_id", F.col("n").alias("_n")), "document_id", "left")
+    return joined.where(F.col("_n").isNull() | (F.col("chunk_index") < F.col("_n"))).select(*vectors.columns)
+
+
 def next_versions(documents: DataFrame) -> DataFrame:
     """(kb_id, file_name, next_version): one above the largest of any status."""
     return documents.groupBy("kb_id", "file_name").agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.sources.tables import DOCUMENT_STATUS, TASK_STATUS
+
 from .access import visible
 
 
@@ -16,25 +20,27 @@ def contains_text(column: Column, keyword: str | None) -> Column:
 def list_documents(documents: DataFrame, members: DataFrame | None, keyword: str | None = None, status: int | None = None, limit: int = 100) -> DataFrame:
     """The newest visible documents: filtered first, then limited."""
     found = visible(documents, members).where(contains_text(F.col("file_name"), keyword))
-    if status is not None:
+    if status in DOCUMENT_STATUS:  # an unknown one sets no filter
         found = found.where(F.col("status") == status)
     return found.orderBy(F.desc("create_time"), "id").limit(limit)
 
 
 def list_tasks(
-    tasks: DataFrame, documents: DataFrame, bases: DataFrame, members: DataFrame | None, keyword: str | None = None, status: int | None = None, limit: int = 100
+    tasks: DataFrame, documents: DataFrame, bases: DataFrame, members: DataFrame | None, keyword: str | None = None, status: int | None = None, limit: int = 100, kb: Any = None
 ) -> DataFrame:
     """Of the newest matching tasks, those of visible documents: limited first, then filtered.
 
-    A keyword is sought in the task number and in the document's file name. Tasks without a document are dropped;
+    Of kb, a knowledge base, only its own are shown, after the limit too. An unknown status sets no filter. A keyword is sought in the task number and in the document's file name. Tasks without a document are dropped;
     those whose knowledge base is gone stay without its name.
     """
-    found = tasks if status is None else tasks.where(F.col("status") == status)
+    found = tasks.where(F.col("status") == status) if status in TASK_STATUS else tasks
     if keyword:
         named = documents.where(contains_text(F.col("file_name"), keyword)).select(F.col("id").alias("document_id"), F.lit(True).alias("_named"))
         found = found.join(named, "document_id", "left").where(contains_text(F.col("task_no"), keyword) | F.col("_named")).drop("_named")
     newest = found.orderBy(F.desc("create_time"), "id").limit(limit)
     joined = newest.join(documents.select(F.col("id").alias("document_id"), "kb_id", "file_name"), "document_id")
+    if kb is not None:
+        joined = joined.where(F.col("kb_id") == kb)
     return visible(joined.join(bases.select("kb_id", "kb_name"), "kb_id", "left"), members)
 
 

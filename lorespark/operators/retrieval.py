@@ -5,20 +5,27 @@ Result frames are (query_id, doc_id, score) with more columns along the way; tie
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorespark.functions.text import snippet
+from lorespark.sources.work import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 ROUTE_TOP, FUSED_TOP, FINAL_TOP = 40, 20, 5
 THRESHOLD = 0.3
+#: Distinct terms of all queries up to which they are broadcast.
+MANY_TERMS = 200_000
 #: Vectors of a block of the dense search.
 BLOCK = 2048
 
@@ -72,7 +79,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = ROUTE_TOP, thres
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; runs of Han characters as pairs of neighbours."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     pair = lambda t: F.when(
         t.rlike(r"\p{IsHan}") & (F.length(t) > 1),
         F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))),
@@ -83,15 +90,22 @@ def tokens(text: Column) -> Column:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = ROUTE_TOP, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents (doc_id, text) for each query (query_id, text).
 
-    Only postings of the queries' own terms are made; lengths and counts cover every document.
+    One pass over the documents gives each one's length and how often it has the queries' own terms, by lookup in a broadcast
+    table of them while it is bounded (``MANY_TERMS``), by a join beyond. Lengths and counts cover every document.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    parts = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
-    stats = parts.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    postings = parts.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    postings = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
+    terms = asked.select("term").distinct()
+    few = terms.limit(MANY_TERMS + 1).count() <= MANY_TERMS
+    parts = docs.select("doc_id", tokens(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    counted = parts.join(F.broadcast(terms.withColumn("_asked", F.lit(True))) if few else terms.withColumn("_asked", F.lit(True)), "term", "left")
+    # Terms that nobody asks for are one entry of their document.
+    counted = counted.groupBy("doc_id", "dl", F.when(F.col("_asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    postings = written(counted, "postings")
+    sizes = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"))
     # One row: the corpus size and mean length.
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = postings.where("term IS NOT NULL")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = postings.join(df, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -109,19 +123,19 @@ def fuse(*routes: DataFrame, k: int = FUSED_TOP, rrf_k: int = RRF_K, min_score:
     return top(fused if min_score <= 0 else fused.where(F.col("score") >= min_score), k)
 
 
-def route_size(top_k: int) -> int:
-    """How many results each route fetches for top_k fused ones."""
-    return max(ROUTE_TOP, 2 * top_k)
-
+def hybrid(attempts: list[tuple[str, Callable[[int], DataFrame]]], k: int = FUSED_TOP) -> tuple[str, DataFrame]:
+    """The name and the results of the first of the routes (name, function from k to results) that runs to its end.
 
-def with_fallback(*attempts) -> DataFrame:
-    """The first attempt (a function to a DataFrame) that can be planned; errors of the last one are raised."""
-    for attempt in attempts[:-1]:
+    Each route is run and its results are written, so that failures in its tasks count too; k is what callers want, which
+    the fused route gets from wider ones. The last route's failure is raised.
+    """
+    for name, attempt in attempts[:-1]:
         try:
-            return attempt()
-        except Exception:  # the next route stands in
-            continue
-    return attempts[-1]()
+            return name, written(attempt(k), "route")
+        except (PySparkException, Py4JError, ConnectionError, TimeoutError) as e:
+            logging.getLogger(__name__).warning("the %s route failed, the next one stands in: %s", name, str(e)[:200])
+    name, attempt = attempts[-1]
+    return name, written(attempt(k), "route")
 
 
 def eligible_latest(found: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
@@ -149,6 +163,31 @@ def rerank(found: DataFrame, score: Column, k: int = FINAL_TOP) -> DataFrame:
     return top(scored, k, by="rerank_score")
 
 
+#: From a question and its passages to (number of the passage, score), best first.
+Reranker = Callable[[str, list[str], int], list[tuple[int, float]]]
+
+
+def rerank_by(found: DataFrame, model: Reranker, k: int = FINAL_TOP) -> DataFrame:
+    """(query_id, doc_id, rank) of results (query_id, doc_id, rank, question, text) in the order that a model gives them.
+
+    The model sees a query's results, which are as many as a route's k, in their order; missing text is empty. A query with one
+    result isn't sent. Where the model fails or gives nothing, all results stay in their order.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["rank", "doc_id"])
+        picked = []
+        if len(rows) > 1:
+            try:
+                picked = [i for i, _ in model(rows["question"].iloc[0], rows["text"].fillna("").tolist(), k)]
+            except Exception:  # whatever a service raises
+                picked = []
+        ids = rows["doc_id"].iloc[picked] if picked else rows["doc_id"]
+        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "doc_id": ids.to_numpy(), "rank": np.arange(1, len(ids) + 1, dtype=np.int32)})
+
+    return found.select("query_id", "doc_id", "rank", "question", "text").groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, rank int")
+
+
 def context(found: DataFrame) -> DataFrame:
     """(query_id, context, sources): numbered passages of results (query_id, rank, doc_id, file_name, page_no, text)."""
     mark = F.format_string("[来源%d] 文档：%s，第%d页\n%s\n\n", F.col("rank"), F.coalesce("file_name", F.lit("未知文档")), F.coalesce("page_no", F.lit(1)), "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorespark.functions import text as T
 from lorespark.operators import access, lifecycle, lists
@@ -72,6 +73,40 @@ def list_tasks_topk_then_filter(spark, sf_dir):
     return found.select("id", "task_no", "document_id", "file_name", "kb_id", "kb_name")
 
 
+@query(
+    S.with_("tasks_", "task_documents_", "bases_")
+    + """, newest AS (SELECT * FROM tasks_ ORDER BY create_time DESC, id LIMIT 100)
+    SELECT n.id, document_id, d.kb_id, kb_name FROM newest n JOIN task_documents_ d ON d.id = n.document_id LEFT JOIN bases_ b ON b.kb_id = d.kb_id WHERE d.kb_id IN (5)"""
+)
+def list_tasks_of_base(spark, sf_dir):
+    """An administrator's list for one knowledge base, with a status that there isn't."""
+    found = lists.list_tasks(S.tasks(spark, sf_dir), S.task_documents(spark, sf_dir), S.bases(spark, sf_dir), None, status=9, kb=5)
+    return found.select("id", "document_id", "kb_id", "kb_name")
+
+
+@query(
+    S.with_("documents_")
+    + f"""SELECT id, '{{"id":' || id || ',"fileName":"' || file_name || '","statusText":"' || {_STATUS_SQL} || '","version":' || version || CASE WHEN id % 2 = 0 THEN '' ELSE ',"expired":' || (status = 6) END || '}}' AS row FROM documents_"""
+)
+def document_rows_json(spark, sf_dir):
+    """Documents as the service's rows; null fields are left out."""
+    status = F.col("status")
+    row = F.struct(
+        "id", F.col("file_name").alias("fileName"), tables.label(status, tables.DOCUMENT_STATUS).alias("statusText"), "version", F.when(F.col("id") % 2 == 1, status == 6).alias("expired")
+    )
+    return S.documents(spark, sf_dir).select("id", F.to_json(row).alias("row"))
+
+
+@query(S.with_("role_", "documents_") + "SELECT 'role' AS list, code AS name, sort AS v, row_number() OVER (ORDER BY sort, role_id) AS pos FROM role_ UNION ALL SELECT 'version', file_name, version, row_number() OVER (PARTITION BY file_name ORDER BY version DESC) FROM documents_")
+def plain_orders(spark, sf_dir):
+    """Roles by their sort, and the versions of each name from the newest down."""
+    roles = S.role(spark, sf_dir)  # a handful
+    by_sort = roles.select(F.lit("role").alias("list"), F.col("code").alias("name"), F.col("sort").cast("long").alias("v"), F.row_number().over(Window.orderBy("sort", "role_id")).cast("long").alias("pos"))
+    newest = Window.partitionBy("file_name").orderBy(F.desc("version"))
+    versions = S.documents(spark, sf_dir).select(F.lit("version").alias("list"), F.col("file_name").alias("name"), F.col("version").alias("v"), F.row_number().over(newest).cast("long").alias("pos"))
+    return by_sort.union(versions)
+
+
 @query(
     S.with_("bases_", "creators_")
     + "SELECT kb_id, kb_name, coalesce(nullif(trim(nickname), ''), username, create_user::VARCHAR) AS creator FROM bases_ LEFT JOIN creators_ ON user_id = create_user"
@@ -95,6 +130,16 @@ def users_with_roles(spark, sf_dir):
     return access.users_with_roles(users, S.user_role(spark, sf_dir), S.role(spark, sf_dir))
 
 
+@query(
+    S.with_("user_role_", "role_")
+    + """SELECT c_custkey AS user_id, coalesce('[' || string_agg('{"role_id":' || r.role_id || ',"code":"' || code || '","sort":' || sort || '}', ',' ORDER BY r.role_id) || ']', '[]') AS roles
+    FROM customer LEFT JOIN user_role_ u ON u.user_id = c_custkey LEFT JOIN role_ r ON r.role_id = u.role_id GROUP BY ALL"""
+)
+def users_with_role_structs(spark, sf_dir):
+    users = S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return access.roles_of(users, S.user_role(spark, sf_dir), S.role(spark, sf_dir)).select("user_id", F.to_json("roles").alias("roles"))
+
+
 @query(
     S.with_("user_role_", "role_permission_", "permission_")
     + "SELECT DISTINCT user_id, code FROM user_role_ JOIN role_permission_ USING (role_id) JOIN permission_ USING (permission_id) WHERE status = 1"
@@ -114,12 +159,26 @@ def users_per_role(spark, sf_dir):
 
 
 _LAST = "SELECT kb_id, any_value(user_id) AS user_id FROM members_ WHERE role = 'OWNER' GROUP BY kb_id HAVING count(*) = 1"
-_FEW = "SELECT kb_id, user_id, role FROM members_ WHERE role <> 'OWNER' OR user_id % 10 = 3"
 
 
-@query(S.with_("members_") + f", m AS ({_FEW}) " + _LAST.replace("members_", "m"))
+@query(S.with_("order_members_") + _LAST.replace("members_", "order_members_"))
 def last_owner_kbs(spark, sf_dir):
-    return access.last_owners(S.members(spark, sf_dir).where("role <> 'OWNER' OR user_id % 10 = 3"))
+    return access.last_owners(S.order_members(spark, sf_dir))
+
+
+@query(
+    S.with_("order_members_", "user_role_", "role_")
+    + f""", gone AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM ({_LAST.replace("members_", "order_members_")})) AND c_custkey NOT IN
+        (SELECT min(user_id) FROM user_role_ JOIN role_ USING (role_id) WHERE code = 'ADMIN' HAVING count(DISTINCT user_id) = 1))
+    SELECT 'user' AS side, count(*) AS n FROM customer WHERE c_custkey NOT IN (FROM gone) UNION ALL SELECT 'members', count(*) FROM order_members_ WHERE user_id NOT IN (FROM gone)
+    UNION ALL SELECT 'user_role', count(*) FROM user_role_ WHERE user_id NOT IN (FROM gone)"""
+)
+def delete_users(spark, sf_dir):
+    """All users are to go; those who may not stay with their memberships and roles."""
+    users = S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    left = access.delete_users(users, S.order_members(spark, sf_dir), S.user_role(spark, sf_dir), S.role(spark, sf_dir), users)
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(s).alias("side"), "n") for s, t in zip(("user", "members", "user_role"), left)]
+    return counts[0].union(counts[1]).union(counts[2])
 
 
 @query(S.with_("members_") + "SELECT c_custkey AS user_id, c_name AS username FROM customer WHERE c_name ILIKE '%CUSTOMER#%9%' AND c_custkey NOT IN (SELECT user_id FROM members_) ORDER BY 1 LIMIT 20")
@@ -311,6 +370,13 @@ def vectors_keep_except(spark, sf_dir):
     return lifecycle.keep_vectors(vectors, keep, spark.createDataFrame([(3,)], "document_id int")).select("id")
 
 
+@query(S.with_("chunks_") + "SELECT document_id, chunk_index FROM chunks_ WHERE document_id % 3 = 0 OR chunk_index < 3 + document_id % 4")
+def vectors_trimmed(spark, sf_dir):
+    """Documents that shrank to a few chunks lose the vectors behind them; every third wasn't ingested again."""
+    sizes = S.read(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("document_id"), (3 + F.col("doc_id") % 4).alias("n"))
+    return lifecycle.trim_vectors(S.chunks(spark, sf_dir).select("document_id", "chunk_index"), sizes)
+
+
 @query(
     S.with_("documents_", "chunks_", "tasks_")
     + """, gone AS (SELECT id FROM documents_ WHERE status = 4 AND id NOT IN (SELECT document_id FROM tasks_ WHERE status IN (0, 1)))

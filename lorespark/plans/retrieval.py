@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import citations, renumber, snippet
@@ -107,12 +108,31 @@ def cited_answers(spark, sf_dir):
 
 
 def threshold_fallback(spark, sf_dir):
-    """The hybrid route, else BM25, else the dense one with its threshold."""
-    return R.with_fallback(
-        lambda: R.fuse(bm25_topk(spark, sf_dir), S.read(spark, sf_dir, "no_such_route")),
-        lambda: bm25_topk(spark, sf_dir),
-        lambda: dense_cosine_topk(spark, sf_dir),
-    )
+    """The hybrid route, whose embedding service fails while it runs, else BM25 with as many results as were wanted, else the dense one."""
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        raise ConnectionError("the embedding service is away")
+
+    def fused(k):
+        asked = questions(spark, sf_dir).select("query_id", embed("text").alias("embedding"))
+        return R.fuse(bm25_topk(spark, sf_dir), R.dense_topk(asked, vectors(spark, sf_dir)), k=k)
+
+    documents = S.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return R.hybrid([("hybrid", fused), ("bm25", lambda k: R.bm25_topk(questions(spark, sf_dir), documents, k)), ("dense", lambda k: dense_cosine_topk(spark, sf_dir))])[1]
+
+
+def reranked_by_model(spark, sf_dir):
+    """A model that answers for some questions, fails for others and gives nothing for the rest."""
+
+    def model(question, texts, k):
+        if len(question) % 3 == 0:
+            raise TimeoutError
+        order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
+        return [(i, float(len(texts[i]))) for i in order[:k]] if len(question) % 3 == 1 else []
+
+    found = _eligible(spark, sf_dir).select("query_id", "doc_id", "rank").join(S.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return R.rerank_by(found.join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id"), model)
 
 
 _FINAL = f"""{ELIGIBLE_SQL}, found AS (SELECT query_id, doc_id, score, d.text, file_name, list_distinct({_TOKENS.replace("text", "b.text")}) AS asked,
@@ -124,13 +144,16 @@ short AS (SELECT *, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' E
 QUERIES |= {
     f.__name__: f
     for f in (
-        dense_cosine_topk, ivf_topk, bm25_topk, rrf_hybrid_topk, eligible_latest_results, reranked_snippets, answer_contexts, cited_answers, threshold_fallback,
+        dense_cosine_topk, ivf_topk, bm25_topk, rrf_hybrid_topk, eligible_latest_results, reranked_snippets, answer_contexts, cited_answers, threshold_fallback, reranked_by_model,
     )
 }
 ORACLES |= {
     "dense_cosine_topk": f"SELECT * FROM ({dense_sql('SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0', 20)}) WHERE score >= {R.THRESHOLD}",
     "bm25_topk": f"WITH {BM25_SQL} SELECT * FROM bm25",
-    "threshold_fallback": f"WITH {BM25_SQL} SELECT * FROM bm25",
+    "threshold_fallback": f"WITH {BM25_SQL} SELECT * FROM bm25 WHERE rank <= 20",
+    "reranked_by_model": f"""WITH {ELIGIBLE_SQL}, r AS (SELECT query_id, doc_id, d.text, length(b.text) % 3 AS how, count(*) OVER (PARTITION BY query_id) AS many,
+        row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS pos FROM ok JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE version = latest)
+        SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN how = 1 AND many > 1 THEN -length(text) END, pos)::INT AS rank FROM r QUALIFY rank <= 5 OR how <> 1 OR many = 1""",
     "rrf_hybrid_topk": f"WITH {FUSED_SQL} SELECT * FROM fused",
     "eligible_latest_results": f"WITH {ELIGIBLE_SQL} SELECT query_id, doc_id, score, rank, kb_id, file_name, version FROM ok WHERE version = latest",
     "reranked_snippets": f"WITH {_FINAL} SELECT query_id, doc_id, rerank_score, rank, snippet FROM short",

@@ -13,6 +13,7 @@ SQL = {
         TIMESTAMP '2024-01-01' + to_hours(doc_id) AS expire_time, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS create_time, text FROM documents""",
     "members_": """SELECT DISTINCT event_id % 20 AS kb_id, user_id,
         max(CASE event_type WHEN 'purchase' THEN 'OWNER' WHEN 'click' THEN 'EDITOR' ELSE 'VIEWER' END) AS role FROM events GROUP BY ALL""",
+    "order_members_": "SELECT l_orderkey AS kb_id, l_suppkey AS user_id, max(CASE WHEN l_returnflag = 'R' THEN 'OWNER' ELSE 'EDITOR' END) AS role FROM lineitem GROUP BY ALL",
     "tasks_": """SELECT o_orderkey AS id, 'EMB' || o_orderkey AS task_no, o_custkey AS document_id,
         CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS status, o_orderdate AS create_time FROM orders""",
     "task_documents_": "SELECT c_custkey AS id, c_nationkey AS kb_id, c_name AS file_name FROM customer",
@@ -55,6 +56,13 @@ def members(spark, sf_dir) -> DataFrame:
     return rows.groupBy("kb_id", "user_id").agg(F.max("role").alias("role"))
 
 
+def order_members(spark, sf_dir) -> DataFrame:
+    """Orders as knowledge bases and suppliers as their members, of whom often one only is an owner."""
+    role = F.when(F.col("l_returnflag") == "R", "OWNER").otherwise("EDITOR")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("kb_id"), F.col("l_suppkey").alias("user_id"), role.alias("role"))
+    return rows.groupBy("kb_id", "user_id").agg(F.max("role").alias("role"))
+
+
 def tasks(spark, sf_dir) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3)
     return read(spark, sf_dir, "orders").select(

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lorespark.sources.work import work_path
 from lorespark.streaming import flows
 
 from . import standins as S
@@ -13,21 +14,13 @@ from . import standins as S
 QUERIES, ORACLES = {}, {}
 
 
-def _folder(spark) -> str:
-    """Where streams keep their progress: the shared folder, or a temporary one only where none is set."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorespark-")
-    return f"{base.rstrip('/')}/lorespark/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark, sf_dir):
     batch = S.read(spark, sf_dir, "events")
     return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _end(spark, out, mode="append"):
-    return flows.run_to_end(spark, out, f"out_{uuid.uuid4().hex}", _folder(spark), mode)
+    return flows.run_to_end(spark, out, f"out_{uuid.uuid4().hex}", work_path(spark, "stream"), mode)
 
 
 def stream_dedup(spark, sf_dir):
@@ -51,13 +44,29 @@ def stream_breaker(spark, sf_dir):
     return _end(spark, out, "complete").select(F.unix_seconds("w.start").alias("start"), "calls", "failures", "open")
 
 
-QUERIES |= {f.__name__: f for f in (stream_dedup, stream_windows, stream_sessions, stream_breaker)}
+def stream_ttl(spark, sf_dir):
+    """Refresh tokens of users, held for six hours after each use."""
+    out = flows.expiring_keys(_events(spark, sf_dir), "user_id", "ts", "6 hours")
+    return _end(spark, out, "complete").select("user_id", F.unix_seconds("since").alias("since"), F.unix_seconds("expires").alias("expires"), "n")
+
+
+def stream_breaker_states(spark, sf_dir):
+    """Calls of five services; one of them opens at three failures of 30 minutes, for two hours."""
+    rows = _events(spark, sf_dir).withColumn("service", F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")))
+    out = flows.breaker_states(rows, "service", "ts", F.col("event_type") == "error", threshold=3, by_ratio=False, least=1, interval_ms=1_800_000, open_ms=7_200_000)
+    return _end(spark, out).groupBy("service", "state").agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"))
+
+
+QUERIES |= {f.__name__: f for f in (stream_dedup, stream_windows, stream_sessions, stream_breaker, stream_ttl, stream_breaker_states)}
 ORACLES |= {
     "stream_dedup": "SELECT DISTINCT user_id || '-' || event_type AS token FROM events",
     "stream_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOURS THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
         SELECT floor(epoch(min(ts)))::BIGINT AS start, user_id, count(*) AS n FROM s GROUP BY user_id, k""",
+    "stream_ttl": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+        SELECT user_id, floor(epoch(min(ts)))::BIGINT AS since, floor(epoch(max(ts) + INTERVAL 6 HOURS))::BIGINT AS expires, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_breaker": """SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failures,
         count(*) >= 3 AND count(*) FILTER (event_type = 'error') >= 0.3 * count(*) AS open FROM events GROUP BY ALL""",
 }

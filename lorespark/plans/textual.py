@@ -41,12 +41,42 @@ def semantic_chunks(spark, sf_dir):
     return chunking.chunk_pages(pages)
 
 
-@query()
+#: Documents as pages with headings: of each four lines the first three become headings of depth 1 to 3, of up to 20 letters.
+_TITLED = """lines AS (SELECT doc_id, i, CASE (i - 1) % 4 WHEN 3 THEN line ELSE ['1', '1.1', '1.1.2'][(i - 1) % 4 + 1] || ' ' || trim(left(regexp_replace(line, '[^a-zA-Z ]', '', 'g'), 20)) END AS line
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS begins FROM lines),
+    heads AS (SELECT doc_id, i, begins, trim(line) AS title, least(3, 1 + length(n) - length(replace(n, '.', ''))) AS depth FROM (SELECT *, regexp_extract(trim(line), '^(\\d+(?:\\.\\d+)*)', 1) AS n FROM placed)
+        WHERE n <> '' AND length(trim(line)) BETWEEN 2 AND 40 AND NOT regexp_matches(trim(line), '[。！？；，、,.;:!?]$')),
+    up AS (SELECT h.doc_id, h.i, max(a.i) AS above FROM heads h JOIN heads a ON a.doc_id = h.doc_id AND a.i < h.i AND a.depth < h.depth GROUP BY ALL),
+    chains AS (SELECT h.doc_id, h.i, h.begins, h.depth, h.title AS chain FROM heads h ANTI JOIN up USING (doc_id, i)
+        UNION ALL SELECT h.doc_id, h.i, h.begins, h.depth, c.chain || ' > ' || h.title FROM heads h JOIN up USING (doc_id, i) JOIN chains c ON c.doc_id = h.doc_id AND c.i = up.above)"""
+
+
+def _titled(spark, sf_dir):
+    number = F.array(F.lit("1"), F.lit("1.1"), F.lit("1.1.2"))
+    letters = lambda line: F.trim(F.substring(F.regexp_replace(line, "[^a-zA-Z ]", ""), 1, 20))
+    head = lambda line, i: F.when(i % 4 == 3, line).otherwise(F.concat(F.get(number, i % 4), F.lit(" "), letters(line)))
+    text = F.array_join(F.transform(F.split("text", "\n"), head), "\n")
+    return S.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"WITH RECURSIVE {_TITLED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS pos, begins AS \"offset\", depth::INT AS depth, chain FROM chains")
 def heading_chains(spark, sf_dir):
-    rows = S.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.headings(F.col("text"))).alias("pos", "h"))
+    rows = _titled(spark, sf_dir).select("doc_id", F.posexplode(T.headings(F.col("text"))).alias("pos", "h"))
     return rows.select("doc_id", "pos", "h.offset", "h.depth", "h.chain")
 
 
+@query(
+    f"""WITH RECURSIVE {_TITLED}, starts AS (SELECT doc_id, unnest(range(0, greatest(sum(length(line) + 1)::INT - 1, 1), 300))::INT AS start FROM lines GROUP BY doc_id)
+    SELECT s.doc_id, start, coalesce(max_by(chain, begins) FILTER (begins <= start), min_by(chain, begins)) AS chain FROM starts s LEFT JOIN chains c USING (doc_id) GROUP BY ALL"""
+)
+def heading_asof(spark, sf_dir):
+    """The chain that each 300 characters of a page start under."""
+    rows = _titled(spark, sf_dir).withColumn("found", T.headings(F.col("text")))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(300))
+    return rows.select("doc_id", "found", F.explode(starts).alias("start")).select("doc_id", "start", T.heading_at(F.col("found"), F.col("start")).alias("chain"))
+
+
 _NAME = "regexp_extract(url, '[^/]*$')"
 
 
@@ -65,12 +95,20 @@ def object_paths(spark, sf_dir):
     return S.read(spark, sf_dir, "documents").select("doc_id", T.object_path(F.col("source"), day, F.col("doc_id"), F.concat("lang", F.lit(" x.PDF"))).alias("path"))
 
 
-@query("SELECT page_id FROM pages WHERE lower(regexp_extract(url, '[^.]*$')) = 'pdf' OR length(trim(html)) < 20")
+_FILE = "regexp_extract(url, '[^/]*$') || ['.pdf', '.PDF', '.docx', ''][page_id % 4 + 1]"
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN contains({_FILE}, '.') THEN lower(regexp_extract({_FILE}, '[^.]*$')) ELSE '' END IN ('pdf', 'txt') AND strlen(html) > 0 AS accepted,
+    length(trim(CASE WHEN page_id % 5 = 0 THEN '   scan  ' ELSE html END)) < 20 AS scanned FROM pages"""
+)
 def upload_gate(spark, sf_dir):
+    """Which files may be uploaded, and which pages are scans."""
     from lorespark.sources.files import needs_ocr
 
-    gate = (F.lower(F.substring_index("url", ".", -1)) == "pdf") | needs_ocr(F.col("html"))
-    return S.read(spark, sf_dir, "pages").where(gate).select("page_id")
+    name = F.concat(F.regexp_extract("url", "[^/]*$", 0), F.get(F.array(*map(F.lit, (".pdf", ".PDF", ".docx", ""))), F.col("page_id") % 4))
+    text = F.when(F.col("page_id") % 5 == 0, "   scan  ").otherwise(F.col("html"))
+    return S.read(spark, sf_dir, "pages").select("page_id", (T.extension(name).isin("pdf", "txt") & (F.octet_length("html") > 0)).alias("accepted"), needs_ocr(text).alias("scanned"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS snippet FROM documents")
@@ -78,14 +116,16 @@ def snippets(spark, sf_dir):
     return S.read(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-_ANSWER = "text || '[来源' || (turn + 2) || ']**b**[来源' || (conv_id % 5 + 1) || ']`c`[来源9][来源' || (turn + 2) || ']'"
-_CITED = f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({_ANSWER}, '\\[来源(\\d+)\\]', 1), lambda s: s::INT), lambda n: n BETWEEN 1 AND 5)))"
+_ANSWER = "text || '[来源' || (turn + 2) || ']**b**[来源0' || (conv_id % 5 + 1) || ']`c`[来源9][来源' || (turn + 2) || ']'"
+_FOUND = f"list_transform(regexp_extract_all({_ANSWER}, '\\[来源(\\d+)\\]', 1), lambda s: s::INT)"
+_CITED = f"list_sort(list_distinct(list_filter({_FOUND}, lambda n: n BETWEEN 1 AND 5)))"
 
 
 def _answers(spark, sf_dir):
     mark = lambda n: F.concat(F.lit("[来源"), n.cast("string"), F.lit("]"))
     rows = S.read(spark, sf_dir, "conversations")
-    answer = F.concat("text", mark(F.col("turn") + 2), F.lit("**b**"), mark(F.col("conv_id") % 5 + 1), F.lit("`c`[来源9]"), mark(F.col("turn") + 2))
+    padded = F.concat(F.lit("0"), (F.col("conv_id") % 5 + 1).cast("string"))
+    answer = F.concat("text", mark(F.col("turn") + 2), F.lit("**b**"), mark(padded), F.lit("`c`[来源9]"), mark(F.col("turn") + 2))
     rows = rows.select("conv_id", "turn", "role", answer.alias("answer"))
     return rows.withColumn("cited", T.citations(F.col("answer"), F.lit(5)))
 
@@ -95,28 +135,43 @@ def citations_extract(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", "role", F.array_join(F.transform("cited", lambda n: n.cast("string")), ",").alias("cited"))
 
 
+_SHOWN = "replace(replace(text, '**', ''), '`', '')"
+_MARK = lambda n, as_written: f"'[来源' || coalesce(nullif(list_position(cited, ({n})::INT), 0)::VARCHAR, {as_written}) || ']'"
+
+
 @query(
-    f"""WITH a AS (SELECT conv_id, turn, role, replace(replace({_ANSWER}, '**', ''), '`', '') AS answer, {_CITED} AS cited FROM conversations)
-    SELECT conv_id, turn, role, list_reduce(list_prepend(answer, list_transform(range(1, len(cited) + 1), lambda i: '[来源' || cited[i] || ']=[来源' || i || ']')),
-    lambda s, r: replace(s, split_part(r, '=', 1), split_part(r, '=', 2))) AS answer FROM a"""
+    f"""WITH a AS (SELECT *, {_CITED} AS cited FROM conversations)
+    SELECT conv_id, turn, role, {_SHOWN} || {_MARK("turn + 2", "(turn + 2)::VARCHAR")} || 'b' || {_MARK("conv_id % 5 + 1", "'0' || (conv_id % 5 + 1)")} || 'c[来源9]' || {_MARK("turn + 2", "(turn + 2)::VARCHAR")} AS answer FROM a"""
 )
 def citations_renumber(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", "role", T.renumber(T.strip_marks(F.col("answer")), F.col("cited")).alias("answer"))
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN event_type = 'error' THEN '{T.EMBEDDING_ERROR}' WHEN event_type = 'view' THEN '{T.UNKNOWN_ERROR}' WHEN event_type = 'click' THEN left(repeat(props, 50), 200) || '...' ELSE props END AS message FROM events"""
+    f"""SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 3 < 2 THEN '{T.EMBEDDING_ERROR}' WHEN event_type = 'error' THEN 'EMBEDDING failed ' || props WHEN event_type = 'view' THEN 'TimeoutError: ' || props
+    WHEN event_type = 'click' THEN left(repeat(props, 50), 200) || '...' ELSE props END AS message FROM events"""
 )
 def friendly_errors(spark, sf_dir):
-    raw = F.when(F.col("event_type") == "error", F.concat(F.lit("Embedding failed "), "props")).when(F.col("event_type") == "view", F.lit(" "))
+    service = F.get(F.array(*map(F.lit, ("Embedding", "dashscope", "EMBEDDING"))), F.col("event_id") % 3)
+    raw = F.when(F.col("event_type") == "error", F.concat(service, F.lit(" failed "), "props")).when(F.col("event_type") == "view", F.lit(" \u3000"))
     raw = raw.when(F.col("event_type") == "click", F.repeat("props", F.lit(50))).otherwise(F.col("props"))
-    return S.read(spark, sf_dir, "events").select("event_id", T.friendly_error(raw).alias("message"))
+    return S.read(spark, sf_dir, "events").select("event_id", T.friendly_error(raw, F.concat(F.lit("TimeoutError: "), "props")).alias("message"))
+
+
+_SIZE = "strlen(text) * (1 + doc_id % 3 * 5000)"
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE 'KB' END AS size FROM documents")
+@query(
+    f"""SELECT doc_id, CASE WHEN {_SIZE} < 1024 THEN {_SIZE} || ' B' WHEN {_SIZE} < 1048576 THEN format('{{:.1f}} KB', floor({_SIZE} / 1024 * 10 + 0.5) / 10)
+    ELSE format('{{:.1f}} MB', floor({_SIZE} / 1048576 * 10 + 0.5) / 10) END AS size FROM documents"""
+)
 def file_sizes(spark, sf_dir):
-    size = T.file_size(F.octet_length("text"))
-    return S.read(spark, sf_dir, "documents").select("doc_id", F.when(F.endswith(size, F.lit(" B")), size).otherwise("KB").alias("size"))
+    return S.read(spark, sf_dir, "documents").select("doc_id", T.file_size(F.octet_length("text") * (1 + F.col("doc_id") % 3 * 5000)).alias("size"))
+
+
+@query("SELECT o_orderkey, 'EMB' || epoch_ms(o_orderdate) || left(md5(o_orderkey::VARCHAR), 8) AS task_no FROM orders")
+def task_numbers(spark, sf_dir):
+    return S.read(spark, sf_dir, "orders").select("o_orderkey", T.task_number(F.col("o_orderdate"), T.md5(F.col("o_orderkey").cast("string"))).alias("task_no"))
 
 
 @query(

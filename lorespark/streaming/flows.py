@@ -38,6 +38,49 @@ def breaker_windows(df: DataFrame, time: str, failed: Column, ratio: float = 0.5
     return counted.withColumn("open", (F.col("calls") >= least) & (F.col("failures") >= ratio * F.col("calls")))
 
 
+def breaker_states(
+    df: DataFrame, resource: str, time: str, failed: Column, threshold: float = 0.5, by_ratio: bool = True, least: int = 5, interval_ms: int = 1000, open_ms: int = 10_000, delay: str = "1 minute"
+) -> DataFrame:
+    """(resource, ms, failed, state) of each call, in order of time within a batch: passed, probe (let through to try) or blocked.
+
+    A resource opens once at least ``least`` calls that passed within interval_ms hold failures above the threshold: a share of
+    them, or with by_ratio off a number. For open_ms all its calls are blocked; the next one is a probe, whose success closes it
+    and whose failure opens it again. State is one small row for each resource.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, calls, bad, until = state.get if state.exists else (0, 0, 0, -1)
+        for batch in [pd.concat(list(batches)).sort_values(["_ms", "_failed"])]:
+            shown = []
+            for ms, wrong in zip(batch["_ms"].tolist(), batch["_failed"].tolist()):
+                if 0 <= until and ms < until:
+                    shown.append("blocked")
+                    continue
+                if until >= 0:
+                    shown.append("probe")
+                    since, calls, bad, until = ms, 0, 0, ms + open_ms if wrong else -1
+                    continue
+                if ms >= since + interval_ms:
+                    since, calls, bad = ms, 0, 0
+                calls, bad = calls + 1, bad + wrong
+                shown.append("passed")
+                if calls >= least and (bad / calls if by_ratio else bad) >= threshold and bad:
+                    until = ms + open_ms
+            yield pd.DataFrame({resource: key[0], "ms": batch["_ms"], "failed": batch["_failed"], "state": shown})
+        state.update((since, calls, bad, until))
+
+    rows = with_event_time(df, time, delay).select(F.col(resource).cast("string").alias(resource), F.unix_millis(time).alias("_ms"), failed.alias("_failed"))
+    return rows.groupBy(resource).applyInPandasWithState(
+        run, f"{resource} string, ms long, failed boolean, state string", "since long, calls long, bad long, until long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def expiring_keys(df: DataFrame, key: str, time: str, ttl: str, delay: str = "1 hour") -> DataFrame:
+    """(key, since, expires, n): the spans of time in which a key is held, each use of which renews it for ttl. A key in none of its spans is gone."""
+    spans = with_event_time(df, time, delay).groupBy(F.session_window(time, ttl).alias("w"), key).agg(F.count("*").alias("n"))
+    return spans.select(key, F.col("w.start").alias("since"), F.col("w.end").alias("expires"), "n")
+
+
 def live_keys(df: DataFrame, key: str, time: str, ttl_seconds: int, delay: str = "1 minute") -> DataFrame:
     """(key, first_seen, n) emitted once a key has not been seen for ttl_seconds of event time."""
 

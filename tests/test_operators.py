@@ -1,5 +1,6 @@
 """Hand-made cases and properties of the operators."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from lorespark.functions.vectors import cosine, hashed_embedding
 from lorespark.functions.models import DEGRADED, extractive_chat
 from lorespark.operators import access, answering, lifecycle, lists, retrieval
 from lorespark.sources import files, keyed, tables
+from lorespark.sources.collections import Collections
 
 
 def values(df, *columns):
@@ -126,6 +128,38 @@ def test_ask(spark):
     assert got.answer == DEGRADED and got.sources == []
 
 
+def test_rerank_by(spark):
+    found = spark.createDataFrame([(1, 10, 1, "q", "a"), (1, 11, 2, "q", None), (1, 12, 3, "q", "ccc"), (2, 10, 1, "q", "a")], "query_id long, doc_id long, rank int, question string, text string")
+    longest = lambda q, texts, k: sorted(((i, float(len(t))) for i, t in enumerate(texts)), key=lambda x: -x[1])[:k]
+    assert values(retrieval.rerank_by(found, longest, 2), "query_id", "rank", "doc_id") == [(1, 1, 12), (1, 2, 10), (2, 1, 10)]
+    for broken in (lambda q, texts, k: 1 / 0, lambda q, texts, k: []):
+        assert values(retrieval.rerank_by(found, broken, 2), "query_id", "rank", "doc_id") == [(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10)]
+
+
+def test_hybrid_falls_back_at_run_time(spark):
+    @F.pandas_udf("long")
+    def broken(x: pd.Series) -> pd.Series:
+        raise ConnectionError("away")
+
+    good = lambda k: spark.range(k)
+    name, got = retrieval.hybrid([("hybrid", lambda k: spark.range(5).select(broken("id"))), ("bm25", good), ("dense", good)], 7)
+    assert name == "bm25" and got.count() == 7
+    with pytest.raises(Exception, match="away"):
+        retrieval.hybrid([("hybrid", lambda k: spark.range(5).select(broken("id")))])
+
+
+def test_min_score(spark):
+    route = spark.createDataFrame([(1, "a", 1), (1, "b", 9)], "query_id long, doc_id string, rank int")
+    assert values(retrieval.fuse(route, min_score=0.016), "doc_id") == [("a",)]
+
+
+def test_bm25_of_pairs(spark):
+    """Runs of Han characters are matched by pairs of neighbours."""
+    docs = spark.createDataFrame([(1, "考勤管理办法"), (2, "管理 考 勤"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "考勤")], "query_id long, text string")
+    assert values(retrieval.bm25_topk(asked, docs), "doc_id", "rank") == [(1, 1)]
+
+
 def test_require_role(spark):
     members = spark.createDataFrame([(1, 5, "OWNER"), (2, 5, "VIEWER"), (3, 5, "other")], "kb_id long, user_id long, role string")
     docs = spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, None)], "id long, kb_id long")
@@ -133,6 +167,18 @@ def test_require_role(spark):
     assert values(access.require(docs, members, "EDITOR"), "id") == [(10,)] and access.require(docs, None, "OWNER").count() == 4
 
 
+def test_collections_and_indexes(spark, tmp_path):
+    found = Collections(spark, str(tmp_path))
+    with pytest.raises(LookupError):
+        found.ensure_ready(1)
+    found.create(1)
+    found.create(1)
+    assert Collections(spark, str(tmp_path)).read(1).count() == 0 and set(found.indexes(1)) == {"embedding", "text"}
+    found.drop(1)
+    with pytest.raises(LookupError):
+        found.read(1)
+
+
 def test_collections(spark, tmp_path):
     table = keyed.VersionedTable(spark, str(tmp_path / "kb_1"))
     assert not table.exists()

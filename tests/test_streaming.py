@@ -44,6 +44,19 @@ def test_streams_without_input(spark, tmp_path):
     assert flows.run_to_end(spark, flows.consume_once(stream, "k", "ts"), "no_keys", str(tmp_path / "c2")).count() == 0
 
 
+def test_breaker_opens_probes_and_closes(spark, tmp_path):
+    calls = [(0, 1), (1, 1), (2, 0), (3, 1), (4, 1), (5, 0), (10_003, 0), (10_004, 1), (10_005, 0), (20_100, 1), (25_000, 0), (30_200, 0), (30_300, 1)]
+    src = tmp_path / "in"
+    for part in (calls[:6], calls[6:]):
+        df = spark.createDataFrame([("a", ms, bool(f)) for ms, f in part], "r string, ms long, bad boolean").select("r", "bad", F.timestamp_millis(F.col("ms") + 1_700_000_000_000).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("r string, bad boolean, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = flows.run_to_end(spark, flows.breaker_states(stream, "r", "ts", F.col("bad")), "breaker", str(tmp_path / "c"))
+    got = [r.state for r in out.orderBy("ms").collect()]
+    # Opened by the fifth call, blocked for ten seconds, closed by a good probe; then too few calls to open.
+    assert got == ["passed"] * 5 + ["blocked"] * 2 + ["probe"] + ["blocked"] * 1 + ["probe"] + ["blocked"] + ["probe", "passed"]
+
+
 def test_live_keys_expire(spark, tmp_path):
     src = tmp_path / "in"
     for i, rows in enumerate([[(1, 0), (1, 5), (2, 8)], [(3, 1000)], [(3, 5000)]]):

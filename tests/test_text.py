@@ -17,7 +17,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     "line, depth",
-    [("1. 概述", 1), ("3.2.1 考勤", 3), ("1.2.3.4 x", 3), ("第一章 总则", 1), ("第三节 休假", 2), ("第五条 请假", 3), ("公司考勤管理办法", -1), ("这是正文。", None), ("A", None), ("hello world", None), ("12", 1), ("1" + "x" * 40, None)],
+    [("1. 概述", 1), ("3.2.1 考勤", 3), ("1.2.3.4 x", 3), ("第一章 总则", 1), ("第三节 休假", 2), ("第五条 请假", 3), ("公司考勤管理办法", -1), ("这是正文。", None), ("A", None), ("hello world", None), ("12", 1), ("《考勤办法》", None), ("考勤“办法”", None), ("考勤（办法）", None), ("\u3000 2.1 考勤\r", 2), ("\t公司制度\r", -1), ("1" + "x" * 40, None)],
 )
 def test_heading_depth(spark, line, depth):
     assert one(spark, T.heading_depth(F.col("t")), t=line) == depth
@@ -26,6 +26,7 @@ def test_heading_depth(spark, line, depth):
 def test_heading_chains_and_asof(spark):
     found = one(spark, T.headings(F.col("t")), t="1 A\n1.2 B\n2 C")
     assert [h.chain for h in found] == ["1 A", "1 A > 1.2 B", "2 C"]
+    assert one(spark, T.headings(F.col("t")), t="\t1 A\r\nbody\n\u3000第一章 总则")[0].title == "1 A"
     deep = one(spark, T.headings(F.col("t")), t="标题甲\n标题乙\n标题丙\n标题丁")
     assert [h.depth for h in deep] == [1, 2, 3, 3] and deep[-1].chain == "标题甲 > 标题乙 > 标题丁"
     frame = spark.createDataFrame([([(5, "A"), (40, "B")], s) for s in (0, 5, 39, 90, None)], "h array<struct<offset:int,chain:string>>, s int")
@@ -56,6 +57,28 @@ def test_citations(spark):
     assert one(spark, T.renumber(F.col("a"), F.array(F.lit(2), F.lit(4))), a=answer) == "x[来源2]y[来源1]z[来源9]w[来源1]"
 
 
+def test_padded_citations(spark):
+    answer = "x[来源02] y[来源3]z[来源99999999999][来源0]"
+    cited = one(spark, T.citations(F.col("a"), F.lit(3)), a=answer)
+    assert cited == [2, 3]
+    assert one(spark, T.renumber(F.col("a"), F.array(F.lit(2), F.lit(3))), a=answer) == "x[来源1] y[来源2]z[来源99999999999][来源0]"
+
+
+def test_friendly_errors(spark):
+    say = lambda m: one(spark, T.friendly_error(F.col("m"), F.lit("ValueError")), m=m)
+    assert say("call to dashscope timed out") == say("Embedding x") == T.EMBEDDING_ERROR and say("EMBEDDING x") == "EMBEDDING x"
+    assert say(" \t") == "ValueError" and say("y" * 201) == "y" * 200 + "..."
+
+
+def test_token_split_loses_no_text():
+    text = "".join(f"Sentence number {i} of a long part. " for i in range(200))
+    parts = chunking.token_split(text, 300)
+    assert " ".join(parts) == text.strip() and all(p.endswith(".") for p in parts)
+    assert chunking.token_split("ab") == [] and chunking.token_split("tail of 23 characters..") == ["tail of 23 characters.."]
+    encode, decode = (lambda t: t.split(" ")), (lambda t: " ".join(t))
+    assert chunking.token_split("one two three four five six", 3, tokenizer=(encode, decode)) == ["one two three", "four five six"]
+
+
 def test_names_and_snippets(spark):
     assert one(spark, T.safe_name(F.col("n")), n="报 告(v1).PDF") == "报_告_v1_" and one(spark, T.extension(F.col("n")), n="报 告(v1).PDF") == "pdf"
     assert one(spark, T.safe_name(F.lit(None).cast("string"))) == "unknown" and one(spark, T.safe_name(F.col("n")), n="a b") == "a_b"
