@@ -35,7 +35,11 @@ def chosen(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from docs and the labels table."""
+    """Documents that the classifier accepts; it learns from docs and the labels table.
+
+    Null texts count as empty and are scored like any other; repeated and null doc_ids are rows of their own. Without usable
+    labels every score is one half and all stay. No documents give none.
+    """
     found = quality_classifier.classify(docs, read(spark, sf_dir, "labels"))
     return found.where("predicted = 1").select(*docs.columns)
 
@@ -47,7 +51,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id, and of these the smallest hash."""
+    """Of each group of linked fingerprints the row with the smallest doc_id, and of these the smallest hash of its text.
+
+    Texts without words have one fingerprint, so of them (null ones too) one stays. A null doc_id counts as the largest.
+    """
     prints, named = simhash.linked(docs.withColumn("_sha", text_key(F.col("text"))), carry=("_sha",))
     first = prints.join(named, "print").groupBy("component").agg(F.min(F.struct("doc_id", "_sha")).alias("first"))
     kept = first.select(F.nullif("first.doc_id", F.lit(MAX_ID)).alias("doc_id"), "first._sha")
@@ -66,7 +73,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece, its end id. Repeated and null doc_ids are documents of their own.
+    """
     return packing.packed_digest(docs)
 
 

@@ -1,32 +1,17 @@
-"""Helpers shared by the corpus operators: shared storage, tokenizer paths and document blocks."""
+"""Helpers shared by the corpus operators: work tables, tokenizer paths and document blocks."""
 
 from __future__ import annotations
 
 import math
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.sources.work import written
+
 MAX_ID = (1 << 63) - 1
 #: Spark's setting by which a query's shuffle files are removed when it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset a temporary folder takes its place, but only with a local master: on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = _LOCAL.get("dir") or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="lorespark-"))
-    return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -35,17 +20,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Shuffle files of the write go with its end, and the table when the driver ends, however the job ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(place)
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        return written(df, name)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def tokenizer_path(name: str) -> str:
