@@ -170,21 +170,25 @@ class Matrix:
     """Sparse rows with products in both directions."""
 
     def __init__(self, at: list[bytes], values: list[bytes]):
-        self._set(np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(values), "<f4").astype(np.float64), np.array([len(a) // 4 for a in at], np.int64))
+        self._set(np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(values), "<f4"), np.array([len(a) // 4 for a in at], np.int64))
 
     def _set(self, at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> Matrix:
         self.at, self.values, self.sizes = at, values, sizes
         self.begin = np.cumsum(sizes) - sizes
         return self
 
+    @staticmethod
+    def of(at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> Matrix:
+        return Matrix([], [])._set(at, values, sizes)
+
     def pick(self, rows: np.ndarray) -> Matrix:
         sizes = self.sizes[rows]
         where = np.arange(sizes.sum()) + np.repeat(self.begin[rows] - (np.cumsum(sizes) - sizes), sizes)
-        return Matrix([], [])._set(self.at[where], self.values[where], sizes)
+        return Matrix.of(self.at[where], self.values[where], sizes)
 
     @staticmethod
     def stack(*parts: Matrix) -> Matrix:
-        return Matrix([], [])._set(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("at", "values", "sizes")))
+        return Matrix.of(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("at", "values", "sizes")))
 
     def dense(self) -> np.ndarray:
         """The text statistics, which are the last of each row."""

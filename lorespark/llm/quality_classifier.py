@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 #: Trusted positives, at most.
 MAX_POSITIVES = 2500
 #: Features (numbers that are not zero) of a chunk of documents, about.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Mini-batches of a chunk, and steps of the two fits.
 BATCHES = 8
 STEPS, PRIOR_STEPS = 100, 10
@@ -102,15 +102,19 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     found = sampled(sample, docs).select("at", "vals").toArrow()  # no more than training.MAX_BYTES
     if not found.num_rows:
         return np.zeros(SIZE + 1)
-    shared = spark.sparkContext.broadcast((found["at"].to_pylist(), found["vals"].to_pylist()))
+    found = Matrix(found["at"].to_pylist(), found["vals"].to_pylist())
+    shared = spark.sparkContext.broadcast((found.at, found.values, found.sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positives = Matrix(*shared.value)
+        positives = Matrix.of(*shared.value)
         total = np.zeros(SIZE + 2)  # in the last place the number of documents
 
         def close(at: list[bytes], values: list[bytes]) -> None:
             nonlocal total
-            total += len(at) * np.append(learn(positives, Matrix(at, values))[0], 1.0)
+            n, own = len(at), Matrix(at, values)
+            at.clear()
+            values.clear()
+            total += n * np.append(learn(positives, own)[0], 1.0)
 
         at, values, size = [], [], 0
         for batch in batches:
@@ -121,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
                     size += len(a)
                     if size >= chunk:
                         close(at, values)
-                        at, values, size = [], [], 0
+                        size = 0
         if at:
             close(at, values)
         some = np.flatnonzero(total)
