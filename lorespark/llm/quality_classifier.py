@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
 
     texts = docs.where(~held_out(F.col("doc_id"), FOLDS)).select("text")
     w = weights_of(texts.mapInArrow(run, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")), SIZE + 2)
+    shared.destroy()
     return w[:-1] / max(1.0, w[-1])
 
 
