@@ -30,8 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_RUN = 100_000
 #: White space as the pattern's engine has it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces that are ranked together, about: a length with more of them is spread over salts, whose counts are added up.
-RANKED = 1 << 16
+#: Pieces that are ranked together, about: a length with more of them is spread over salts, at most so many, whose counts are added up.
+RANKED, MOST_SALTS = 512, 4096
 #: Tokens that a task holds before it hands pieces on.
 BATCH_TOKENS = 1 << 20
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -193,7 +193,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = plan(histogram, capacity)
     schema = "_length long, _from long, _to long, _sequence long, _each long, _offset long"
     slots = spark.createDataFrame(rows, schema)
-    salts = [(length, -(-n // RANKED)) for length, n in histogram.items()]
+    salts = [(length, min(MOST_SALTS, -(-n // RANKED))) for length, n in histogram.items()]
     salts = F.broadcast(spark.createDataFrame(salts, "_of long, _salts long"))  # capacity rows at most
     parts = pieces.join(salts, F.col("length") == F.col("_of")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).drop("_of", "_salts")
     counts = materialize(parts.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
