@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import top
+from lorespark.sources.work import written
+
+from .retrieval import BLOCK, block_topk, blocks
 
 #: Rows that centroids are fitted on at most; every row is indexed.
 SAMPLE = 20_000
@@ -49,15 +51,20 @@ def assign(vectors: DataFrame, id_: str, c: np.ndarray, probes: int = 1) -> Data
     return rows.mapInArrow(run, f"{id_} long, list int, embedding array<float>")
 
 
+def listed(assigned: DataFrame, id_: str, name: str, block: int = BLOCK) -> DataFrame:
+    """The vectors of each list in blocks of their own; long lists have several."""
+    sizes = assigned.groupBy("list").agg(F.ceil(F.count("*") / block).alias("_n"))  # a row for each list
+    return blocks(assigned.join(F.broadcast(sizes), "list"), id_, name, F.col("_n"), "list")
+
+
 def ivf_topk(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) among the lists that each query probes."""
+    """(query_id, doc_id, score, rank) among the lists that each query probes; a list's blocks are multiplied as in the exact search.
+
+    Vectors without direction to group by need many probes for a recall of 0.9 (65 % of the lists, the default); give fewer where vectors have groups.
+    """
     n = vectors.count()
     lists = lists or max(1, min(1024, int(math.sqrt(n))))
     probes = probes or max(1, math.ceil(lists * 0.65))
     c = centroids(vectors, lists)
-    asked = assign(queries, "query_id", c, probes).withColumnRenamed("embedding", "q")
-    pairs = assign(vectors, "doc_id", c).join(asked, "list")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot("q", "q") * dot("embedding", "embedding"))
-    score = F.when(norm > 0, F.round(dot("q", "embedding") / norm, 6)).otherwise(0.0)
-    return top(pairs.select("query_id", "doc_id", score.alias("score")), k)
+    index = listed(written(assign(vectors, "doc_id", c), "lists"), "doc_id", "d")
+    return block_topk(index.join(listed(written(assign(queries, "query_id", c, probes), "probes"), "query_id", "q"), "list"), k)

@@ -24,10 +24,12 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 ROUTE_TOP, FUSED_TOP, FINAL_TOP = 40, 20, 5
 THRESHOLD = 0.3
-#: Distinct terms of all queries up to which they are broadcast.
+#: Distinct terms of each query, counted over all queries, up to which they are broadcast.
 MANY_TERMS = 200_000
 #: Vectors of a block of the dense search.
 BLOCK = 2048
+#: Bytes of the queries' vectors up to which they are broadcast, and salts of each block of queries beyond.
+QUERY_BYTES, SALTS = 64 << 20, 64
 
 
 def top(df: DataFrame, k: int, by: str = "score", key: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -36,29 +38,24 @@ def top(df: DataFrame, k: int, by: str = "score", key: str = "query_id", tie: st
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(vectors: DataFrame, id_: str, name: str, size: int) -> tuple[DataFrame, int]:
-    """(name, ids, data): vectors packed as float32, about size in a block."""
-    n = max(1, -(-vectors.count() // size))
+def blocks(vectors: DataFrame, id_: str, name: str, n: Column, *by: str) -> DataFrame:
+    """(by, name, name_ids, name_data): vectors packed as float32 in n blocks, numbered by name, those of each value of by apart."""
 
     def pack(table: pa.Table) -> pa.Table:
         data = np.array(table["v"].to_pylist(), "<f4")
         ids = np.array(table["i"].to_pylist(), "<i8")
-        return pa.table({name: pa.array([table["b"][0].as_py()], pa.int32()), f"{name}_ids": pa.array([ids.tobytes()]), f"{name}_data": pa.array([data.tobytes()])})
+        return pa.table({**{c: table[c][:1] for c in (*by, name)}, f"{name}_ids": pa.array([ids.tobytes()]), f"{name}_data": pa.array([data.tobytes()])})
 
-    rows = vectors.select(F.col(id_).cast("long").alias("i"), F.col("embedding").alias("v"), F.pmod(F.xxhash64(id_), F.lit(n)).cast("int").alias("b"))
+    rows = vectors.select(*by, F.col(id_).cast("long").alias("i"), F.col("embedding").alias("v"), F.pmod(F.xxhash64(id_), n).cast("int").alias(name))
     rows = rows.where("i IS NOT NULL AND v IS NOT NULL")
-    return rows.groupBy("b").applyInArrow(pack, f"{name} int, {name}_ids binary, {name}_data binary"), n
+    return rows.groupBy(*by, name).applyInArrow(pack, ", ".join([*(f"{c} int" for c in (*by, name)), f"{name}_ids binary", f"{name}_data binary"]))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = ROUTE_TOP, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k vectors nearest to each query (query_id, embedding) by cosine.
+def block_topk(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k vectors nearest to each query by cosine, of pairs of blocks (q_ids, q_data, d_ids, d_data).
 
-    vectors is (doc_id, embedding). Blocks of queries meet blocks of vectors, each pair in a numpy product that hands on
-    its own k best only. The threshold is applied after the k best were chosen. A zero vector is like nothing.
+    Each pair is a numpy product that hands on its own k best only.
     """
-    left, n = _blocks(queries, "query_id", "q", block)
-    right, _ = _blocks(vectors, "doc_id", "d", block)
-    pairs = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(left, "q")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +70,25 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = ROUTE_TOP, thres
                     [pa.array(np.repeat(ids[0], order.shape[1])), pa.array(ids[1][order].ravel()), pa.array(best.ravel())], names=["query_id", "doc_id", "score"]
                 )
 
-    found = top(pairs.mapInArrow(score, "query_id long, doc_id long, score double"), k)
+    return top(pairs.select("q_ids", "q_data", "d_ids", "d_data").mapInArrow(score, "query_id long, doc_id long, score double"), k)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = ROUTE_TOP, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k vectors nearest to each query (query_id, embedding) by cosine.
+
+    vectors is (doc_id, embedding). Blocks of queries meet blocks of vectors. The threshold is applied after the k best were
+    chosen. A zero vector is like nothing.
+    """
+    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    n = max(1, -(-asked["n"] // block))
+    left = blocks(queries, "query_id", "q", F.lit(n))
+    right = blocks(vectors, "doc_id", "d", F.lit(max(1, -(-vectors.count() // block)))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if 4 * asked["n"] * (asked["dim"] or 0) <= QUERY_BYTES:
+        pairs = right.join(F.broadcast(left), "q")
+    else:  # a block of queries is dealt to many tasks
+        left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = right.withColumn("salt", F.col("d") % SALTS).join(left, ["q", "salt"])
+    found = block_topk(pairs, k)
     return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
@@ -91,11 +106,12 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = ROUTE_TOP, k1: float
     """(query_id, doc_id, score, rank): the k best documents (doc_id, text) for each query (query_id, text).
 
     One pass over the documents gives each one's length and how often it has the queries' own terms, by lookup in a broadcast
-    table of them while it is bounded (``MANY_TERMS``), by a join beyond. Lengths and counts cover every document.
+    table of them while it is bounded (``MANY_TERMS``), by a join beyond. Lengths and counts cover every document. With a bounded
+    table a document's postings stay together, so that its scores need no shuffle of their own.
     """
     asked = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
     terms = asked.select("term").distinct()
-    few = terms.limit(MANY_TERMS + 1).count() <= MANY_TERMS
+    few = asked.limit(MANY_TERMS + 1).count() <= MANY_TERMS
     parts = docs.select("doc_id", tokens(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
     counted = parts.join(F.broadcast(terms.withColumn("_asked", F.lit(True))) if few else terms.withColumn("_asked", F.lit(True)), "term", "left")
     # Terms that nobody asks for are one entry of their document.
@@ -106,10 +122,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = ROUTE_TOP, k1: float
     stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = postings.where("term IS NOT NULL")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, "term").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weighted.select("term", "doc_id", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 4).alias("score"))
+    wanted = asked.join(df, "term").join(F.broadcast(stats))
+    wanted = wanted.select("query_id", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    found = postings.repartition("doc_id").join(F.broadcast(wanted), "term") if few else postings.join(wanted, "term")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = found.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 4).alias("score"))
     return top(scored, k)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import citations, renumber, snippet
 from lorespark.operators import ivf
 from lorespark.operators import retrieval as R
+from lorespark.sources.work import spread
 
 from . import standins as S
 
@@ -60,7 +61,7 @@ def ivf_topk(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return R.bm25_topk(questions(spark, sf_dir), S.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return R.bm25_topk(questions(spark, sf_dir), spread(S.read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _fused(spark, sf_dir):
@@ -118,7 +119,7 @@ def threshold_fallback(spark, sf_dir):
         asked = questions(spark, sf_dir).select("query_id", embed("text").alias("embedding"))
         return R.fuse(bm25_topk(spark, sf_dir), R.dense_topk(asked, vectors(spark, sf_dir)), k=k)
 
-    documents = S.read(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(S.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return R.hybrid([("hybrid", fused), ("bm25", lambda k: R.bm25_topk(questions(spark, sf_dir), documents, k)), ("dense", lambda k: dense_cosine_topk(spark, sf_dir))])[1]
 
 

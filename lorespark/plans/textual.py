@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import chunking
 from lorespark.functions import text as T
 from lorespark.functions.vectors import cosine
+from lorespark.sources.work import spread
 
 from . import standins as S
 
@@ -37,7 +38,7 @@ def chunk_hashes(spark, sf_dir):
 @query()
 def semantic_chunks(spark, sf_dir):
     """Lines count as paragraphs here: the test documents have no blank lines."""
-    pages = S.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    pages = spread(S.read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return chunking.chunk_pages(pages)
 
 

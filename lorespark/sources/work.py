@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions up to which a table is dealt to more tasks.
+FEW = 64
 _LOCAL: dict[str, str] = {}
 
 
@@ -29,3 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table with a partition for each core, where it comes in fewer, as one file with one group of rows does.
+
+    A table of FEW partitions or more is left as it is: those are large, and a shuffle of them would cost more than idle cores.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < min(cores, FEW) else table
