@@ -8,7 +8,8 @@ sampling error of the explained share outgrows the few negatives as scores get l
 Trusted positives are a bounded sample of the rows labelled 1; rows labelled 0 are not used. Every document outside
 the held-out fold is unlabelled text. Documents are learned from where they are read, in chunks: each chunk estimates the
 class prior from the positives and its own texts, minimises the risk over both in mini-batches, and the chunks' weights are
-averaged by their numbers of documents. So the cost of learning is in proportion to the text, and a chunk's memory is bounded.
+averaged by their numbers of documents. Small partitions are put together, so that no chunk has too few texts for its prior. So the
+cost of learning is in proportion to the text however a table is split, and a chunk's memory is bounded.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ THRESHOLD = 0.3
 MAX_POSITIVES = 2500
 #: Features (numbers that are not zero) of a chunk of documents, about.
 CHUNK = 1 << 21
+#: Bytes of text that a task learns from, at least: about a chunk.
+TASK_BYTES = 4 << 20
 #: Mini-batches of a chunk, and steps of the two fits.
 BATCHES = 8
 STEPS, PRIOR_STEPS = 100, 10
@@ -131,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["i", "w"])
 
-    texts = docs.where(~held_out(F.col("doc_id"), FOLDS)).select("text")
+    size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    texts = docs.where(~held_out(F.col("doc_id"), FOLDS)).select("text").coalesce(max(1, size // TASK_BYTES))
     w = weights_of(texts.mapInArrow(run, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")), SIZE + 2)
     shared.destroy()
     return w[:-1] / max(1.0, w[-1])

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorespark.sources.work import spread
+
 from . import exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, quotations, simhash, suffix_dedup
 from .common import read
 
 
+def documents(spark, sf_dir):
+    """documents for operators that work where rows are read: in as many tasks as there are cores."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def op1_best_fit_packing(spark, sf_dir):
-    return packing.packed_digest(read(spark, sf_dir, "documents"))
+    return packing.packed_digest(documents(spark, sf_dir))
 
 
 def op2_suffix_array_dedup(spark, sf_dir):
@@ -34,7 +41,7 @@ def op5_ppm_scoring(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return quality_rules.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality_rules.rules(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op7_quotation_linking(spark, sf_dir):
@@ -47,18 +54,18 @@ def quoted_replies(spark, sf_dir):
 
 
 def op8_quality_classifier(spark, sf_dir):
-    found = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    found = quality_classifier.classify(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_sentencepiece(spark, sf_dir):
-    made = pieces.encode_decode(read(spark, sf_dir, "documents"))
+    made = pieces.encode_decode(documents(spark, sf_dir))
     text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_simhash_near_dedup(spark, sf_dir):
-    found = simhash.near_dedup(read(spark, sf_dir, "documents"))
+    found = simhash.near_dedup(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
