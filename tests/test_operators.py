@@ -4,11 +4,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from frames import DATA, rows
 from lorespark.functions.vectors import cosine, hashed_embedding
 from lorespark.functions.models import DEGRADED, extractive_chat
 from lorespark.operators import access, answering, lifecycle, lists, retrieval
 from lorespark.sources import files, keyed, tables
 from lorespark.sources.collections import Collections
+from lorespark.sources.work import spread
 
 
 def values(df, *columns):
@@ -63,6 +65,33 @@ def test_dense_over_several_blocks(spark):
     assert values(small, "query_id", "doc_id", "rank", "score") == values(whole, "query_id", "doc_id", "rank", "score")
 
 
+def test_dense_with_many_queries(spark, monkeypatch):
+    """Queries too large for a broadcast are dealt to the vectors' blocks by salts, with the same result."""
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.withColumnRenamed("doc_id", "query_id")
+    want = retrieval.dense_topk(asked, vectors, 5, block=16).toPandas()
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 0)
+    got = retrieval.dense_topk(asked, vectors, 5, block=16).toPandas()
+    assert rows(got) == rows(want) and len(got) == 5 * asked.count()
+
+
+def test_bm25_with_many_terms(spark, monkeypatch):
+    """Queries with too many terms for a broadcast are joined, with the same result."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    want = retrieval.bm25_topk(asked, docs, 7).toPandas()
+    monkeypatch.setattr(retrieval, "MANY_TERMS", 1)
+    assert rows(retrieval.bm25_topk(asked, docs, 7).toPandas()) == rows(want) and len(want)
+
+
+def test_spread(spark):
+    """A table in few partitions is dealt to all cores; a larger one is left as it is."""
+    one = spark.range(100).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(one).rdd.getNumPartitions() == max(cores, 1) and spread(one).count() == 100
+    assert spread(spark.range(100).repartition(64)).rdd.getNumPartitions() == 64
+
+
 def test_tasks_limit_before_and_documents_after_filter(spark):
     docs = spark.range(150).select("id", (F.col("id") < 50).cast("long").alias("kb_id"), F.lit("Ünï.pdf").alias("file_name"), F.lit(3).alias("status"), F.col("id").alias("create_time"))
     mine = spark.createDataFrame([(1,)], "kb_id long")
