@@ -227,7 +227,7 @@ def test_classifier_in_chunks(spark):
     """Chunks of any size and documents in any number of tasks keep the classes apart."""
     folder = DATA.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    for parts, chunk in ((1, 1 << 19), (3, 1 << 22)):
+    for parts, chunk in ((1, 1 << 19), (3, 1 << 22), (64, 1 << 21)):
         w = quality_classifier.train(docs.repartition(parts), labels, chunk=chunk)
         got = docs.select("doc_id", (quality_classifier.scorer(w, docs["text"]) >= 0.3).cast("int").alias("predicted")).join(labels, "doc_id").toPandas()
         assert (got.predicted == got.quality).mean() > 0.93
