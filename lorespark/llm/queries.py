@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.sources.work import spread
 
-from . import exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, quotations, simhash, suffix_dedup
+from . import collocations, exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, quotations, simhash, suffix_dedup
 from .common import read
 
 
@@ -69,6 +69,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_sentencepiece,
         op10_simhash_near_dedup,
+        op13_phrase_collocations,
         quoted_replies,
     )
 }
@@ -93,5 +98,6 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
     "op7_quotation_linking": quotations.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
     "quoted_replies": quotations.QUOTING_ORACLE,
 }
