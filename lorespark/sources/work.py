@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Delete a work table that nothing reads any more, before the driver ends."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A scanned table with a partition for each core, where it comes in fewer, as one file with one group of rows does.
 
