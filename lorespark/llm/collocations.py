@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorespark.sources.work import release
+
 from .common import materialize
+from .ppm import packed, unpacked
 
 #: Words of the longest phrase, occurrences of a candidate, and phrases of each language.
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -34,7 +37,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 SCALE = 2_000_000
 #: Bytes of text of a shard, of text that a bucket answers for, and of a slice that is cut into words at once.
-SHARD_BYTES, BUCKET_BYTES, SLICE = 16 << 20, 32 << 20, 2 << 20
+SHARD_BYTES, BUCKET_BYTES, SLICE = 4 << 20, 32 << 20, 1 << 20
 UNKNOWN = "und"
 
 LOWER = bytes(range(256)).lower()
@@ -111,12 +114,12 @@ class Shard:
             before = np.concatenate(self.before.pop(lang))
             streams.append(np.insert(codes + n_words, np.flatnonzero(before), -1).astype("<i4"))
             n_words += len(known)
-        out = [{"shard": number, "words": np.concatenate([np.empty(0, "<i4"), *streams]).tobytes(), "totals": list(totals.items())}]
+        out = [{"shard": number, "words": packed(np.concatenate([np.empty(0, "<i4"), *streams])), "totals": list(totals.items())}]
         if n_words:
             keys, counts = pa.concat_arrays(keys), np.concatenate(counts)
             bucket = np.fromiter(map(zlib.crc32, keys.to_pylist()), np.int64, n_words) % n_buckets
             for b, at in groups(bucket):
-                out.append({"shard": number, "bucket": b, "keys": keys.take(pa.array(at)), "counts": counts[at].astype("<i8").tobytes(), "places": at.astype("<i4").tobytes()})
+                out.append({"shard": number, "bucket": b, "keys": keys.take(pa.array(at)), "counts": packed(counts[at].astype("<i8")), "places": packed(at.astype("<i4"))})
         return table(out, SHARDS)
 
 
@@ -173,7 +176,7 @@ def shards(docs: DataFrame, n_buckets: int, shard_bytes: int = SHARD_BYTES) -> D
 
 
 def joined(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(b.as_buffer(), kind) for b in column.combine_chunks()]
+    return [unpacked(b.as_buffer(), kind) for chunk in column.chunks for b in chunk]
 
 
 def numbered(frequent: np.ndarray, bucket: int, n_buckets: int) -> np.ndarray:
@@ -190,11 +193,11 @@ def add_up_words(rows: pa.Table, n_buckets: int, least: int) -> pa.Table:
     total = np.zeros(len(known), np.int64)
     np.add.at(total, code, np.concatenate(joined(rows["counts"], "<i8")))
     ids = numbered(total >= least, rows["bucket"][0].as_py(), n_buckets)
-    out = [{"shard": -1, "ids": ids[ids >= 0].tobytes(), "keys": known.filter(pa.array(ids >= 0)), "counts": total[ids >= 0].tobytes()}]
+    out = [{"shard": -1, "ids": packed(ids[ids >= 0]), "keys": known.filter(pa.array(ids >= 0)), "counts": packed(total[ids >= 0])}]
     first = 0
     for shard, places in zip(rows["shard"].to_pylist(), joined(rows["places"], "<i4")):
         own = ids[code[first : first + len(places)]]
-        out.append({"shard": shard, "ids": own[own >= 0].tobytes(), "at": places[own >= 0].astype("<i8").tobytes()})
+        out.append({"shard": shard, "ids": packed(own[own >= 0]), "at": packed(np.diff(places[own >= 0].astype("<i8"), prepend=0))})
         first += len(places)
     return table(out, ANSWERS)
 
@@ -207,18 +210,19 @@ def add_up(rows: pa.Table, n_buckets: int, least: int) -> pa.Table:
     np.add.at(total, code, np.concatenate(joined(rows["counts"], "<i4")))
     ids = numbered(total >= least, rows["bucket"][0].as_py(), n_buckets)
     some = ids >= 0
-    out = [{"shard": -1, "ids": ids[some].tobytes(), "at": known[some].tobytes(), "counts": total[some].tobytes()}]
+    out = [{"shard": -1, "ids": packed(ids[some]), "at": packed(known[some]), "counts": packed(total[some])}]
     first = 0
     for shard, keys in zip(rows["shard"].to_pylist(), own):
         ids_ = ids[code[first : first + len(keys)]]
-        out.append({"shard": shard, "ids": ids_[ids_ >= 0].tobytes(), "at": keys[ids_ >= 0].tobytes()})
+        out.append({"shard": shard, "ids": packed(ids_[ids_ >= 0]), "at": packed(np.diff(keys[ids_ >= 0], prepend=0))})
         first += len(keys)
     return table(out, ANSWERS)
 
 
 def answered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """What a shard was answered: keys or places, ascending, and their numbers."""
-    at, ids = (np.concatenate([np.empty(0, "<i8"), *joined(rows[c], "<i8")]) for c in ("at", "ids"))
+    at = np.concatenate([np.empty(0, "<i8"), *map(np.cumsum, joined(rows["at"], "<i8"))])
+    ids = np.concatenate([np.empty(0, "<i8"), *joined(rows["ids"], "<i8")])
     order = np.argsort(at)
     return at[order], ids[order]
 
@@ -232,44 +236,43 @@ def keys_of(words: np.ndarray, states: np.ndarray, depth: int) -> np.ndarray:
     if len(words) >= depth:
         link, left = states[depth - 1 :], words[: len(words) - depth + 1]
         ok = (link >= 0) & (states[depth - 2 : -1] >= 0)
-        key[depth - 1 :][ok] = link[ok] << WORD_BITS | left[ok]
+        key[depth - 1 :][ok] = link[ok].astype(np.int64) << WORD_BITS | left[ok]
     return key
 
 
-def grow(shard: pa.Table, answers: pa.Table, depth: int, n_buckets: int) -> pa.Table:
-    """A shard's automaton with states of depth words where they may be frequent: its places, and the endpos count of each new state by bucket."""
+def grow(shard: pa.Table, answers: pa.Table, depth: int, n_buckets: int, last: bool) -> pa.Table:
+    """A shard's automaton with states of depth words where they may be frequent: its places (unless it is the last time), and the endpos count of each new state by bucket."""
     shard = shard.filter(pc.is_null(shard["bucket"]))
     if not shard.num_rows or not answers.num_rows:
         return SHARDS.empty_table()
     at, ids = answered(answers)
+    words = unpacked(shard["words"][0].as_buffer(), "<i4")
     if depth == 2:
-        known = np.full(int(at[-1]) + 1 if len(at) else 0, -1, np.int64)
-        known[at] = ids
-        codes = np.frombuffer(shard["words"][0].as_buffer(), "<i4")
-        codes = np.where(codes < len(known), codes, -1)
-        words = np.where(codes >= 0, known[codes], -1) if len(known) else np.full(len(codes), -1, np.int64)
-        if len(words) and words.max() >> WORD_BITS:
+        if len(ids) and ids.max() >> WORD_BITS:
             raise ValueError(f"more than 2**{WORD_BITS} frequent words")
-        states = words
+        known = np.full(max([int(words.max(initial=-1)), *at[-1:]]) + 2, -1, "<i4")  # the last is for the places between pieces
+        known[at] = ids
+        words = states = known[words]
     else:
-        words, states = np.frombuffer(shard["words"][0].as_buffer(), "<i4").astype(np.int64), np.frombuffer(shard["states"][0].as_buffer(), "<i8")
+        states = unpacked(shard["states"][0].as_buffer(), "<i8") if depth > 3 else words
         key = keys_of(words, states, depth - 1)
         near = np.minimum(np.searchsorted(at, key), max(0, len(at) - 1))
         states = np.where(at[near] == key, ids[near], -1) if len(at) else np.full(len(key), -1, np.int64)
+        if states.max(initial=0) >> 63 - WORD_BITS:
+            raise ValueError(f"more than 2**{63 - WORD_BITS} frequent phrases")
     # Only what a longer substring can start or end with stays, and one place between.
     need = states >= 0
     for _ in range(depth - 2):
         need[:-1] |= need[1:]
     need[1:] |= need[:-1]
     words, states = words[need], states[need]
-    key = keys_of(words, states, depth)
-    if len(states) and states.max() >> 63 - WORD_BITS:
-        raise ValueError(f"more than 2**{63 - WORD_BITS} frequent phrases")
-    keys, counts = np.unique(key[key >= 0], return_counts=True)
-    out = [{"shard": shard["shard"][0].as_py(), "words": words.astype("<i4").tobytes(), "states": states.astype("<i8").tobytes()}]
+    keys = keys_of(words, states, depth)
+    keys, counts = np.unique(keys[keys >= 0], return_counts=True)
+    number = shard["shard"][0].as_py()
+    out = [] if last else [{"shard": number, "words": packed(words), "states": packed(states.astype("<i8")) if depth > 2 else None}]
     bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n_buckets
     for b, own in groups(bucket):
-        out.append({"shard": out[0]["shard"], "bucket": b, "places": np.diff(keys[own], prepend=0).astype("<i8").tobytes(), "counts": counts[own].astype("<i4").tobytes()})
+        out.append({"shard": number, "bucket": b, "places": packed(np.diff(keys[own], prepend=0)), "counts": packed(counts[own].astype("<i4"))})
     return table(out, SHARDS)
 
 
@@ -278,16 +281,16 @@ def found_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, counts, keys in zip(batch.column("ids"), batch.column("counts"), batch.column("keys")):
             split = [split_key(k.as_py()) for k in keys.values]
             yield pa.record_batch([
-                pa.array(np.frombuffer(ids.as_buffer(), "<i8")), pa.array([s[0] for s in split], pa.string()), pa.array([s[1].decode() for s in split], pa.string()), pa.array(np.frombuffer(counts.as_buffer(), "<i8")),
+                pa.array(unpacked(ids.as_buffer(), "<i8")), pa.array([s[0] for s in split], pa.string()), pa.array([s[1].decode() for s in split], pa.string()), pa.array(unpacked(counts.as_buffer(), "<i8")),
             ], names=["id", "lang", "phrase", "a"])
 
 
 def found_states(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for ids, at, counts in zip(batch.column("ids"), batch.column("at"), batch.column("counts")):
-            at = np.frombuffer(at.as_buffer(), "<i8")
+            at = unpacked(at.as_buffer(), "<i8")
             yield pa.record_batch([
-                pa.array(np.frombuffer(ids.as_buffer(), "<i8")), pa.array(at >> WORD_BITS), pa.array(at & (1 << WORD_BITS) - 1), pa.array(np.frombuffer(counts.as_buffer(), "<i8")),
+                pa.array(unpacked(ids.as_buffer(), "<i8")), pa.array(at >> WORD_BITS), pa.array(at & (1 << WORD_BITS) - 1), pa.array(unpacked(counts.as_buffer(), "<i8")),
             ], names=["id", "link", "left", "a"])
 
 
@@ -304,25 +307,31 @@ def substrings(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shar
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.encode(text, "UTF-8").alias("text"))
     state = materialize(shards(rows, n_buckets, shard_bytes), "shards")
     totals = state.where("bucket IS NULL").select(F.explode("totals").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialize(totals, "totals")
 
     def counted(state: DataFrame, how, name: str) -> DataFrame:
         rows = state.where("bucket IS NOT NULL").select("shard", "bucket", "keys", "counts", "places")
         return materialize(rows.groupBy("bucket").applyInArrow(lambda t: how(t, n_buckets, least), ANSWERS_DDL), name)
 
     def grown(depth: int):
-        return lambda shard, answers: grow(shard, answers, depth, n_buckets)
+        return lambda shard, answers: grow(shard, answers, depth, n_buckets, depth == longest)
 
     answers = counted(state, add_up_words, "words")
     found = answers.where("shard = -1").select("ids", "counts", "keys").mapInArrow(found_words, "id long, lang string, phrase string, a long")
     none = F.array().cast("array<long>")
     words = found.select("id", F.lit(-1).cast("long").alias("link"), F.col("id").alias("left"), F.lit(-1).cast("long").alias("prefix"), "lang", "phrase", "a", none.alias("heads"), none.alias("tails"))
+    words = materialize(words, "phrases")
     levels = [words]
     for depth in range(2, longest + 1):
         own = state.where("bucket IS NULL").groupBy("shard").cogroup(answers.where("shard >= 0").select("shard", "at", "ids").groupBy("shard"))
-        state = materialize(own.applyInArrow(grown(depth), SHARDS_DDL), "automata")
-        answers = counted(state, add_up, "states")
+        grew = materialize(own.applyInArrow(grown(depth), SHARDS_DDL), "automata")
+        release(state)
+        release(answers)
+        state, answers = grew, counted(grew, add_up, "states")
         new = answers.where("shard = -1").select("ids", "at", "counts").mapInArrow(found_states, "id long, link long, left long, a long")
         levels.append(materialize(with_links(new, levels[-1], words), "phrases"))
+    release(state)
+    release(answers)
     return totals, levels
 
 
