@@ -37,7 +37,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 SCALE = 2_000_000
 #: Bytes of text of a shard, of text that a bucket answers for, and of a slice that is cut into words at once.
-SHARD_BYTES, BUCKET_BYTES, SLICE = 4 << 20, 32 << 20, 1 << 20
+SHARD_BYTES, BUCKET_BYTES, SLICE = 6 << 20, 12 << 20, 1 << 20
 UNKNOWN = "und"
 
 LOWER = bytes(range(256)).lower()
@@ -45,14 +45,16 @@ LOWER = bytes(range(256)).lower()
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
 KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
+#: Places of a shard in one row: the rows stay small beside the heap of an executor.
+PLACES = 50_000
 #: Places of a left word in a substring's key; its link takes the rest.
 WORD_BITS = 31
 
 SHARDS = pa.schema([
-    ("shard", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("states", pa.binary()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary()), ("places", pa.binary()),
+    ("shard", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("words", pa.binary()), ("states", pa.binary()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary()), ("places", pa.binary()),
     ("totals", pa.map_(pa.string(), pa.int64())),
 ])
-SHARDS_DDL = "shard long, bucket int, words binary, states binary, keys array<binary>, counts binary, places binary, totals map<string,long>"
+SHARDS_DDL = "shard long, bucket int, part int, words binary, states binary, keys array<binary>, counts binary, places binary, totals map<string,long>"
 ANSWERS = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("at", pa.binary()), ("keys", pa.list_(pa.binary())), ("counts", pa.binary())])
 ANSWERS_DDL = "shard long, ids binary, at binary, keys array<binary>, counts binary"
 
@@ -100,7 +102,7 @@ class Shard:
         self.open[lang] = after or (self.open.get(lang, True) and not len(words))
 
     def rows(self, number: int, n_buckets: int) -> pa.Table:
-        """A row of the shard's words as numbers (-1 between pieces), and one of its distinct words for each bucket."""
+        """The shard's words as numbers (-1 between pieces), and a row of its distinct words for each bucket."""
         for lang in list(self.waiting):
             self.split(lang)
         streams, keys, counts, totals = [], [], [], {}
@@ -114,7 +116,8 @@ class Shard:
             before = np.concatenate(self.before.pop(lang))
             streams.append(np.insert(codes + n_words, np.flatnonzero(before), -1).astype("<i4"))
             n_words += len(known)
-        out = [{"shard": number, "words": packed(np.concatenate([np.empty(0, "<i4"), *streams])), "totals": list(totals.items())}]
+        out = places(number, np.concatenate([np.empty(0, "<i4"), *streams]), None)
+        out[0]["totals"] = list(totals.items())
         if n_words:
             keys, counts = pa.concat_arrays(keys), np.concatenate(counts)
             bucket = np.fromiter(map(zlib.crc32, keys.to_pylist()), np.int64, n_words) % n_buckets
@@ -123,6 +126,12 @@ class Shard:
         return table(out, SHARDS)
 
 
+def places(shard: int, words: np.ndarray, states: np.ndarray | None) -> list[dict]:
+    """Rows of a shard's places."""
+    cuts = range(0, max(1, len(words)), PLACES)
+    return [{"shard": shard, "part": i, "words": packed(words[at : at + PLACES]), "states": None if states is None else packed(states[at : at + PLACES])} for i, at in enumerate(cuts)]
+
+
 def table(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r.get(c) for r in rows], schema.field(c).type) for c in schema.names], schema=schema)
 
@@ -195,10 +204,10 @@ def add_up_words(rows: pa.Table, n_buckets: int, least: int) -> pa.Table:
     ids = numbered(total >= least, rows["bucket"][0].as_py(), n_buckets)
     out = [{"shard": -1, "ids": packed(ids[ids >= 0]), "keys": known.filter(pa.array(ids >= 0)), "counts": packed(total[ids >= 0])}]
     first = 0
-    for shard, places in zip(rows["shard"].to_pylist(), joined(rows["places"], "<i4")):
-        own = ids[code[first : first + len(places)]]
-        out.append({"shard": shard, "ids": packed(own[own >= 0]), "at": packed(np.diff(places[own >= 0].astype("<i8"), prepend=0))})
-        first += len(places)
+    for shard, at in zip(rows["shard"].to_pylist(), joined(rows["places"], "<i4")):
+        own = ids[code[first : first + len(at)]]
+        out.append({"shard": shard, "ids": packed(own[own >= 0]), "at": packed(np.diff(at[own >= 0].astype("<i8"), prepend=0))})
+        first += len(at)
     return table(out, ANSWERS)
 
 
@@ -246,7 +255,8 @@ def grow(shard: pa.Table, answers: pa.Table, depth: int, n_buckets: int, last: b
     if not shard.num_rows or not answers.num_rows:
         return SHARDS.empty_table()
     at, ids = answered(answers)
-    words = unpacked(shard["words"][0].as_buffer(), "<i4")
+    shard = shard.sort_by("part")
+    words = np.concatenate(joined(shard["words"], "<i4"))
     if depth == 2:
         if len(ids) and ids.max() >> WORD_BITS:
             raise ValueError(f"more than 2**{WORD_BITS} frequent words")
@@ -254,7 +264,7 @@ def grow(shard: pa.Table, answers: pa.Table, depth: int, n_buckets: int, last: b
         known[at] = ids
         words = states = known[words]
     else:
-        states = unpacked(shard["states"][0].as_buffer(), "<i8") if depth > 3 else words
+        states = np.concatenate(joined(shard["states"], "<i8")) if depth > 3 else words
         key = keys_of(words, states, depth - 1)
         near = np.minimum(np.searchsorted(at, key), max(0, len(at) - 1))
         states = np.where(at[near] == key, ids[near], -1) if len(at) else np.full(len(key), -1, np.int64)
@@ -269,7 +279,7 @@ def grow(shard: pa.Table, answers: pa.Table, depth: int, n_buckets: int, last: b
     keys = keys_of(words, states, depth)
     keys, counts = np.unique(keys[keys >= 0], return_counts=True)
     number = shard["shard"][0].as_py()
-    out = [] if last else [{"shard": number, "words": packed(words), "states": packed(states.astype("<i8")) if depth > 2 else None}]
+    out = [] if last else places(number, words, states.astype("<i8") if depth > 2 else None)
     bucket = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n_buckets
     for b, own in groups(bucket):
         out.append({"shard": number, "bucket": b, "places": packed(np.diff(keys[own], prepend=0)), "counts": packed(counts[own].astype("<i4"))})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.sources.work import spread
 
-from . import collocations, exact_dedup, fm_index, packing, pieces, ppm, quality_classifier, quality_rules, quotations, simhash, suffix_dedup
+from . import collocations, exact_dedup, fm_index, licenses, packing, pieces, ppm, quality_classifier, quality_rules, quotations, simhash, suffix_dedup, vector_codes
 from .common import read
 
 
@@ -69,6 +69,14 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.with_label_errors(*vector_codes.compress(spread(read(spark, sf_dir, "embeddings"))))
+
+
+def op12_license_scans(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op13_phrase_collocations(spark, sf_dir):
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -86,6 +94,8 @@ QUERIES = {
         op8_quality_classifier,
         op9_sentencepiece,
         op10_simhash_near_dedup,
+        op11_vector_codes,
+        op12_license_scans,
         op13_phrase_collocations,
         quoted_replies,
     )
@@ -98,6 +108,8 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
     "op7_quotation_linking": quotations.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_license_scans": licenses.ORACLE,
     "op13_phrase_collocations": collocations.ORACLE,
     "quoted_replies": quotations.QUOTING_ORACLE,
 }
