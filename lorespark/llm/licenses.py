@@ -139,16 +139,16 @@ _ROWS = ", ".join(f"({i}, {quoted(label)}, {str(base).lower()}, {quoted(text)})"
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT template, label, base, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (VALUES {_ROWS}) v(template, label, base, text)),
-grams AS (SELECT template, label, base, g[1] AS a, g[2] AS b, at FROM (SELECT *, unnest(list_zip(w[:-2], w[2:])) AS g, unnest(range(len(w) - 1)) AS at FROM t)
+grams AS (SELECT template, label, base, g[1] AS a, g[2] AS b, pos FROM (SELECT *, unnest(list_zip(w[:-2], w[2:])) AS g, unnest(range(len(w) - 1)) AS pos FROM t)
           WHERE base OR NOT (list_contains([{", ".join(map(quoted, COMMON))}], g[1]) AND list_contains([{", ".join(map(quoted, COMMON))}], g[2]))),
-sizes AS (SELECT template, count(*) AS n_votes, len(list_distinct(flatten(list([at, at + 1])))) AS of_words FROM grams GROUP BY template),
+sizes AS (SELECT template, count(*) AS n_votes, len(list_distinct(flatten(list([pos, pos + 1])))) AS of_words FROM grams GROUP BY template),
 pairs AS (SELECT r, unnest(w[:-2]) AS a, unnest(w[2:]) AS b, unnest(range(len(w) - 1)) AS i FROM d WHERE len(w) > 1),
-lines AS (SELECT r, template, label, base, i - at AS diagonal, list(at) AS at FROM pairs JOIN grams USING (a, b) GROUP BY ALL),
+lines AS (SELECT r, template, label, base, i - pos AS diagonal, list(pos) AS pos FROM pairs JOIN grams USING (a, b) GROUP BY ALL),
 marked AS (SELECT l.*, n_votes, of_words, coalesce(diagonal - lag(diagonal) OVER q > CASE WHEN base THEN 0 ELSE of_words // {NEAR} END, true) AS new
            FROM lines l JOIN sizes USING (template) WINDOW q AS (PARTITION BY r, template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM marked),
-spans AS (SELECT r, template, label, base, n_votes, of_words, span, flatten(list(at)) AS at, min(diagonal) AS start FROM numbered GROUP BY ALL),
-judged AS (SELECT *, base AND len(at) = n_votes AS whole, len(list_distinct(flatten(list_transform(at, lambda x: [x, x + 1])))) AS there FROM spans),
+spans AS (SELECT r, template, label, base, n_votes, of_words, span, flatten(list(pos)) AS pos, min(diagonal) AS start FROM numbered GROUP BY ALL),
+judged AS (SELECT *, base AND len(pos) = n_votes AS whole, len(list_distinct(flatten(list_transform(pos, lambda x: [x, x + 1])))) AS there FROM spans),
 s AS (
   SELECT r, count(*) FILTER (whole) AS n_base, min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
          list_sort(list(DISTINCT label) FILTER (whole)) AS base_labels,

@@ -32,6 +32,10 @@ def usable(vectors: DataFrame, id_: str, vector: str, label: str) -> DataFrame:
     return rows.where(F.col("vector").isNotNull() & fine)
 
 
+def one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def in_columns(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(ids, labels, n, dim, most, data): blocks of vectors of one length, a dimension after the other; most bounds the numbers in it."""
     label, item = rows.schema["label"].dataType, rows.schema["vector"].dataType.elementType
@@ -51,7 +55,7 @@ def in_columns(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                     data = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(own.num_rows, dim)
                     most = float(np.abs(data).max(initial=0)) * SCALE + 1
                     yield pa.record_batch([
-                        pa.array([own.column(0)]), pa.array([own.column(1)]), pa.array([own.num_rows], pa.int32()), pa.array([dim], pa.int32()), pa.array([most]), pa.array([data.T.tobytes()]),
+                        one_list(own.column(0)), one_list(own.column(1)), pa.array([own.num_rows], pa.int32()), pa.array([dim], pa.int32()), pa.array([most]), pa.array([data.T.tobytes()]),
                     ], names=schema.names)
 
     return rows.select("id", "label", F.col("vector").cast(T.ArrayType(T.FloatType() if kind == "<f4" else T.DoubleType()))).mapInArrow(run, schema)
