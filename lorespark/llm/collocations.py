@@ -36,6 +36,8 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A phrase goes when a longer one has at least this share (in percent) of its occurrences.
 COVERED = 80
 SCALE = 2_000_000
+#: Shares of a language's phrases that are ranked apart first.
+SALTS = 64
 #: Bytes of text of a shard, of text that a bucket answers for, and of a slice that is cut into words at once.
 SHARD_BYTES, BUCKET_BYTES, SLICE = 6 << 20, 12 << 20, 1 << 20
 UNKNOWN = "und"
@@ -392,9 +394,12 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
         own = own.select("lang", "phrase", "a", weakest_cut().alias("_cut"))
         rows = own if rows is None else rows.unionByName(own)
     rows = rows.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # The best of each share of a language's phrases, then of these.
+    rows = rows.withColumn("_salt", F.pmod(F.hash("phrase"), F.lit(SALTS)))
+    for group in (["lang", "_salt"], ["lang"]):
+        order = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        rows = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
