@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorespark.sources.keyed import changed, remove, upsert
+from lorespark.sources.log import LogTable
+from lorespark.sources.work import written
 
 SUCCESS, DEPRECATED, EXPIRED = 3, 5, 6
 PENDING, PROCESSING = 0, 1
@@ -126,3 +129,45 @@ def store_vectors(vectors: DataFrame, new: DataFrame, limit: int = 65_535 // 3)
     """vectors with new ones put in by id; null places become zero and texts are cut to limit characters."""
     new = new.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("page_no", "chunk_index") if c in new.columns})
     return upsert(vectors, new.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, limit)), "id")
+
+
+def claim_in(table: LogTable, ids: DataFrame, **values: str) -> DataFrame:
+    """Set the pending tasks among ids to processing in a table that others claim from too, with more values. Gives the rows that were won: no other caller gets them."""
+    status = table.schema()["status"].dataType
+    new = {"status": F.lit(PROCESSING).cast(status), **{k: F.lit(v) for k, v in values.items()}}
+    return table.replace(lambda rows: rows.where(F.col("status") == PENDING).join(ids.select("id"), "id", "left_semi"), lambda rows: rows.withColumns(new), "claim")
+
+
+def numbered_versions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new (kb_id, file_name, ...) with the version after the largest of the name in old; repeated names go on counting."""
+    known = next_versions(old)
+    count = F.row_number().over(Window.partitionBy("kb_id", "file_name").orderBy(*[c for c in new.columns if c not in ("kb_id", "file_name")] or [F.lit(1)])) - 1
+    return new.withColumn("_count", count).join(known, ["kb_id", "file_name"], "left").withColumn("version", F.coalesce("next_version", F.lit(1)) + F.col("_count")).drop("_count", "next_version")
+
+
+def insert_versions(table: LogTable, new: DataFrame) -> DataFrame:
+    """Add new documents as the next versions of their names, worked out anew if another caller adds one of a name meanwhile. Gives the added rows."""
+    return table.insert_keyed(lambda old: numbered_versions(old, new), ["kb_id", "file_name"], new)
+
+
+def delete_documents_in(gone: DataFrame, documents: LogTable, chunks: LogTable, tasks: LogTable, vectors: LogTable) -> dict[str, int]:
+    """delete_documents in tables with a log: what depends on a document goes before it, so that a rerun ends what was begun."""
+    busy = unfinished(tasks.read()).select("document_id").distinct()
+    gone = written(gone.select("document_id").distinct().join(busy, "document_id", "left_anti"), "gone")
+    count = {n: t.delete(keys=gone) for n, t in (("vectors", vectors), ("chunks", chunks), ("tasks", tasks))}
+    return {**count, "documents": documents.delete(keys=gone.toDF("id"))}
+
+
+def keep_vectors_in(vectors: LogTable, keep: DataFrame, document_ids: DataFrame) -> int:
+    """keep_vectors in a table with a log; files stay as they are."""
+    return vectors.delete(keys=document_ids.select("document_id").distinct(), but=keep.select("id"))
+
+
+def trim_vectors_in(vectors: LogTable, sizes: DataFrame) -> int:
+    """trim_vectors in a table with a log, where chunks from n on go; files stay as they are."""
+
+    def work(now):
+        hits = vectors.places(now).join(sizes.select("document_id", "n"), "document_id").where(F.col("chunk_index") >= F.col("n"))
+        return vectors.gone_or_none(hits, now)
+
+    return done.result if (done := vectors.transact(work, "trim")) else 0
