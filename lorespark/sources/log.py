@@ -39,13 +39,14 @@ class Conflict(RuntimeError):
 
 @dataclass
 class State:
-    """A table after a commit. files: name to {dir, rows, numbers (whether its rows get ids), base, gone (a folder, or None), n_gone}; parts: facts about each folder of files."""
+    """A table after a commit. files: name to {dir, rows, numbers (whether its rows get ids), base, gone (a folder, or None), n_gone}; parts: facts about each folder of files; sums: running totals."""
 
     version: int = -1
     schema: str = ""
     files: dict[str, dict] = field(default_factory=dict)
     parts: dict[str, dict] = field(default_factory=dict)
     next_id: int = 1
+    sums: dict[str, int] = field(default_factory=dict)
 
     def after(self, commit: dict) -> State:
         files = {k: v for k, v in self.files.items() if k not in set(commit.get("remove", ()))}
@@ -57,7 +58,8 @@ class State:
             files[name] = {**files[name], "gone": folder, "n_gone": n}
         parts = {**self.parts, **commit.get("parts", {})}
         used = {f["dir"] for f in files.values()}
-        return State(self.version + 1, commit.get("schema", self.schema), files, {k: v for k, v in parts.items() if k in used}, next_id)
+        sums = {k: self.sums.get(k, 0) + commit.get("sums", {}).get(k, 0) for k in {*self.sums, *commit.get("sums", {})}}
+        return State(self.version + 1, commit.get("schema", self.schema), files, {k: v for k, v in parts.items() if k in used}, next_id, sums)
 
 
 @dataclass
@@ -68,6 +70,7 @@ class Change:
     remove: list[str] = field(default_factory=list)
     gone: dict[str, tuple[str, int]] = field(default_factory=dict)
     parts: dict[str, dict] = field(default_factory=dict)
+    sums: dict[str, int] = field(default_factory=dict)
     reads: set[str] = field(default_factory=set)
     writes: set[str] = field(default_factory=set)
     result: Any = None
@@ -158,7 +161,7 @@ class LogTable:
 
     def _commit(self, now: State, change: Change, what: str) -> State | None:
         """The state after a commit on top of now or what came since; None if that wrote what the change has read."""
-        entry = {"what": what, "add": change.add, "remove": change.remove, "gone": change.gone, "parts": change.parts, "writes": sorted(change.writes)}
+        entry = {"what": what, "add": change.add, "remove": change.remove, "gone": change.gone, "parts": change.parts, "sums": change.sums, "writes": sorted(change.writes)}
         text = json.dumps(entry)
         while not self._put(f"{now.version + 1}.json", text):
             other = self._get(f"{now.version + 1}.json")
@@ -211,13 +214,14 @@ class LogTable:
         sizes = written.groupBy("file_name").agg(F.count("*").alias("n")).orderBy("file_name").collect()  # a row for each file
         return Change(add={r[0]: {"dir": name, "rows": r[1], "numbers": numbers, "gone": None, "n_gone": 0} for r in sizes}, parts={name: facts} if sizes else {}, writes={ANY})
 
-    def append(self, rows: DataFrame, *sort: str, **facts: Any) -> DataFrame:
-        """Add rows. Nothing that others commit meanwhile is in the way. Gives the rows as they are now, with their ids."""
+    def append(self, rows: DataFrame, *sort: str, sums: dict[str, int] | None = None, **facts: Any) -> DataFrame:
+        """Add rows, and to running totals. Nothing that others commit meanwhile is in the way. Gives the rows as they are now, with their ids."""
         change = self.write(rows, *sort, **facts)
+        change.sums = sums or {}
         self.transact(lambda now: change, "append")
-        return self._rows(change.made, change.add)
+        return self.rows(change.made, change.add)
 
-    def _rows(self, now: State, names: Iterable[str] | None = None, places: bool = False) -> DataFrame:
+    def rows(self, now: State, names: Iterable[str] | None = None, places: bool = False) -> DataFrame:
         """The living rows of some files or all; with places, the columns _file and _pos too."""
         files = now.files if names is None else {n: now.files[n] for n in names}
         schema = self.schema(now)
@@ -253,7 +257,7 @@ class LogTable:
         return joined.where(F.expr("bits IS NULL OR shiftright(bits, CAST(_pos % 64 AS INT)) & 1 = 0")).drop("_f", "word", "bits")
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self._rows(self.state(version))
+        return self.rows(self.state(version))
 
     def gone(self, hits: DataFrame, now: State) -> Change:
         """A change after which the rows at the places (_file, _pos) in hits are gone; their files stay as they are."""
@@ -270,7 +274,7 @@ class LogTable:
 
     def places(self, now: State) -> DataFrame:
         """The living rows with their places (_file, _pos)."""
-        return self._rows(now, places=True)
+        return self.rows(now, places=True)
 
     def gone_or_none(self, hits: DataFrame, now: State) -> Change | None:
         """A change whose result is how many rows go, if any does."""
@@ -302,7 +306,7 @@ class LogTable:
             if not change.gone:
                 return None
             # The places are fixed now: what is written is what goes.
-            taken = self._rows(now, change.gone, places=True)
+            taken = self.rows(now, change.gone, places=True)
             old = self._gone(State(now.version, now.schema, {n: {**now.files[n], "gone": change.gone[n][0]} for n in change.gone}), list(change.gone)).withColumnRenamed("_file", "_f")
             on = (F.col("_file") == F.col("_f")) & (F.expr("_pos div 64") == F.col("word")) & F.expr("shiftright(bits, CAST(_pos % 64 AS INT)) & 1 = 1")
             rows = self.write(new(taken.join(old, on, "left_semi").drop("_file", "_pos")))
@@ -311,7 +315,7 @@ class LogTable:
             return change
 
         done = self.transact(work, what)
-        return self._rows(done.made, done.add) if done else self._rows(self.state(), ())
+        return self.rows(done.made, done.add) if done else self.rows(self.state(), ())
 
     def insert_keyed(self, make: Callable[[DataFrame], DataFrame], keys: list[str], new: DataFrame) -> DataFrame:
         """Add what make works out from the living rows for new ones, which share keys; anew if others add rows of those keys. Gives the added rows."""
@@ -320,12 +324,12 @@ class LogTable:
         tokens = {ANY} if len(some) > KEYS else {f"key {k}" for k in some}
 
         def work(now: State) -> Change:
-            change = self.write(make(self._rows(now)))
+            change = self.write(make(self.rows(now)))
             change.reads, change.writes = tokens, tokens
             return change
 
         done = self.transact(work, "insert")
-        return self._rows(done.made, done.add)
+        return self.rows(done.made, done.add)
 
     def compact(self, share: float = SHARE) -> list[str]:
         """Write the living rows of files of which a share of rows is gone anew, with their ids. Returns the files that went."""
@@ -334,8 +338,8 @@ class LogTable:
             worn = [n for n, f in now.files.items() if f["n_gone"] and f["n_gone"] >= share * f["rows"]]
             if not worn:
                 return None
-            change = self.write(self._rows(now, worn))
-            return Change(change.add, worn, {}, change.parts, set(worn), set(worn))
+            change = self.write(self.rows(now, worn))
+            return Change(change.add, worn, parts=change.parts, reads=set(worn), writes=set(worn))
 
         return done.remove if (done := self.transact(work, "compact")) else []
 

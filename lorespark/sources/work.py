@@ -23,12 +23,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lorespark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to a work table and read back; the table goes when the driver ends."""
-    spark = df.sparkSession
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A path as by work_path that goes, with all in it, when the driver ends."""
     path = work_path(spark, name)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a work table and read back; the table goes when the driver ends."""
+    spark = df.sparkSession
+    path = work_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

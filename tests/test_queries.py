@@ -3,10 +3,10 @@
 import pytest
 from frames import DATA, rows
 
-from lorespark.plans import relational, retrieval, streams, textual
+from lorespark.plans import kept, relational, retrieval, streams, textual
 
 QUERIES, ORACLES = {}, {}
-for plan in (relational, textual, retrieval, streams):
+for plan in (relational, textual, retrieval, streams, kept):
     QUERIES |= plan.QUERIES
     ORACLES |= plan.ORACLES
 
