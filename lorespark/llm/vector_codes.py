@@ -127,10 +127,10 @@ def compress(
     has = blocks.agg(F.min("dim").alias("least"), F.max("dim").alias("dim"), F.max("most").alias("most"), F.sum("n").alias("n")).first()
     if has["n"] and (has["least"] != has["dim"] or has["dim"] % parts):
         raise ValueError(f"vectors must have one length that {parts} divides, not {has['least']} to {has['dim']}")
-    dim, n = has["dim"] or 0, has["n"] or 0
+    dim, n, most = has["dim"] or 0, has["n"] or 0, has["most"] or 0
     width = dim // parts
     item = "<f4" if isinstance(rows.schema["vector"].dataType.elementType, T.FloatType) else "<f8"
-    kind = np.int64 if n * has["most"] < 2**62 and width * (2 * has["most"]) ** 2 < 2**62 else object
+    kind = np.int64 if n * most < 2**62 and width * (2 * most) ** 2 < 2**62 else object
     first = rows.orderBy(F.asc_nulls_last("id"), "vector").select("vector").limit(entries).collect()
     books = whole(np.array([r[0] for r in first], item).reshape(len(first), dim), kind).reshape(len(first), parts, width).transpose(1, 0, 2)
     partitions = blocks.rdd.getNumPartitions()
