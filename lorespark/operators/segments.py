@@ -22,8 +22,8 @@ from lorespark.sources.work import written
 from .ivf import centroids, unit
 from .retrieval import K1, MANY_TERMS, QUERY_BYTES, ROUTE_TOP, B, tokens, top
 
-#: Documents of a cell (about), whose postings of a term are one row; cells that are scored first; segments of a tier that are merged.
-CELL, FIRST, FAN = 128, 4, 4
+#: Documents of a cell (about), whose postings of a term are one row; segments of a tier that are merged.
+CELL, FAN = 128, 4
 #: Values of a filter that is handed to the scan as a list.
 LISTED = 2000
 #: What scores are rounded by, twice.
@@ -139,29 +139,29 @@ class TextIndex:
         found = found.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "idf", "p.*")
         return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 4).alias("score"))
 
-    def search(self, queries: DataFrame, k: int = ROUTE_TOP, k1: float = K1, b: float = B, first: int = FIRST) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = ROUTE_TOP, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, doc_id, score, rank): the k best documents for each query (query_id, text), as by ``bm25_topk`` over all documents of the index.
 
-        The cells that promise most are scored first. Their k-th score is one that the k best reach, and cells whose bound is below
+        The k cells that promise most are scored first. Their k-th score is one that the k best reach, and cells whose bound is below
         it are skipped: a document's score is at most the sum of the largest weights of the asked terms' rows in its cell.
         """
-        return top(self._scored(queries, k, k1, b, first)[0], k)
+        return top(self._scored(queries, k, k1, b)[0], k)
 
-    def _scored(self, queries: DataFrame, k: int, k1: float, b: float, first: int) -> tuple[DataFrame, DataFrame]:
+    def _scored(self, queries: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
         """Scores that hold the k best, and (query_id, segment, cell, bound, alive)."""
         rows, wanted, weight, most = self._asked(queries, k1, b)
         bounds = rows.select("term", "segment", "cell", "most", "shortest").join(wanted, "term").groupBy("query_id", "segment", "cell").agg(F.sum(most).alias("bound"))
         cells = written(bounds, "cells")
         best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "cell")
-        early = self._score(rows, wanted, cells.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= first), weight)
+        early = self._score(rows, wanted, cells.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k), weight)
         floor = top(early, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         cells = cells.join(floor, "query_id", "left").withColumn("alive", F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
         cells = written(cells.drop("floor"), "alive")
         return self._score(rows, wanted, cells.where("alive"), weight), cells
 
-    def cells(self, queries: DataFrame, k: int = ROUTE_TOP, first: int = FIRST) -> DataFrame:
+    def cells(self, queries: DataFrame, k: int = ROUTE_TOP) -> DataFrame:
         """(query_id, segment, cell, bound, alive): which cells a search scores."""
-        return self._scored(queries, k, K1, B, first)[1]
+        return self._scored(queries, k, K1, B)[1]
 
 
 class VectorIndex:
