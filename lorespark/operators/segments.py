@@ -32,6 +32,14 @@ SLACK = 1e-4
 POSTING = "struct<doc_id: long, tf: long, dl: long>"
 
 
+def among(column: str, values: list) -> Column:
+    """Whether a column has one of the values: as ``isin``, in one call to Spark instead of one for each value."""
+    if not values:
+        return F.lit(False)
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    return F.expr(f"{column} IN ({', '.join(map(quote, values))})")
+
+
 class TextIndex:
     """BM25 postings. A row has a term's postings in a cell of a segment, sorted by term, with the largest count and the smallest length in it."""
 
@@ -78,14 +86,11 @@ class TextIndex:
             lost = split.select(F.explode("out").alias("p")).groupBy("p.doc_id").agg(F.max("p.dl").alias("dl")).agg(F.count("*").alias("docs"), F.sum("dl").alias("words")).first()
             kept = split.withColumn("postings", F.filter("postings", lambda p: ~F.array_contains("ids", p["doc_id"]))).where(F.size("postings") > 0)
             kept = kept.withColumns({"n": F.size("postings").cast("long"), "most": F.array_max("postings.tf"), "shortest": F.array_min("postings.dl")})
-            # Cells keep their segments' numbers, and rows of several segments may share a file.
-            for segment in [p["segment"] for p in now.parts.values()]:
-                own = kept.where(F.col("segment") == segment)
-                if not own.isEmpty():
-                    part = next(p for p in now.parts.values() if p["segment"] == segment)
-                    rows = self.table.write(own, "term", "cell", **part)
-                    change.add |= rows.add
-                    change.parts |= rows.parts
+            # Rows keep their segments, each in a folder of its own.
+            for segment, part in {p["segment"]: p for p in now.parts.values()}.items():
+                rows = self.table.write(kept.where(F.col("segment") == segment), "term", "cell", **part)
+                change.add |= rows.add
+                change.parts |= rows.parts
             change.sums = {"docs": -lost["docs"], "words": -lost["words"]}
             return change
 
@@ -123,7 +128,7 @@ class TextIndex:
         some = [r[0] for r in terms.limit(LISTED + 1).collect()]
         rows = self.table.rows(now)
         if len(some) <= LISTED:
-            rows = rows.where(F.col("term").isin(some))  # reaches the scan, whose files are sorted by term
+            rows = rows.where(among("term", some))  # reaches the scan, whose files are sorted by term
         else:
             few = terms.limit(MANY_TERMS + 1).count() <= MANY_TERMS
             rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
@@ -263,7 +268,7 @@ class VectorIndex:
 
         rows = self.table.rows(now).select("list", F.col(self.key).cast("long"), "embedding").where((F.col("list") >= 0) & F.col(self.key).isNotNull())
         if len(lists) <= LISTED:
-            rows = rows.where(F.col("list").isin(lists))  # reaches the scan
+            rows = rows.where(among("list", lists))  # reaches the scan
         return rows.mapInArrow(run, "query_id long, doc_id long, score double")
 
 

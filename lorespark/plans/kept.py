@@ -38,16 +38,13 @@ def logged(spark, rows, name: str) -> LogTable:
 
 @query(retrieval.ORACLES["bm25_topk"])
 def kept_bm25_topk(spark, sf_dir):
-    """documents ingested in five batches, whose segments are merged on the way; some are taken out and come again."""
+    """documents ingested in five batches, whose segments are merged on the way."""
     index = TextIndex(spark, work_folder(spark, "text-index"))
     index.create()
     docs = spread(S.read(spark, sf_dir, "documents").select("doc_id", "text"))
     for i in range(BATCHES):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == i))
         index.merge(3)
-    again = docs.where("doc_id % 10 = 3")
-    index.remove(again.select("doc_id"))
-    index.add(again)
     return index.search(retrieval.questions(spark, sf_dir), R.ROUTE_TOP)
 
 

@@ -50,8 +50,11 @@ def test_removed_documents_leave_no_trace(spark, index, docs, asked):
     left = docs.where("doc_id % 3 <> 1")
     assert index.table.state().sums["docs"] == left.count()
     assert found(index.search(asked, 10)) == found(R.bm25_topk(asked, left, 10))
+    index.remove(docs.where("doc_id % 5 = 0").select("doc_id"))
+    left = left.where("doc_id % 5 <> 0")
+    assert found(index.search(asked, 10)) == found(R.bm25_topk(asked, left, 10))
     index.merge(2)
-    index.add(docs.where("doc_id % 3 = 1"))
+    index.add(docs.where("doc_id % 3 = 1 OR doc_id % 5 = 0"))
     assert found(index.search(asked, 10)) == found(R.bm25_topk(asked, docs, 10))
     index.remove(docs.select("doc_id"))
     assert index.table.state().sums == {"docs": 0, "words": 0} and index.search(asked, 10).count() == 0
