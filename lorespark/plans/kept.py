@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.operators import access, lifecycle
 from lorespark.operators import retrieval as R
+from lorespark.operators.asof import asof_join
 from lorespark.operators.segments import TextIndex, VectorIndex
 from lorespark.sources.collections import Collections
 from lorespark.sources.log import LogTable
@@ -190,3 +191,23 @@ def members_revoked_in_place(spark, sf_dir):
     kept = access.revoke(table.read(), table.read().where("role = 'VIEWER' OR user_id % 3 = 0")).select("kb_id", "user_id")
     table.delete(but=kept)
     return table.read()
+
+
+@query(
+    S.with_("chunks_")
+    + """, headings AS (SELECT document_id, chunk_index AS at_, content AS heading FROM chunks_ WHERE length(content) BETWEEN 1 AND 60)
+    SELECT c.document_id, c.chunk_index, h.heading FROM chunks_ c ASOF LEFT JOIN headings h ON c.document_id = h.document_id AND c.chunk_index >= h.at_"""
+)
+def chunk_headings_asof(spark, sf_dir):
+    """Each chunk with the last heading of a table at or before it; short lines stand for headings."""
+    chunks = S.chunks(spark, sf_dir)
+    headings = chunks.where(F.length("content").between(1, 60)).select("document_id", "chunk_index", F.col("content").alias("heading"))
+    return asof_join(chunks.select("document_id", "chunk_index"), headings, ["document_id"], "chunk_index")
+
+
+@query("SELECT e.event_id, e.user_id, p.event_id AS purchase_id FROM events e ASOF LEFT JOIN (FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.event_id >= p.event_id")
+def last_purchase_asof(spark, sf_dir):
+    """Each event with its user's last purchase up to then."""
+    events = S.read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    purchases = events.where("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("purchase_id"))
+    return asof_join(events.select("user_id", "event_id"), purchases, ["user_id"], "event_id")
