@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespark.operators import access, lifecycle
+from lorespark.operators import access, lifecycle, lists
 from lorespark.operators import retrieval as R
 from lorespark.operators.asof import asof_join
+from lorespark.operators.contains import ContainsIndex
 from lorespark.operators.segments import TextIndex, VectorIndex
 from lorespark.sources.collections import Collections
 from lorespark.sources.log import LogTable
@@ -211,3 +212,28 @@ def last_purchase_asof(spark, sf_dir):
     events = S.read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     purchases = events.where("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("purchase_id"))
     return asof_join(events.select("user_id", "event_id"), purchases, ["user_id"], "event_id")
+
+
+_NAMED = "SELECT id, kb_id, ['Rapport d''Été ', 'RAPPORT D''ETE ', 'Übersicht ', 'informe año ', 'Straße ', '要約 été '][1 + id % 6] || id AS file_name, create_time FROM documents_"
+
+
+@query(
+    S.with_("documents_")
+    + f"""SELECT * EXCLUDE create_time FROM (SELECT 'a' AS part, id, file_name, create_time FROM ({_NAMED}) WHERE contains(strip_accents(lower(file_name)), 'ete 1') ORDER BY create_time DESC, id LIMIT 100)
+    UNION ALL SELECT * EXCLUDE create_time FROM (SELECT 'b' AS part, id, file_name, create_time FROM ({_NAMED}) WHERE contains(strip_accents(lower(file_name)), 'ano 2') ORDER BY create_time DESC, id LIMIT 100)
+    UNION ALL SELECT * EXCLUDE create_time FROM (SELECT 'c' AS part, id, file_name, create_time FROM ({_NAMED}) WHERE contains(strip_accents(lower(file_name)), 'ub') ORDER BY create_time DESC, id LIMIT 100)"""
+)
+def list_documents_accented(spark, sf_dir):
+    """Lists by keyword through the index of file names, with accents in the names and in the keyword; one keyword is too short for it."""
+    names = F.array(*map(F.lit, ("Rapport d'Été ", "RAPPORT D'ETE ", "Übersicht ", "informe año ", "Straße ", "要約 été ")))
+    docs = S.documents(spark, sf_dir).withColumn("file_name", F.concat(F.get(names, F.col("id") % 6), F.col("id")))
+    index = ContainsIndex(spark, work_folder(spark, "names"))
+    index.create()
+    for i in range(2):
+        index.add(docs.where(F.col("id") % 2 == i), "id", "file_name")
+    parts = None
+    for part, keyword in (("a", "éTé 1"), ("b", "ANO 2"), ("c", "üB")):
+        found = lists.list_documents(index.narrowed(docs, "id", "file_name", keyword), None)
+        found = found.select(F.lit(part).alias("part"), "id", "file_name")
+        parts = found if parts is None else parts.unionByName(found)
+    return parts
