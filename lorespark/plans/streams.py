@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorespark.sources.work import work_path
-from lorespark.streaming import flows
+from lorespark.streaming import flows, sessions
 
 from . import standins as S
 
@@ -57,8 +57,26 @@ def stream_breaker_states(spark, sf_dir):
     return _end(spark, out).groupBy("service", "state").agg(F.count("*").alias("n"), F.count_if("failed").alias("failures"))
 
 
-QUERIES |= {f.__name__: f for f in (stream_dedup, stream_windows, stream_sessions, stream_breaker, stream_ttl, stream_breaker_states)}
+def stream_session_keys(spark, sf_dir):
+    """Refresh tokens of users, three each, kept for two days: saved, consumed once, looked up, and revoked all together."""
+    op = F.when(F.col("event_type").isin("view", "signup"), sessions.SAVE).when(F.col("event_type") == "click", sessions.CONSUME).when(F.col("event_type") == "error", sessions.REVOKE).otherwise(sessions.HAS)
+    token = F.when(F.col("event_type") == "error", "refresh:").otherwise(F.concat(F.lit("refresh:"), (F.col("event_id") % 3).cast("string")))
+    rows = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), op.alias("op"), token.alias("token"), F.lit(2 * 86_400_000).alias("ttl"), "ts")
+    with sessions.rocks_store(spark):
+        return _end(spark, sessions.session_keys(rows, "ts")).select("user_id", "seq", "op", "found", "n")
+
+
+QUERIES |= {f.__name__: f for f in (stream_session_keys, stream_dedup, stream_windows, stream_sessions, stream_breaker, stream_ttl, stream_breaker_states)}
 ORACLES |= {
+    "stream_session_keys": """WITH ops AS (
+        SELECT user_id, event_id AS seq, epoch_ms(ts) AS ms, event_id % 3 AS t,
+               CASE event_type WHEN 'click' THEN 'consume' WHEN 'error' THEN 'revoke' WHEN 'purchase' THEN 'has' ELSE 'save' END AS op FROM events),
+        each AS (SELECT user_id, seq, ms, op, k FROM ops, range(3) r(k) WHERE op = 'revoke' OR t = k),
+        seen AS (SELECT *, max(CASE WHEN op <> 'has' THEN n END) OVER (PARTITION BY user_id, k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+                 FROM (SELECT *, row_number() OVER (ORDER BY ms, seq) AS n FROM each)),
+        live AS (SELECT s.user_id, s.seq, s.op, coalesce(p.op = 'save' AND p.ms + 172800000 > s.ms, false) AS was
+                 FROM seen s LEFT JOIN seen p ON p.n = s.last AND p.user_id = s.user_id AND p.k = s.k)
+        SELECT user_id, seq, op, op = 'save' OR bool_or(was) AS found, (CASE WHEN op = 'save' THEN 1 ELSE count(*) FILTER (was) END)::BIGINT AS n FROM live GROUP BY user_id, seq, op""",
     "stream_dedup": "SELECT DISTINCT user_id || '-' || event_type AS token FROM events",
     "stream_windows": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOURS THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
