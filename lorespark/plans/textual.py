@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespark.functions import chunking
+from lorespark.functions import chunking, merging
 from lorespark.functions import text as T
 from lorespark.functions.vectors import cosine
 from lorespark.sources.work import spread
@@ -184,3 +184,39 @@ def adjacent_similarity(spark, sf_dir):
 
     rows = S.read(spark, sf_dir, "embeddings").withColumn("p", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
     return rows.where("p IS NOT NULL").select("vec_id", F.round(cosine(F.col("embedding"), F.col("p")), 6).alias("similarity"))
+
+
+_BLANK = r"[\s\p{Z}]"
+#: Lines as paragraphs, merged by a walk over them, and what is too long cut by another.
+_MERGED = rf"""lines AS (
+  SELECT doc_id, i, line, coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS begins
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE NOT regexp_full_match(line, '{_BLANK}*')),
+marked AS (SELECT *, sum(CASE WHEN k = 1 OR length(line) + 1 >= {chunking.MIN_SEGMENT} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM numbered),
+segs AS (SELECT doc_id, n, string_agg(line || chr(10), '' ORDER BY i) AS t, min(begins) AS begins FROM marked GROUP BY doc_id, n),
+vecs AS (SELECT *, list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','), lambda c: (length(lower(t)) - length(replace(lower(t), c, '')))::DOUBLE) AS v FROM segs),
+near AS (SELECT *, CASE WHEN sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(p, p)) > 0 THEN list_dot_product(v, p) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(p, p))) ELSE 0 END AS s
+         FROM (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY n) AS p FROM vecs)),
+walk AS (
+  SELECT doc_id, n, 0 AS g, length(t) AS size FROM near WHERE n = 1
+  UNION ALL SELECT w.doc_id, x.n, CASE WHEN turn THEN w.g + 1 ELSE w.g END, CASE WHEN turn THEN length(x.t) ELSE w.size + length(x.t) END
+  FROM walk w JOIN near x ON x.doc_id = w.doc_id AND x.n = w.n + 1,
+       LATERAL (SELECT (x.s < {chunking.SIMILARITY} AND w.size >= {chunking.MIN_CHARS}) OR w.size + length(x.t) > {chunking.MAX_CHARS} AS turn)),
+grouped AS (SELECT doc_id, g, string_agg(t, '' ORDER BY n) AS t, min(begins) AS begins FROM walk JOIN segs USING (doc_id, n) GROUP BY doc_id, g),
+single AS (SELECT d.doc_id FROM documents d LEFT JOIN segs s USING (doc_id) GROUP BY d.doc_id HAVING count(s.n) <= 1),
+cuts AS (
+  SELECT doc_id, g, 0 AS k, 0 AS at_, NULL::VARCHAR AS piece, t, begins FROM grouped WHERE length(t) > {chunking.MAX_CHARS}
+  UNION ALL SELECT doc_id, g, k + 1, at_ + took, substring(rest, 1, took), t, begins FROM (
+    SELECT *, CASE WHEN e > {chunking.MIN_CHARS} + 1 THEN e ELSE length(rest) END AS took FROM (
+      SELECT *, length(regexp_extract(rest, '(?s)^(.*[.?!\n])', 1)) AS e FROM (SELECT *, substring(t, at_ + 1, {merging.PIECE}) AS rest FROM cuts WHERE at_ < length(t))))),
+made AS (
+  SELECT doc_id, g, 0 AS k, t AS chunk, begins FROM grouped WHERE length(t) <= {chunking.MAX_CHARS} AND doc_id NOT IN (FROM single)
+  UNION ALL SELECT doc_id, g, k, regexp_replace(piece, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS c, begins FROM cuts WHERE k > 0 AND doc_id NOT IN (FROM single) AND length(c) > {chunking.MIN_PART}
+  UNION ALL SELECT doc_id, 0, 0, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), 0 FROM documents WHERE doc_id IN (FROM single))"""
+
+
+@query(f"WITH RECURSIVE {_MERGED} SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, k) - 1)::INT AS part, sha256(chunk) AS chunk_sha256, begins AS chunk_start FROM made")
+def semantic_merge(spark, sf_dir):
+    """semantic_chunks in column functions, before headings are put in front: likeness is by letters instead of a model."""
+    pages = spread(S.read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return merging.merge_chunks(pages).select("document_id", "part", F.sha2("chunk", 256).alias("chunk_sha256"), "chunk_start")
