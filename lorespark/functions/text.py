@@ -146,3 +146,29 @@ def task_number(time: Column, random: Column) -> Column:
 def file_size(size: Column) -> Column:
     kb, mb = size / 1024, size / (1024 * 1024)
     return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024 * 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
+
+
+def escape_html(text: Column) -> Column:
+    """text for the inside of an HTML page; null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds as seconds with one digit, as ``12.3s``; ``-`` for null.
+
+    Halves are rounded by the binary number that the seconds are, upwards if it is the half itself or above: 0.25 is 0.3 and 0.35, a little below, is 0.3 too.
+    """
+    n = F.abs(ms.cast("long"))
+    x = n / F.lit(1000.0)
+    # What 1000 x is beyond n, without an error: x in two halves of its digits.
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    product = x * 1000.0
+    beyond = (product - n) + ((high * 1000.0 - product) + (x - high) * 1000.0)
+    tenths = F.floor(n / 100) + F.when((n % 100 > 50) | ((n % 100 == 50) & (beyond >= 0)), 1).otherwise(0)
+    sign = F.when((ms < 0) & (n > 0), "-").otherwise("")
+    text = F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))
+    return F.coalesce(text, F.lit("-"))

@@ -173,6 +173,11 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.round(F.size(F.array_intersect(asked, tokens(text))) / F.greatest(F.size(asked), F.lit(1)), 6)
 
 
+def with_texts(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Results with the text (doc_id, text) that they are reranked by; one whose text is gone stays, with an empty one."""
+    return found.join(texts.select("doc_id", "text"), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def rerank(found: DataFrame, score: Column, k: int = FINAL_TOP) -> DataFrame:
     """The k best results of each query by another score; a query with one result keeps it as it is."""
     many = F.count("*").over(Window.partitionBy("query_id"))

@@ -83,7 +83,7 @@ def eligible_latest_results(spark, sf_dir):
 
 
 def _reranked(spark, sf_dir):
-    found = _eligible(spark, sf_dir).join(S.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = R.with_texts(_eligible(spark, sf_dir), S.read(spark, sf_dir, "documents"))
     found = found.join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
     return R.rerank(found, R.overlap_score(F.col("question"), F.col("text")))
 
@@ -92,6 +92,13 @@ def reranked_snippets(spark, sf_dir):
     return _reranked(spark, sf_dir).select("query_id", "doc_id", "rerank_score", "rank", snippet(F.col("text")).alias("snippet"))
 
 
+def reranked_without_texts(spark, sf_dir):
+    """Results of which the texts of every third document are gone."""
+    texts = S.read(spark, sf_dir, "documents").where("doc_id % 3 <> 1")
+    found = R.with_texts(_eligible(spark, sf_dir), texts).join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
+    return R.rerank(found, R.overlap_score(F.col("question"), F.col("text"))).select("query_id", "doc_id", "rerank_score", "rank", F.length("text").alias("n_chars"))
+
+
 def answer_contexts(spark, sf_dir):
     found = _reranked(spark, sf_dir).withColumn("page_no", F.lit(None).cast("int"))
     made = R.context(found.select("query_id", "rank", "doc_id", "file_name", "page_no", "text"))
@@ -132,7 +139,7 @@ def reranked_by_model(spark, sf_dir):
         order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
         return [(i, float(len(texts[i]))) for i in order[:k]] if len(question) % 3 == 1 else []
 
-    found = _eligible(spark, sf_dir).select("query_id", "doc_id", "rank").join(S.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = R.with_texts(_eligible(spark, sf_dir).select("query_id", "doc_id", "rank"), S.read(spark, sf_dir, "documents"))
     return R.rerank_by(found.join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id"), model)
 
 
@@ -142,10 +149,12 @@ re AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY query_id) > 1 THEN round(
 final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id)::INT AS rank FROM re QUALIFY rank <= 5),
 short AS (SELECT *, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS snippet FROM final)"""
 
+_THINNED = "JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '' ELSE text END AS text FROM documents) d USING (doc_id)"
+
 QUERIES |= {
     f.__name__: f
     for f in (
-        dense_cosine_topk, ivf_topk, bm25_topk, rrf_hybrid_topk, eligible_latest_results, reranked_snippets, answer_contexts, cited_answers, threshold_fallback, reranked_by_model,
+        dense_cosine_topk, ivf_topk, bm25_topk, rrf_hybrid_topk, eligible_latest_results, reranked_snippets, reranked_without_texts, answer_contexts, cited_answers, threshold_fallback, reranked_by_model,
     )
 }
 ORACLES |= {
@@ -158,6 +167,7 @@ ORACLES |= {
     "rrf_hybrid_topk": f"WITH {FUSED_SQL} SELECT * FROM fused",
     "eligible_latest_results": f"WITH {ELIGIBLE_SQL} SELECT query_id, doc_id, score, rank, kb_id, file_name, version FROM ok WHERE version = latest",
     "reranked_snippets": f"WITH {_FINAL} SELECT query_id, doc_id, rerank_score, rank, snippet FROM short",
+    "reranked_without_texts": f"WITH {_FINAL.replace('JOIN documents d USING (doc_id)', _THINNED)} SELECT query_id, doc_id, rerank_score, rank, length(text) AS n_chars FROM final",
     "answer_contexts": f"""WITH {_FINAL} SELECT query_id, sha256(string_agg('[来源' || rank || '] 文档：' || file_name || '，第1页' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank)) AS context_sha256,
         count(*)::INT AS n_sources FROM final GROUP BY ALL""",
     "cited_answers": f"""WITH {_FINAL} SELECT query_id, coalesce(string_agg(snippet || '[来源' || (rank // 2) || ']', chr(10) ORDER BY rank) FILTER (rank % 2 = 0), '') AS answer,

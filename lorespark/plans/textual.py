@@ -220,3 +220,13 @@ def semantic_merge(spark, sf_dir):
     """semantic_chunks in column functions, before headings are put in front: likeness is by letters instead of a model."""
     pages = spread(S.read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_no"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return merging.merge_chunks(pages).select("document_id", "part", F.sha2("chunk", 256).alias("chunk_sha256"), "chunk_start")
+
+
+@query(
+    r"""SELECT doc_id, sha256(replace(replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html_sha256,
+    CASE WHEN doc_id % 9 = 0 THEN '-' WHEN (doc_id * 50) % 1000 = 250 THEN (doc_id * 50 // 1000) || '.3s' ELSE printf('%.1fs', doc_id * 50 / 1000) END AS cost FROM documents"""
+)
+def display_formats(spark, sf_dir):
+    """Texts for a page, and durations of which every other one ends in a half."""
+    docs = S.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(T.escape_html(F.col("text")), 256).alias("html_sha256"), T.duration(F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") * 50)).alias("cost"))

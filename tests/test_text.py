@@ -97,3 +97,20 @@ def test_models():
     assert models.batched(flaky, sleep=lambda s: None)(["a"] * 23).shape == (23, 2) and calls == [10, 10, 10, 3]
     assert models.safe(lambda s, u: 1 / 0)("", "") == models.DEGRADED and models.safe(lambda s, u: " ok ")("", "") == "ok"
     assert models.extractive_chat("", "[来源1] 文档：a，第1页\nfirst line\nmore\n\n") == "first line[来源1]"
+
+
+def test_display_formats(spark):
+    from lorespark.functions.text import duration, escape_html
+
+    got = spark.createDataFrame([("<a href=\"x\">it's & that</a>",), (None,)], "t string").select(escape_html(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["&lt;a href=&quot;x&quot;&gt;it&#39;s &amp; that&lt;/a&gt;", ""]
+
+    def wanted(ms):
+        """To the nearest tenth of the exact binary number, halves up."""
+        from decimal import ROUND_HALF_UP, Decimal
+
+        return "-" if ms is None else f"{Decimal(ms / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)}s"
+
+    values = [None, 0, 49, 50, 149, 250, 350, 450, 1250, 12_345, 86_399_950, 2**53 - 1, *range(0, 60_000, 50)]
+    rows = spark.createDataFrame([(v,) for v in values], "ms long").select("ms", duration(F.col("ms"))).collect()
+    assert {r[0]: r[1] for r in rows} == {v: wanted(v) for v in values}
