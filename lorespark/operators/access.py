@@ -105,9 +105,17 @@ def delete_users(
     return tuple(remove(t, gone, "user_id") for t in (user, members, user_role))
 
 
+#: Roles of one code, at most, that get every permission.
+SEEDED = 1000
+
+
 def seed_permissions(role: DataFrame, permission: DataFrame, role_permission: DataFrame, code: str = "ADMIN") -> DataFrame:
-    """Rows that role_permission lacks for a role to have every permission; both seed tables are small by nature."""
-    pairs = role.where(F.col("code") == code).select("role_id").crossJoin(permission.select("permission_id"))
+    """Rows that role_permission lacks for the roles of a code, SEEDED at most, to have every permission."""
+    roles = [r[0] for r in role.where(F.col("code") == code).select("role_id").limit(SEEDED + 1).collect()]
+    if len(roles) > SEEDED:
+        raise ValueError(f"more than {SEEDED} roles have the code {code}")
+    each = F.explode(F.array(*map(F.lit, roles)).cast(f"array<{role.schema['role_id'].dataType.simpleString()}>"))
+    pairs = permission.select(each.alias("role_id"), "permission_id")
     return remove(pairs, role_permission, "role_id", "permission_id")
 
 

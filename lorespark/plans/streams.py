@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lorespark.sources.work import work_path
+from lorespark.sources.work import work_folder
 from lorespark.streaming import flows, sessions
 
 from . import standins as S
@@ -20,7 +20,7 @@ def _events(spark, sf_dir):
 
 
 def _end(spark, out, mode="append"):
-    return flows.run_to_end(spark, out, f"out_{uuid.uuid4().hex}", work_path(spark, "stream"), mode)
+    return flows.run_to_end(spark, out, f"out_{uuid.uuid4().hex}", f"{work_folder(spark, 'stream')}/checkpoint", mode)
 
 
 def stream_dedup(spark, sf_dir):

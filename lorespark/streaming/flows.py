@@ -109,6 +109,50 @@ def ingest(source: DataFrame, apply: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def bounded_files(spark: SparkSession, path: str, schema, max_bytes: int) -> DataFrame:
+    """A stream of Parquet files, of which a batch takes no more than max_bytes, or one file that is larger."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(path)
+
+
+def next_limit(limit: int, took: float, seconds: float, least: int, most: int) -> int:
+    """The bytes that the next batches may take: as they are while a batch takes half to twice the wanted seconds, else in proportion, at most four times as many."""
+    if seconds / 2 <= took <= seconds * 2:
+        return limit
+    return int(min(most, max(least, limit * min(4.0, seconds / max(took, 1e-3)))))
+
+
+def ingest_paced(
+    spark: SparkSession, path: str, schema, apply: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 60, first: int = 256 << 20, least: int = 16 << 20, most: int = 16 << 30
+) -> list[dict]:
+    """ingest what is at path, in batches whose bytes follow the time that the last one took. Gives (limit, batch, rows, seconds) of each batch.
+
+    A stream whose limit no longer fits is stopped and goes on from its checkpoint with another one; a batch that was cut short is done
+    again, as after any failure. What is made doesn't depend on the limits, given an apply as ``ingest`` asks for.
+    """
+    limit, done = max(least, min(first, most)), {}
+    while True:
+        query, fits = ingest(bounded_files(spark, path, schema, limit), apply, checkpoint), True
+        while fits and not query.awaitTermination(1):
+            fits = note(query, limit, done) is None or next_limit(limit, note(query, limit, done), seconds, least, most) == limit
+        if not fits:
+            query.stop()
+        last = note(query, limit, done)
+        if fits:
+            query.awaitTermination()  # raises what ended it, if it failed
+            return [done[b] for b in sorted(done)]
+        limit = next_limit(limit, last, seconds, least, most)
+
+
+def note(query: StreamingQuery, limit: int, done: dict[int, dict]) -> float | None:
+    """Take note of a query's batches; the seconds of its last one with rows."""
+    took = None
+    for p in query.recentProgress:
+        if p["numInputRows"]:
+            took = p["durationMs"].get("triggerExecution", 0) / 1000
+            done.setdefault(p["batchId"], {"limit": limit, "batch": p["batchId"], "rows": p["numInputRows"], "seconds": took})
+    return took
+
+
 def run_to_end(spark: SparkSession, out: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """All that a stream over present input gives: a read of Parquet files beside the checkpoint, in a shared folder.
 

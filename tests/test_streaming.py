@@ -66,3 +66,28 @@ def test_live_keys_expire(spark, tmp_path):
     out = flows.run_to_end(spark, flows.live_keys(stream, "k", "ts", 60), "live", str(tmp_path / "c"))
     got = {(r.k, r.n) for r in out.collect()}
     assert {(1, 2), (2, 1)} <= got
+
+
+def test_paced_ingest(spark, tmp_path):
+    """Batches keep to the limit, which grows while they are quick; what is made is the same."""
+    src, rows = str(tmp_path / "in"), 40_000
+    spark.range(rows).selectExpr("id", "uuid() AS v").repartition(12).write.parquet(src)
+    largest = max(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    for i, (first, seconds) in enumerate(((2 * largest, 600.0), (largest // 2, 0.0))):
+        sizes, seen = {}, {}
+
+        def apply(batch, number):
+            sizes[number], got = batch.count(), [r.id for r in batch.select("id").collect()]
+            seen[number] = got
+
+        least = largest // 2 if seconds == 0.0 else 1
+        done = flows.ingest_paced(spark, src, "id long, v string", apply, str(tmp_path / f"c{i}"), seconds=seconds, first=first, least=least, most=2 * largest)
+        assert sorted(x for own in seen.values() for x in own) == list(range(rows))
+        assert done and all(d["limit"] <= 2 * largest for d in done) and len(sizes) >= (6 if i == 0 else 12)
+        assert all(n <= (2 if i == 0 else 1) * rows / 12 * 1.2 for n in sizes.values())
+
+
+def test_next_limit():
+    assert flows.next_limit(100, 60, 60, 10, 1000) == 100 and flows.next_limit(100, 119, 60, 10, 1000) == 100
+    assert flows.next_limit(100, 600, 60, 20, 1000) == 20 and flows.next_limit(100, 240, 60, 10, 1000) == 25
+    assert flows.next_limit(100, 1, 60, 10, 1000) == 400 and flows.next_limit(400, 0, 60, 10, 1000) == 1000
