@@ -8,6 +8,7 @@ from lorespark.operators import access, lifecycle, lists
 from lorespark.operators import retrieval as R
 from lorespark.operators.asof import asof_join
 from lorespark.operators.contains import ContainsIndex
+from lorespark.operators.quantised import CodedVectors
 from lorespark.operators.segments import TextIndex, VectorIndex
 from lorespark.sources.collections import Collections
 from lorespark.sources.log import LogTable
@@ -64,6 +65,18 @@ def kept_dense_topk(spark, sf_dir):
     return index.search(rows.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 20, threshold=R.THRESHOLD)
 
 
+@query()
+def quantised_topk(spark, sf_dir):
+    """embeddings kept as codes in two batches; the 200 that look nearest to a query are compared exactly."""
+    rows = retrieval.vectors(spark, sf_dir)
+    index = CodedVectors(LogTable(spark, work_folder(spark, "codes")), "doc_id")
+    index.create()
+    index.table.create("list int, code binary, doc_id long, embedding array<float>")
+    for i in range(2):
+        index.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i))
+    return index.search(rows.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 20)
+
+
 _COLLECTION = "SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE NOT (vec_id % 3 = 1 AND label = 2)"
 
 
