@@ -190,6 +190,26 @@ class Matrix:
     def stack(*parts: Matrix) -> Matrix:
         return Matrix.of(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("at", "values", "sizes")))
 
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Sizes, feature numbers and values, compressed without loss: numbers as steps, both by planes of bytes, which repeat much."""
+        step = np.diff(self.at, prepend=np.int32(0))
+        planes = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes() for x in (step.astype("<i4"), self.values.astype("<f4")))
+        return self.sizes.astype("<i8").tobytes(), *(pa.compress(x, codec="zstd", asbytes=True) for x in planes)
+
+    @staticmethod
+    def unpacked(parts: list[tuple[bytes, bytes, bytes]]) -> Matrix:
+        """The rows of packed matrices, one after the other; no part is held twice."""
+        sizes = [np.frombuffer(s, "<i8") for s, _, _ in parts]
+        n = sum(int(s.sum()) for s in sizes)
+        at, values, end = np.empty(n, "<i4"), np.empty(n, "<f4"), 0
+        for own, (_, *planes) in zip(sizes, parts):
+            begin, end = end, end + int(own.sum())
+            for out, plane in zip((at, values), planes):
+                plane = np.frombuffer(pa.decompress(plane, 4 * (end - begin), codec="zstd"), np.uint8)
+                out[begin:end] = np.ascontiguousarray(plane.reshape(4, -1).T).view(out.dtype)[:, 0]
+            np.cumsum(at[begin:end], dtype="<i4", out=at[begin:end])
+        return Matrix.of(at, values, np.concatenate([np.empty(0, np.int64), *sizes]))
+
     def dense(self) -> np.ndarray:
         """The text statistics, which are the last of each row."""
         return self.values[(self.begin + self.sizes - DENSE)[:, None] + np.arange(DENSE)]

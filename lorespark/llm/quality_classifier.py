@@ -33,6 +33,8 @@ MAX_POSITIVES = 2500
 CHUNK = 1 << 21
 #: Bytes of text that a task learns from, at least: about a chunk.
 TASK_BYTES = 4 << 20
+#: Positives that travel together.
+PACK = 256
 #: Mini-batches of a chunk, and steps of the two fits.
 BATCHES = 8
 STEPS, PRIOR_STEPS = 100, 10
@@ -97,19 +99,27 @@ def learn(positives: Matrix, unlabelled: Matrix) -> tuple[np.ndarray, float]:
     return adam(gradient, STEPS, RATE), prior
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, vals) of some rows to packed matrices of up to PACK rows."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PACK):
+            at, values = (c.to_pylist() for c in batch.slice(begin, PACK).columns)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in Matrix(at, values).packed()], names=["sizes", "at", "vals"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, chunk: int = CHUNK) -> np.ndarray:
     """Weights learned from rows outside the held-out fold. Without positives or documents all weights are zero."""
     spark = docs.sparkSession
     free = quality_labels(labels).where(~held_out(F.col("doc_id"), FOLDS) & (F.col("quality") == 1))
     sample = bounded(free, max_positives, "positive").withColumn("label", F.lit(1))
-    found = sampled(sample, docs).select("at", "vals").toArrow()  # no more than training.MAX_BYTES
-    if not found.num_rows:
+    # No more than training.MAX_BYTES before they are packed; the driver hands them on as they come.
+    parts = [tuple(r) for r in sampled(sample, docs).select("at", "vals").mapInArrow(pack, "sizes binary, at binary, vals binary").collect()]
+    if not parts:
         return np.zeros(SIZE + 1)
-    found = Matrix(found["at"].to_pylist(), found["vals"].to_pylist())
-    shared = spark.sparkContext.broadcast((found.at, found.values, found.sizes))
+    shared = spark.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positives = Matrix.of(*shared.value)
+        positives = Matrix.unpacked(shared.value)
         total = np.zeros(SIZE + 2)  # in the last place the number of documents
 
         def close(at: list[bytes], values: list[bytes]) -> None:

@@ -142,6 +142,15 @@ def test_matrix_is_its_dense_form():
     assert np.allclose(features.Matrix.stack(m.pick(np.array([5, 2])), m).dot(w), (full @ w)[[5, 2, *range(7)]])
 
 
+def test_packed_matrices_come_back_whole():
+    rng = np.random.default_rng(7)
+    parts = [small(rng, n, 20)[0] for n in (7, 0, 1, 300)]
+    want, got = features.Matrix.stack(*parts), features.Matrix.unpacked([m.packed() for m in parts])
+    for column in ("at", "values", "sizes", "begin"):
+        assert np.array_equal(getattr(want, column), getattr(got, column))
+    assert features.Matrix.unpacked([]).sizes.size == 0
+
+
 @pytest.mark.parametrize("prior", [0.3, 0.95])
 def test_risk_and_its_gradient(prior):
     rng = np.random.default_rng(2)
