@@ -45,24 +45,34 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and doc_id != MAX_ID and zlib.crc32(str(doc_id).encode()) % FOLDS == FOLD
 
 
-def byte_slices(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the first text, strings of ORDER + 1 bytes as numbers, how many of each text), about SLICE bytes at a time."""
-    at, part, size = 0, [], 0
-    for i, text in enumerate(texts):
-        part.append(bytes([BEFORE]) * ORDER + text + bytes([END]))
-        size += len(text)
-        if size >= SLICE or i + 1 == len(texts):
-            flat = np.frombuffer(b"".join(part), np.uint8)
-            n = np.array([len(p) - ORDER for p in part], np.int64)
-            starts = np.cumsum(n + ORDER) - (n + ORDER)
-            grams = np.zeros(len(flat) - ORDER, np.int64)
-            for j in range(ORDER + 1):
-                grams = (grams << 8) | flat[j : len(flat) - ORDER + j]
-            keep = np.ones(len(grams), bool)
-            for j in range(ORDER):  # those that reach into the next text
-                keep[starts[1:] - 1 - j] = False
-            yield at, grams[keep], n
-            at, part, size = i + 1, [], 0
+def byte_slices(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first text, ascending numbers) of at most SLICE strings at a time, each string once.
+
+    A number is a string of ORDER + 1 bytes and, in its last 16 bits, its text's place after the first: one sort of plain
+    numbers brings equal strings together and keeps their texts. Slices also end within texts.
+    """
+    flat = np.frombuffer(b"".join([*(bytes([BEFORE]) * ORDER + t + bytes([END]) for t in texts), bytes(ORDER)]), np.uint8)
+    ends = np.cumsum(np.array([len(t) + ORDER + 1 for t in texts], np.int64))
+    a = 0
+    while a < len(flat) - ORDER:
+        at = int(np.searchsorted(ends, a, "right"))
+        b = min(a + SLICE, int(ends[min(at + (1 << 16), len(ends)) - 1]))
+        own = ends[at : int(np.searchsorted(ends, b)) + 1]
+        numbers = np.zeros(b - a, np.uint64)
+        for j in range(ORDER + 1):
+            numbers <<= 8
+            numbers |= flat[a + j : b + j]
+        numbers <<= 16
+        numbers |= np.repeat(np.arange(len(own), dtype=np.uint16), np.diff(np.minimum(own, b), prepend=a))
+        keep = np.ones(b - a, bool)
+        for j in range(ORDER):  # those that reach into the next text
+            last = own - 1 - j - a
+            keep[last[(last >= 0) & (last < b - a)]] = False
+        numbers = numbers[keep]
+        numbers.sort()
+        if len(numbers):
+            yield at, numbers
+        a = b
 
 
 def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -128,6 +138,14 @@ class Numbers(dict):
 class Block:
     """The documents of a block: their words and strings, and both once each in the order that buckets are sent them."""
 
+    #: Distinct strings, their counts in training documents and their buckets, by bucket; their order if all were ascending.
+    grams: np.ndarray
+    gram_counts: np.ndarray
+    gram_bucket: np.ndarray
+    gram_order: np.ndarray
+    #: For each slice: the place of its first text, its distinct strings' places among all ascending ones, how often each occurs, and the text of each occurrence.
+    slices: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+
     def __init__(self, table: pa.Table, n_buckets: int):
         import xxhash
 
@@ -149,19 +167,38 @@ class Block:
         place[order] = np.arange(len(order))
         self.flat = place[np.concatenate(flat)] if words else np.empty(0, np.int64)
         self.n_buckets = n_buckets
-
-    def strings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct strings by bucket, their counts in training documents, and their buckets."""
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.float64)]
-        for at, grams, n in byte_slices(self.texts):
-            which, distinct = pd.factorize(grams)
-            keys.append(distinct)
-            counts.append(np.bincount(which, np.repeat(self.train[at : at + len(n)], n), len(distinct)))
-        which, distinct = pd.factorize(np.concatenate(keys))
-        count = np.bincount(which, np.concatenate(counts), len(distinct)).astype(np.int64)
-        bucket = distinct % self.n_buckets
-        order = np.lexsort((distinct, bucket))
-        return distinct[order], count[order], bucket[order]
+        self.find_strings()
+
+    def find_strings(self) -> None:
+        found = []
+        for at, numbers in byte_slices(self.texts):
+            doc = numbers.astype(np.uint16)
+            numbers >>= 16
+            first, end = cut_points(numbers)
+            count = np.add.reduceat(self.train[at : at + (1 << 16)][doc], first, dtype=np.int64)
+            found.append((at, numbers[first].astype(np.int64), count, (end - first).astype(np.int32), doc))
+        every = np.concatenate([np.empty(0, np.int64), *(f[1] for f in found)])
+        every.sort()
+        every = every[cut_points(every)[0]]
+        counts = np.zeros(len(every), np.int64)
+        self.slices = []
+        for at, own, count, times, doc in found:
+            place = np.searchsorted(every, own).astype(np.int32)
+            counts[place] += count
+            self.slices.append((at, place, times, doc))
+        bucket = every % self.n_buckets
+        self.gram_order = np.argsort(bucket.astype(np.uint16) if self.n_buckets <= 1 << 16 else bucket, kind="stable")
+        self.grams, self.gram_counts, self.gram_bucket = every[self.gram_order], counts[self.gram_order], bucket[self.gram_order]
+
+    def scores(self, log_p: np.ndarray) -> np.ndarray:
+        """The sum of each document's log_p, which are those of grams."""
+        ascending = np.empty(len(log_p))
+        ascending[self.gram_order] = log_p
+        out = np.zeros(len(self.texts))
+        for at, place, times, doc in self.slices:
+            n = min(1 << 16, len(out) - at)
+            out[at : at + n] += np.bincount(doc, np.repeat(ascending[place], times), n)
+        return out
 
 
 def pieces_of(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
@@ -175,8 +212,8 @@ def send(table: pa.Table, n_buckets: int) -> pa.Table:
     """A row for each bucket: the block's distinct words, joined by blanks, and strings, with their counts in training documents."""
     block = Block(table, n_buckets)
     word_counts = np.bincount(block.flat, np.repeat(block.train, block.n_words), len(block.words)).astype("<u4")
-    grams, gram_counts, gram_bucket = block.strings()
-    words_at, grams_at = pieces_of(block.word_bucket), pieces_of(gram_bucket)
+    grams, gram_counts = block.grams, block.gram_counts
+    words_at, grams_at = pieces_of(block.word_bucket), pieces_of(block.gram_bucket)
     buckets = sorted(words_at.keys() | grams_at.keys())
     rows: list[list] = [[], [], [], []]
     for b in buckets:
@@ -239,15 +276,7 @@ def score_block(table: pa.Table, answers: pa.Table, n_buckets: int, tokens: int,
     known = np.concatenate([[0], np.cumsum(each > 0)])
     n = block.n_words
     base = logs[stop] - logs[stop - n] + math.log10(ends + 1) - (n + 1) * math.log10(tokens + kinds + 1)
-    grams, _, _ = block.strings()
-    order = np.argsort(grams)
-    grams, log_p = grams[order], joined(answers, "logs", "<f4")[order].astype(np.float64)
-    score = np.zeros(len(block.texts))
-    for at, own, count in byte_slices(block.texts):
-        which, distinct = pd.factorize(own)
-        sums = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(grams, distinct)][which])])
-        last = np.cumsum(count)
-        score[at : at + len(count)] = sums[last] - sums[last - count]
+    score = block.scores(joined(answers, "logs", "<f4"))
     columns = [
         pa.array([None if d == MAX_ID else d for d in block.docs], pa.int64()), pa.array(~block.train), pa.array(n + 1),
         pa.array(known[stop] - known[stop - n] + (ends > 0)), pa.array(base), pa.array(score),

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from frames import DATA, rows
@@ -89,6 +90,36 @@ def test_ppm_beats_the_base_on_held_out_rows(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
+def block_table(texts):
+    return pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.binary()), "block": pa.array([0] * len(texts), pa.int32())})
+
+
+def test_ppm_cuts_a_block_into_strings_once(monkeypatch):
+    texts, calls, cut = [b"some words, some more", b"", b"other words"] * 20, [], ppm.byte_slices
+    table = block_table(texts)
+    sent = ppm.send(table, 17)
+    counts = [bytes(2 * len(c)) for c in sent["word_counts"].to_pylist()]
+    logs = [ppm.packed(np.full(len(c) // 4, -1, "<f4")) for c in sent["gram_counts"].to_pylist()]
+    answers = pa.table({"bucket": sent["bucket"], "counts": pa.array(counts, pa.binary()), "logs": pa.array(logs, pa.binary())})
+    monkeypatch.setattr(ppm, "byte_slices", lambda t: calls.append(1) or cut(t))
+    got = ppm.score_block(table, answers, 17, 100, 10, 50)
+    assert got["score"].to_pylist() == [-len(t) - 1 for t in texts] and len(calls) == 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 1 << 20])
+def test_ppm_slices(monkeypatch, size):
+    """Slices that end anywhere, and more texts than a slice's 16 bits tell apart, lose nothing."""
+    monkeypatch.setattr(ppm, "SLICE", size)
+    texts = [b"", b"a" * 40, b"abcabcabd", b"", b"\xe6\x97\xa5" * 9, b"x"] + [b"abc", b""] * (35_000 if size > 50 else 3)
+    block = ppm.Block(block_table(texts), 7)
+    grams = [[int.from_bytes(c[i : i + 6], "big") for i in range(len(c) - 5)] for c in (bytes([ppm.BEFORE] * 5) + t + bytes([ppm.END]) for t in block.texts)]
+    count = Counter(g for own, learned in zip(grams, block.train) if learned for g in own)
+    want = sorted({g for own in grams for g in own}, key=lambda g: (g % 7, g))
+    assert block.grams.tolist() == want and block.gram_counts.tolist() == [count[g] for g in want]
+    log_p = {g: -i / 8 for i, g in enumerate(want)}
+    assert np.allclose(block.scores(np.array([log_p[g] for g in want])), [sum(map(log_p.__getitem__, own)) for own in grams])
+
+
 def test_ppm_empty(empty):
     assert ppm.score(empty).count() == 0
 
