@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-Encoding starts from single characters and merges the adjacent pair whose joined piece scores highest, leftmost first,
-from an agenda that is ordered by score. A vocabulary whose pieces never have the blank mark after another character
+Encoding starts from single characters and merges the adjacent pair whose joined piece scores highest, leftmost first.
+The new words of a batch do so side by side in arrays, one merge of each at a time; long ones have an agenda that is ordered
+by score. A vocabulary whose pieces never have the blank mark after another character
 lets texts fall apart before each run of marks, so equal words are encoded once in a task. New words of each Arrow
 batch are held against the sentencepiece library, and a difference is an error.
 """
@@ -10,11 +11,12 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,13 @@ MARK = "▁"
 #: Remembered words of a task; forgetting them changes no result.
 MEMO = 600_000
 SLICE = 1 << 20
+#: Characters of the words that are merged side by side, up to each number; longer words are merged by themselves.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, 40, 64)
+#: Symbols that are merged side by side.
+CELLS = 1 << 18
+#: Symbols are characters, by their code, and pieces of several characters, numbered from CHARACTERS on.
+CHARACTERS, NOTHING, BITS = 0x110000, (1 << 21) - 1, 21
+NEVER = np.iinfo(np.int32).max
 
 
 class Vocabulary:
@@ -51,6 +60,94 @@ class Vocabulary:
         self.special = self.silent | set(self.byte) | {self.unknown}
         self.end = self.library.eos_id()
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.score)
+        self.spelled: dict[int, list[int]] = {}
+        self.is_special = np.zeros(len(self.pieces), bool)
+        self.is_special[list(self.special)] = True
+        self.tabulate()
+
+    def tabulate(self) -> None:
+        """Tables of symbols: the id of each, and for two that make a piece that piece and its place by cost."""
+        number = {p: CHARACTERS + i for i, p in enumerate(p for p in self.score if len(p) > 1)}
+        symbol = {p: ord(p) for p in self.score if len(p) == 1} | number
+        self.symbol_id = np.full(CHARACTERS + len(number), -1, np.int32)
+        self.symbol_id[list(symbol.values())] = [self.id[p] for p in symbol]
+        place = {c: i for i, c in enumerate(sorted(set(self.cost.values())))}
+
+        def part(p: str) -> int | None:
+            return ord(p) if len(p) == 1 else number.get(p)
+
+        pairs = [(a << BITS | b, n, place[self.cost[p]]) for p, n in number.items() for i in range(1, len(p)) if (a := part(p[:i])) is not None and (b := part(p[i:])) is not None]
+        keys, made, by_cost = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.pairs = pd.Index(keys)
+        self.made, self.by_cost = np.append(made, NOTHING).astype(np.int32), np.append(by_cost, NEVER).astype(np.int32)  # the last: no pair
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many marked words, one word's after another's, and how many each has."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        ids, counts, a = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+        for width in WIDTHS:
+            b = int(np.searchsorted(size, width, "right", sorter=order))
+            while a < b:
+                some = order[a : min(b, a + CELLS // width)]
+                own, n = self.merge_side_by_side([words[i] for i in some.tolist()], size[some], width)
+                ids.append(own)
+                counts.append(n)
+                a += len(some)
+        for i in order[a:].tolist():
+            own = self.merge(words[i])
+            ids.append(np.array(own, np.int32))
+            counts.append(np.array([len(own)], np.int64))
+        by_size = np.concatenate(counts)
+        start, n = np.empty_like(by_size), np.empty_like(by_size)
+        start[order], n[order] = np.cumsum(by_size) - by_size, by_size
+        return np.concatenate(ids)[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def merge_side_by_side(self, words: list[str], size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """As merge_all, for words of 1 to width characters: a row of symbols for each, and a last column that holds nothing."""
+        row = width + 1
+        symbols = np.full((len(words), row), NOTHING, np.int64)
+        symbols[np.arange(row) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        pair = np.full((len(words), row), -1, np.int32)
+        inside = np.arange(row) < size[:, None] - 1
+        pair[inside] = self.pairs.get_indexer((symbols[:, :-1] << BITS | symbols[:, 1:])[inside[:, :-1]])
+        cost = self.by_cost[pair]
+        # The next and the last symbol of each; before the first comes the last column of the row above.
+        after, before = np.tile(np.arange(1, row + 1), (len(words), 1)), np.tile(np.arange(-1, row - 1), (len(words), 1))
+        live = np.arange(len(words))
+        flat_symbols, flat_pair, flat_cost, flat_after, flat_before = (x.ravel() for x in (symbols, pair, cost, after, before))
+        while len(live):
+            best = cost[live].argmin(axis=1)  # the first of equal ones
+            at = live * row + best
+            some = flat_cost[at] < NEVER
+            live, at = live[some], at[some]
+            start = live * row
+            gone = start + flat_after[at]
+            new = self.made[flat_pair[at]].astype(np.int64)
+            flat_symbols[at], flat_symbols[gone], flat_cost[gone] = new, -1, NEVER
+            flat_after[at] = flat_after[gone]
+            right, left = start + flat_after[at], start + flat_before[at]
+            flat_before[right] = at - start
+            found = self.pairs.get_indexer(np.concatenate([new << BITS | flat_symbols[right], flat_symbols[left] << BITS | new]))
+            for place, own in ((at, found[: len(at)]), (left, found[len(at) :])):
+                flat_pair[place], flat_cost[place] = own, self.by_cost[own]
+        kept = (symbols != NOTHING) & (symbols >= 0)
+        symbol, n = symbols[kept], kept.sum(axis=1)
+        ids = self.symbol_id[symbol]
+        if (strange := ids < 0).any():
+            spelled = [self.spell(c) for c in symbol[strange].tolist()]
+            length = np.ones(len(ids), np.int64)
+            length[strange] = [len(x) for x in spelled]
+            n = np.add.reduceat(length, np.cumsum(n) - n)
+            ids, strange = np.repeat(ids, length), np.repeat(strange, length)
+            ids[strange] = [i for x in spelled for i in x]
+        return ids, n
+
+    def spell(self, character: int) -> list[int]:
+        """The ids of a character that is no piece."""
+        if character not in self.spelled:
+            self.spelled[character] = [self.byte_id[b] for b in chr(character).encode()] if self.byte_id else [self.unknown]
+        return self.spelled[character]
 
     def merge(self, text: str) -> list[int]:
         """The ids of a marked text."""
@@ -76,7 +173,7 @@ class Vocabulary:
         for s in symbols:
             if s:
                 found = id_of(s)
-                out += [found] if found is not None else [self.byte_id[b] for b in s.encode()] if self.byte_id else [self.unknown]
+                out += [found] if found is not None else self.spell(ord(s))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -94,11 +191,17 @@ class Vocabulary:
         return "".join(out) + raw.decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a file, once in a worker."""
+    return Vocabulary(path)
+
+
 class Encoder:
     """ids (little-endian int32 bytes) and decoded texts, by remembered words."""
 
     def __init__(self, path: str, check: bool = True):
-        self.vocabulary = Vocabulary(path)
+        self.vocabulary = vocabulary(path)
         self.check = check
         self.memo: dict[str, bytes] = {}
         self.changed: dict[str, str] = {}  # words that decode to another text than their own
@@ -114,19 +217,23 @@ class Encoder:
         return marked.replace(MARK, "\0" + MARK).split("\0")[1:] if "\0" not in text else re.findall(f"{MARK}[^{MARK}]*", marked)
 
     def learn(self, new: list[str]) -> None:
-        new.sort(key=lambda c: c.endswith(MARK))  # marks alone come last: nothing may follow them
-        ids = [self.vocabulary.merge(c) for c in new]
+        marks = [c for c in new if c.endswith(MARK)]
+        words = len(new) - len(marks)
+        new = [c for c in new if not c.endswith(MARK)] + marks  # marks alone come last: nothing may follow them
+        ids, n = self.vocabulary.merge_all(new)
+        ends = np.concatenate([[0], np.cumsum(n)])
         if self.check:
             known = self.vocabulary.merge(MARK + "a")  # a first word, as the library would take the first mark away
-            words = sum(not c.endswith(MARK) for c in new)
             for at, to in [*((a, min(a + 10_000, words)) for a in range(0, words, 10_000)), *((a, a + 1) for a in range(words, len(new)))]:
-                if self.vocabulary.library.encode("a" + "".join(new[at:to])) != known + [i for own in ids[at:to] for i in own]:
+                if self.vocabulary.library.encode("a" + "".join(new[at:to])) != known + ids[ends[at] : ends[to]].tolist():
                     raise ValueError("the ids differ from the sentencepiece library's")
-        for c, own in zip(new, ids):
-            self.memo[c] = array("i", own).tobytes()
-            # Pieces alone spell their own word; only bytes, unknowns and controls can spell another.
-            if not self.vocabulary.special.isdisjoint(own) and (text := self.vocabulary.decode(own)) != c.replace(MARK, " "):
-                self.changed[c] = text
+        data, bounds = ids.astype("<i4").tobytes(), (4 * ends).tolist()
+        self.memo.update(zip(new, map(data.__getitem__, map(slice, bounds, bounds[1:]))))
+        # Pieces alone spell their own word; only bytes, unknowns and controls can spell another.
+        special = np.flatnonzero(self.vocabulary.is_special[ids])
+        for w in np.unique(np.searchsorted(ends, special, "right") - 1).tolist():
+            if (text := self.vocabulary.decode(ids[ends[w] : ends[w + 1]].tolist())) != new[w].replace(MARK, " "):
+                self.changed[new[w]] = text
 
     def __call__(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         split = [self.chunks(t) for t in texts]

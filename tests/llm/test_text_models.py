@@ -300,6 +300,41 @@ def test_piece_texts():
         assert own == [*sp.encode(t), sp.eos_id()] and text == sp.decode(own)
 
 
+def test_short_words_are_merged_side_by_side(monkeypatch):
+    """Words get the ids that merging each by itself gives, without an agenda for each."""
+    vocabulary, rng = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model")), np.random.default_rng(5)
+    letters = np.array(list("aaaeeettinosrh" + pieces.MARK + "éß日本🎉\0\n<0A>"))
+    made = {pieces.MARK + "".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(3000)}
+    words = [*made, *(pieces.MARK + c * n for c in ("a", "ab", "=", " ", "日") for n in (1, 2, 5, 62, 63, 64, 65, 200)), *vocabulary.score]
+    want, agendas, merge = [vocabulary.merge(w) for w in words], [], pieces.Vocabulary.merge
+    for cells in (1 << 18, 64):
+        monkeypatch.setattr(pieces, "CELLS", cells)
+        ids, n = vocabulary.merge_all(words)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in vocabulary.merge_all([])] == [0, 0]
+    monkeypatch.setattr(pieces.Vocabulary, "merge", lambda self, w: agendas.append(w) or merge(self, w))
+    pieces.Encoder(public_tokenizers.path("piece_bpe_32k.model"))([f"word{i} other{i}" for i in range(100)])
+    assert len(agendas) <= 1  # the check's first word
+
+
+def test_words_of_a_vocabulary_with_ties(tmp_path):
+    """Pieces of one score merge leftmost first; characters that are no piece are unknown where no bytes are."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = 2, True, False
+    kinds = type(proto.pieces.add(piece="<unk>", score=0, type=2))
+    for p, score in ((pieces.MARK, -9), ("a", -9), ("b", -9), ("ab", -1), ("ba", -1), ("aa", -1), ("aba", -2), ("xa", -2), ("abab", -3)):
+        proto.pieces.add(piece=p, score=score, type=kinds.NORMAL)
+    path = tmp_path / "ties.model"
+    path.write_bytes(proto.SerializeToString())
+    vocabulary = pieces.Vocabulary(str(path))
+    words = [pieces.MARK + "".join("abx"[i // 3**k % 3] for k in range(n)) for n in range(7) for i in range(3**n)]
+    ids, n = vocabulary.merge_all(words)
+    want = [vocabulary.merge(w) for w in words]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_pieces_digest(spark):
     got = {r.doc_id: r for r in queries.op9_sentencepiece(spark, DATA).collect()}
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
