@@ -14,23 +14,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lorespark.sources.log import Change, LogTable, State
-from lorespark.sources.work import written
+from lorespark.sources.work import tidied, written
 
 from .ivf import centroids, unit
+from .postings import WORDS, inverted, joined, scored, thinned
 from .retrieval import K1, MANY_TERMS, QUERY_BYTES, ROUTE_TOP, B, tokens, top
 
-#: Documents of a cell (about), whose postings of a term are one row; segments of a tier that are merged.
-CELL, FAN = 128, 4
+#: Documents of a cell, which is scored or skipped as one; cells of a block (about), whose postings of a term are one row; segments of a tier that are merged.
+CELL, BLOCK, FAN = 128, 32, 4
 #: Values of a filter that is handed to the scan as a list.
 LISTED = 2000
 #: What scores are rounded by, twice.
 SLACK = 1e-4
 
-POSTING = "struct<doc_id: long, tf: long, dl: long>"
-
 
 def among(column: str, values: list) -> Column:
     """Whether a column has one of the values: as ``isin``, in one call to Spark instead of one for each value."""
@@ -41,9 +39,10 @@ def among(column: str, values: list) -> Column:
 
 
 class TextIndex:
-    """BM25 postings. A row has a term's postings in a cell of a segment, sorted by term, with the largest count and the smallest length in it."""
+    """BM25 postings. A row has a term's postings in a block of documents of a segment; a block is BLOCK cells, and has a row of its documents too (``postings``)."""
 
-    SCHEMA = f"term string, segment string, cell int, n long, most long, shortest long, postings array<{POSTING}>"
+    SCHEMA = "term string, segment string, block int, n long, words long, docs array<int>, tfs array<int>, ids array<long>"
+    ROWS = "term string, block int, n long, words long, docs array<int>, tfs array<int>, ids array<long>"
 
     def __init__(self, spark: SparkSession, path: str):
         self.table = LogTable(spark, path)
@@ -51,44 +50,56 @@ class TextIndex:
     def create(self) -> None:
         self.table.create(self.SCHEMA)
 
-    def _blocks(self, postings: DataFrame, docs: int, segment: str) -> DataFrame:
-        """Rows of a segment from (term, doc_id, tf, dl)."""
-        cells = max(1, math.ceil(docs / CELL))
-        rows = postings.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
-        one = F.struct("doc_id", "tf", "dl").cast(POSTING)
-        rows = rows.groupBy("term", "cell").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("shortest"), F.array_sort(F.collect_list(one)).alias("postings"))
-        return rows.withColumn("segment", F.lit(segment)).repartitionByRange("term", "cell")
+    def _segment(self, rows: DataFrame, tier: int) -> tuple[Change, int, int]:
+        """A change that adds rows as a segment, with its documents and their words. A task's rows are one block, in the order of terms."""
+        segment = uuid.uuid4().hex
+        with tidied(self.table.spark):
+            change = self.table.write(rows.withColumn("segment", F.lit(segment)), segment=segment, tier=tier, docs=0)
+        if not change.add:
+            return change, 0, 0
+        (folder, facts), *_ = change.parts.items()
+        written_rows = self.table.spark.read.schema(self.SCHEMA).parquet(f"{self.table.path}/{folder}")
+        sizes = written_rows.where("term = ''").agg(F.sum("n").alias("docs"), F.sum("words").alias("words")).first()
+        facts["docs"] = sizes["docs"]
+        return change, sizes["docs"], sizes["words"]
 
     def add(self, docs: DataFrame) -> None:
-        """Add documents (doc_id, text) as a segment. doc_ids must be new; ``remove`` old ones first. A document without words has one posting of an empty term."""
-        parts = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms")).select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term"))
-        counted = written(parts.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "counted")
-        sizes = counted.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("docs"), F.sum("dl").alias("words")).first()
-        segment = uuid.uuid4().hex
-        blocks = self._blocks(counted.withColumn("term", F.coalesce("term", F.lit(""))), sizes["docs"], segment)
-        if sizes["docs"]:
-            self.table.append(blocks, "term", "cell", sums={"docs": sizes["docs"], "words": sizes["words"] or 0}, segment=segment, tier=0, docs=sizes["docs"])
+        """Add documents (doc_id, text) as a segment. doc_ids must be new; ``remove`` old ones first.
+
+        Documents are dealt into blocks by a hash of their ids, a block to a task. Only their texts are shuffled: postings are made where they are written.
+        """
+        n = docs.count()
+        if not n:
+            return
+        blocks = max(math.ceil(n / (BLOCK * CELL)), min(math.ceil(n / CELL), self.table.spark.sparkContext.defaultParallelism))
+        dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        words = dealt.repartitionById(blocks, F.col("block")).select("block", "doc_id", tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+        change, found, total = self._segment(words.mapInArrow(inverted(blocks), self.ROWS), 0)
+        if found:
+            change.sums = {"docs": found, "words": total}
+            self.table.transact(lambda now: change, "append")
 
     def remove(self, ids: DataFrame) -> None:
-        """Take documents (doc_id) out: the rows of the cells that hold them are written anew without them. Others' ids change nothing."""
-        ids = written(ids.select(F.col("doc_id").cast("long")).distinct(), "removed")
+        """Take documents (doc_id) out: the rows that hold them are written anew without them. Others' ids change nothing."""
+        ids = written(ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct(), "removed")
 
         def work(now: State) -> Change | None:
-            cells = self.table.spark.createDataFrame(sorted({(p["segment"], max(1, math.ceil(p["docs"] / CELL))) for p in now.parts.values()}), "segment string, cells int")
-            where = ids.join(F.broadcast(cells)).select("doc_id", "segment", F.pmod(F.xxhash64("doc_id"), "cells").cast("int").alias("cell"))
-            gone = where.groupBy("segment", "cell").agg(F.collect_set("doc_id").alias("ids"))
-            hit = F.exists("postings", lambda p: F.array_contains("ids", p["doc_id"]))
-            hits = written(self.table.places(now).join(gone, ["segment", "cell"]).where(hit), "cells")
+            rows = self.table.places(now)
+            gone = rows.where("term = ''").select("segment", "block", F.explode("ids").alias("doc_id")).join(ids, "doc_id")
+            gone = written(gone, "gone")
+            own = rows.join(F.broadcast(gone.select("segment", "block").distinct()), ["segment", "block"], "left_semi")
+            own = own.select("_file", "_pos", "term", "segment", "block", "n", "words", "docs", "tfs", "ids")
+            hits = own.groupBy("segment", "block").cogroup(gone.groupBy("segment", "block")).applyInArrow(thinned, f"_file string, _pos long, {self.SCHEMA}, out long, out_words long")
+            with tidied(self.table.spark):
+                hits = written(hits, "hits")
             change = self.table.gone(hits.select("_file", "_pos"), now)
             if not change.gone:
                 return None
-            split = hits.withColumn("out", F.filter("postings", lambda p: F.array_contains("ids", p["doc_id"])))
-            lost = split.select(F.explode("out").alias("p")).groupBy("p.doc_id").agg(F.max("p.dl").alias("dl")).agg(F.count("*").alias("docs"), F.sum("dl").alias("words")).first()
-            kept = split.withColumn("postings", F.filter("postings", lambda p: ~F.array_contains("ids", p["doc_id"]))).where(F.size("postings") > 0)
-            kept = kept.withColumns({"n": F.size("postings").cast("long"), "most": F.array_max("postings.tf"), "shortest": F.array_min("postings.dl")})
+            lost = hits.where("term = ''").agg(F.sum("out").alias("docs"), F.sum("out_words").alias("words")).first()
+            kept = hits.where(F.size("docs") > 0)
             # Rows keep their segments, each in a folder of its own.
             for segment, part in {p["segment"]: p for p in now.parts.values()}.items():
-                rows = self.table.write(kept.where(F.col("segment") == segment), "term", "cell", **part)
+                rows = self.table.write(kept.where(F.col("segment") == segment), "block", "term", **part)
                 change.add |= rows.add
                 change.parts |= rows.parts
             change.sums = {"docs": -lost["docs"], "words": -lost["words"]}
@@ -96,77 +107,104 @@ class TextIndex:
 
         self.table.transact(work, "remove")
 
+    def _together(self, rows: DataFrame) -> list[tuple[str, int, int, int]]:
+        """(segment, block, its block in a merged segment, where its documents start there): as many blocks together as one may hold. From a row for each block."""
+        heads = rows.where("term = ''").select("segment", "block", "n", "words", F.array_max("docs") + 1).orderBy("segment", "block").collect()
+        made, number, start, docs, words = [], -1, 0, math.inf, math.inf
+        for segment, block, n, m, size in heads:
+            if docs + n > BLOCK * CELL or words + m > WORDS:
+                number, start, docs, words = number + 1, 0, 0, 0
+            made.append((segment, block, number, start))
+            start, docs, words = start + size, docs + n, words + m
+        return made
+
     def merge(self, fan: int = FAN) -> int:
-        """Merge the segments of each tier that has fan of them, and of the tiers above as they fill up. Returns how many merges there were."""
+        """Merge the segments of each tier that has fan of them, and of the tiers above as they fill up. Returns how many merges there were.
+
+        Small blocks are put together; the files of the segments that were merged stay for those who read them.
+        """
         done = 0
         while True:
-            by_tier: dict[int, dict[str, int]] = {}
+            by_tier: dict[int, set[str]] = {}
             for part in self.table.state().parts.values():
-                by_tier.setdefault(part["tier"], {})[part["segment"]] = part["docs"]
+                by_tier.setdefault(part["tier"], set()).add(part["segment"])
             full = min((t for t, own in by_tier.items() if len(own) >= fan), default=None)
             if full is None:
                 return done
-            own, segment = by_tier[full], uuid.uuid4().hex
 
-            def work(now: State, own=own, segment=segment, tier=full + 1) -> Change | None:
+            def work(now: State, own=by_tier[full], tier=full + 1) -> Change | None:
                 files = [n for n, f in now.files.items() if now.parts[f["dir"]]["segment"] in own]
                 if not files:
                     return None
-                postings = self.table.rows(now, files).select("term", F.explode("postings").alias("p")).select("term", "p.*")
-                change = self.table.write(self._blocks(postings, sum(own.values()), segment), "term", "cell", segment=segment, tier=tier, docs=sum(own.values()))
+                rows = self.table.rows(now, files)
+                to = self._together(rows)
+                blocks = to[-1][2] + 1 if to else 1
+                to = self.table.spark.createDataFrame(to, "segment string, old int, block int, start int")
+                rows = rows.withColumnRenamed("block", "old").join(F.broadcast(to), ["segment", "old"]).select("term", "block", "start", "n", "words", "docs", "tfs", "ids")
+                rows = rows.repartitionById(blocks, F.col("block")).sortWithinPartitions("term", "start")
+                change, _, _ = self._segment(rows.mapInArrow(joined, self.ROWS), tier)
                 return Change(change.add, files, parts=change.parts, reads=set(files), writes=set(files))
 
             self.table.transact(work, "merge")
             done += 1
 
-    def _asked(self, queries: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame, Column, Column]:
-        """The rows of asked terms; (query_id, term, idf); and the weight of a posting and the most that one of a row can have, idf apart."""
-        now = self.table.state()
+    def _asked(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """The rows of asked terms and of documents; (query_id, term, idf); and the mean length."""
+        spark, now = self.table.spark, self.table.state()
         docs, words = now.sums.get("docs", 0), now.sums.get("words", 0)
         asked = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), "asked")
         terms = asked.select("term").distinct()
         some = [r[0] for r in terms.limit(LISTED + 1).collect()]
-        rows = self.table.rows(now)
+        rows = self.table.rows(now).select("term", "segment", "block", "n", "docs", "tfs", "ids")
         if len(some) <= LISTED:
-            rows = rows.where(among("term", some))  # reaches the scan, whose files are sorted by term
+            rows = rows.where(among("term", ["", *some]))  # reaches the scan, whose files are sorted by term
         else:
             few = terms.limit(MANY_TERMS + 1).count() <= MANY_TERMS
+            terms = terms.unionByName(spark.createDataFrame([("",)], "term string"))
             rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
-        df = rows.groupBy("term").agg(F.sum("n").alias("df"))
-        wanted = asked.join(df, "term").select("query_id", "term", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        mean = words / docs if docs and words else 1.0
-        weight = lambda tf, dl: F.col("idf") * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / mean))
-        return rows, written(wanted, "wanted"), weight("tf", "dl"), weight("most", "shortest")
-
-    def _score(self, rows: DataFrame, wanted: DataFrame, cells: DataFrame, weight: Column) -> DataFrame:
-        """(query_id, doc_id, score) of the documents in (query_id, segment, cell)."""
-        found = rows.join(wanted, "term").join(cells.select("query_id", "segment", "cell"), ["query_id", "segment", "cell"])
-        found = found.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "idf", "p.*")
-        return found.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 4).alias("score"))
+        with tidied(spark):
+            rows = written(rows, "rows")
+            df = rows.where("term <> ''").groupBy("term").agg(F.sum("n").alias("df"))
+            wanted = asked.join(df, "term").select("query_id", "term", F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+            return rows, written(wanted, "wanted"), words / docs if docs and words else 1.0
+
+    def _score(self, what: str, asked: tuple[DataFrame, DataFrame, float], k: int, k1: float, b: float, least: DataFrame | None = None) -> DataFrame:
+        """``postings.scored`` of each block: every row goes there once, with those who ask for its term, their weights and the least score they look for."""
+        rows, wanted, mean = asked
+        few = wanted.limit(MANY_TERMS + 1).count() <= MANY_TERMS
+        if least is None:
+            wanted = wanted.withColumn("least", F.lit(None).cast("double"))
+        else:
+            least = least.select(F.col("query_id").alias("_query"), F.col("score").alias("least"))
+            wanted = wanted.join(least, F.col("query_id").eqNullSafe(F.col("_query")), "left")
+        askers = wanted.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf", "least")).alias("askers"))
+        rows = rows.join(F.broadcast(askers) if few else askers, "term", "left").select("segment", "block", "term", "docs", "tfs", "ids", "askers")
+        query = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, "
+        schema = query + ("segment string, block int, cell int, bound double, alive boolean" if what == "cells" else "doc_id long, score double")
+        return rows.groupBy("segment", "block").applyInArrow(scored(what, k, mean, k1, b, CELL, SLACK), schema)
+
+    def _floor(self, asked: tuple[DataFrame, DataFrame, float], k: int, k1: float, b: float) -> DataFrame:
+        """(query_id, score): the k-th best score in the k cells that promise most, for queries that have so many. The k best reach it."""
+
+        def kth(what: str, least: DataFrame | None) -> DataFrame:
+            with tidied(self.table.spark):
+                return written(top(self._score(what, asked, k, k1, b, least), k).where(F.col("rank") == k).select("query_id", "score"), what)
+
+        return kth("scores", kth("bounds", None))
 
     def search(self, queries: DataFrame, k: int = ROUTE_TOP, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, doc_id, score, rank): the k best documents for each query (query_id, text), as by ``bm25_topk`` over all documents of the index.
 
         The k cells that promise most are scored first. Their k-th score is one that the k best reach, and cells whose bound is below
-        it are skipped: a document's score is at most the sum of the largest weights of the asked terms' rows in its cell.
+        it are skipped: a document's score is at most the sum of the asked terms' largest weights in its cell. A block hands on its k best.
         """
-        return top(self._scored(queries, k, k1, b)[0], k)
-
-    def _scored(self, queries: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
-        """Scores that hold the k best, and (query_id, segment, cell, bound, alive)."""
-        rows, wanted, weight, most = self._asked(queries, k1, b)
-        bounds = rows.select("term", "segment", "cell", "most", "shortest").join(wanted, "term").groupBy("query_id", "segment", "cell").agg(F.sum(most).alias("bound"))
-        cells = written(bounds, "cells")
-        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "cell")
-        early = self._score(rows, wanted, cells.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k), weight)
-        floor = top(early, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        cells = cells.join(floor, "query_id", "left").withColumn("alive", F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
-        cells = written(cells.drop("floor"), "alive")
-        return self._score(rows, wanted, cells.where("alive"), weight), cells
+        asked = self._asked(queries)
+        return top(self._score("scores", asked, k, k1, b, self._floor(asked, k, k1, b)), k)
 
     def cells(self, queries: DataFrame, k: int = ROUTE_TOP) -> DataFrame:
-        """(query_id, segment, cell, bound, alive): which cells a search scores."""
-        return self._scored(queries, k, K1, B)[1]
+        """(query_id, segment, block, cell, bound, alive): which cells a search scores."""
+        asked = self._asked(queries)
+        return self._score("cells", asked, k, K1, B, self._floor(asked, k, K1, B))
 
 
 class VectorIndex:

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Partitions up to which a table is dealt to more tasks.
 FEW = 64
 _LOCAL: dict[str, str] = {}
+#: Spark's setting by which a query's shuffle files go when it has ended; sessions that have it on just now, by how many callers, with what it was.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_TIDIED: dict[int, tuple[int, str]] = {}
+_LOCK = threading.Lock()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +46,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end meanwhile go with their end, and don't wait for the driver's garbage collection. Callers may overlap."""
+    session = spark._jsparkSession.hashCode()
+    with _LOCK:
+        n, before = _TIDIED.get(session) or (0, spark.conf.get(_CLEAN_UP))
+        _TIDIED[session] = n + 1, before
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _TIDIED.pop(session)
+            if n > 1:
+                _TIDIED[session] = n - 1, before
+            else:
+                spark.conf.set(_CLEAN_UP, before)
+
+
 def release(table: DataFrame) -> None:
     """Delete a work table that nothing reads any more, before the driver ends."""
     spark = table.sparkSession
